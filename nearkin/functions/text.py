@@ -16,9 +16,9 @@ from nearkin.functions.wordlists import ENGLISH_STOP_WORDS
 FENCED_CODE = r"(?s)```.*?(?:```|\z)"
 INLINE_CODE = r"`([^`\n]*)`"
 EMBEDDED_LINK = r"!?\[([^\]]*)\]\([^)]*\)"
-# A removed address takes a full stop that would be left standing alone with it.
+# An address starts a word; the character before it is kept. It takes a full stop that would be left standing alone.
 BARE_URL = (
-    r"(?i)(?:(?:https?|ftp)://[^\s<>\"')]+|www\.[^\s<>\"')]+"
+    r"(?i)(^|[^a-z0-9-])(?:(?:https?|ftp)://[^\s<>\"')]+|www\.[^\s<>\"')]+"
     r"|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s<>\"')]*)(?:[ \t]+\.)?"
 )
 # Paired marks around a phrase. Underscores count only outside a word: snake_case stays.
@@ -45,7 +45,7 @@ def strip_code(text: Column) -> Column:
 
 def strip_urls(text: Column) -> Column:
     """Replace ``[words](address)`` by its words, then remove bare addresses, with or without scheme."""
-    return F.regexp_replace(F.regexp_replace(text, EMBEDDED_LINK, "$1"), BARE_URL, "")
+    return F.regexp_replace(F.regexp_replace(text, EMBEDDED_LINK, "$1"), BARE_URL, "$1")
 
 
 def strip_markdown(text: Column) -> Column:

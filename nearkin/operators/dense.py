@@ -7,15 +7,20 @@ task hands on at most ``n`` rows per query and the vectors themselves are never
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.operators.search import DECIMALS, top_n
 
+# Executors get the numpy code with the task and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Query values (rows × length) sent to every task.
 MAX_QUERY_VALUES = 4_000_000
 OUT = "query_id bigint, doc_id bigint, score double"

@@ -172,25 +172,23 @@ def score_gap(top: DataFrame) -> DataFrame:
     )
 
 
-def cross_group(
-    scores: DataFrame, groups: DataFrame, query_groups: DataFrame, small: bool, n: int = 10
-) -> DataFrame:
-    """Best matches outside a query's own group.
+def best_per_group(scores: DataFrame, groups: DataFrame, n: int = 10) -> DataFrame:
+    """``(query_id, doc_id, score, grp)``: the ``n`` best of each query in each group, from ``groups(doc_id, grp)``.
 
-    ``groups(doc_id, grp)`` and ``query_groups(query_id, own)``, one row per id. Queries without a group are
-    left out.
+    Whatever groups a search is later restricted to, its ``n`` best are among these.
     """
-    return top_n(
-        scores.join(groups, "doc_id")
-        .join(_maybe_broadcast(query_groups, small), "query_id")
-        .filter(F.col("grp") != F.col("own")),
-        n,
-    )
+    return top_n(scores.join(groups, "doc_id"), n, by=("query_id", "grp")).drop("rank")
 
 
-def home_groups(scores: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
+def home_groups(best: DataFrame) -> DataFrame:
     """``(query_id, own)``: the group of each query's best match."""
-    best = top_n(scores, 1).select("query_id", "doc_id")
-    return groups.join(_maybe_broadcast(best, small), "doc_id").select(
-        "query_id", F.col("grp").alias("own")
-    )
+    return top_n(best, 1).select("query_id", F.col("grp").alias("own"))
+
+
+def cross_group(best: DataFrame, query_groups: DataFrame, small: bool, n: int = 10) -> DataFrame:
+    """Best matches outside a query's own group, from ``best_per_group`` and ``query_groups(query_id, own)``.
+
+    Queries without a group are left out.
+    """
+    own = _maybe_broadcast(query_groups, small)
+    return top_n(best.join(own, "query_id").filter(F.col("grp") != F.col("own")), n)

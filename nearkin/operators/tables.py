@@ -8,8 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tried in this order; the first type every non-null value fits wins.
-CAST_CANDIDATES = ["bigint", "double", "boolean", "timestamp_ntz"]
+# Tried in this order; the first type every non-null value fits wins. A value must look like the type before it is
+# cast: a failing cast costs far more than a pattern.
+CAST_CANDIDATES = {
+    "bigint": r"^\s*[+-]?\d+\s*$",
+    "double": r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$",
+    "boolean": r"(?i)^\s*(true|false)\s*$",
+    "timestamp_ntz": r"^\s*\d{4}-\d{1,2}-\d{1,2}",
+}
 
 
 def concat_rows(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -44,15 +50,12 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str
     columns = list(columns or [n for n, t in df.dtypes if t == "string"])
     if not columns:
         return {}
-    fits = [
-        F.coalesce(
-            F.bool_and(F.col(c).isNull() | F.col(c).try_cast(t).isNotNull()) & (F.count(c) > 0),
-            F.lit(False),
-        ).alias(f"{i}_{t}")
-        for i, c in enumerate(columns)
-        for t in CAST_CANDIDATES
-    ]
-    row = df.agg(*fits).first()
+    def fits(c: str, t: str) -> Column:
+        value = F.when(F.col(c).rlike(CAST_CANDIDATES[t]), F.col(c).try_cast(t).isNotNull()).otherwise(False)
+        return F.bool_and(F.when(F.col(c).isNotNull(), value))
+
+    checks = [fits(c, t).alias(f"{i}_{t}") for i, c in enumerate(columns) for t in CAST_CANDIDATES]
+    row = df.agg(*checks).first()
     return {
         c: next((t for t in CAST_CANDIDATES if row[f"{i}_{t}"]), "string") for i, c in enumerate(columns)
     }

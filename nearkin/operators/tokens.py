@@ -7,7 +7,7 @@ speech are looked up in a lexicon table by join, once per distinct token.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from nearkin.functions import text as T
 from nearkin.functions.wordlists import ENGLISH_STOP_WORDS, LEMMA_RULES, POS_ENDINGS
 
+Tokenizer = Callable[[Column], Column]
 TOKENIZERS = {"none": T.tokens_word, "default": T.tokens_punct, "custom": T.tokens_alpha}
 MIN_TERM = 3
 
@@ -26,16 +27,16 @@ def check_mode(mode: str) -> str:
     return mode
 
 
-def token_rows(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
+def token_rows(docs: DataFrame, text: str, tokenizer: Tokenizer, id_col: str = "doc_id") -> DataFrame:
     """``(id, token)``, one row per occurrence, partitioned by id.
 
-    The exchange here is the only one the texts go through: counts, document frequencies and norms all
+    The exchange of the raw texts is the only one they go through: counts, document frequencies and norms all
     start from it, and Spark reuses it within a plan.
     """
     return (
-        docs.select(id_col, tokens.alias("tokens"))
+        docs.select(id_col, text)
         .repartition(id_col)
-        .select(id_col, F.explode("tokens").alias("token"))
+        .select(id_col, F.explode(tokenizer(F.col(text))).alias("token"))
     )
 
 
@@ -143,7 +144,7 @@ def analyze(
     lexicon: DataFrame | None = None,
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     exceptions: DataFrame | None = None,
-    tokenizer=None,
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """Raw term counts ``(id, term, tf)`` of each text.
 
@@ -151,7 +152,7 @@ def analyze(
     ``tokenizer``, a function from a string column to an array column, replaces the mode's own.
     """
     mode = check_mode(mode)
-    rows = token_rows(docs, (tokenizer or TOKENIZERS[mode])(F.col(text)), id_col)
+    rows = token_rows(docs, text, tokenizer or TOKENIZERS[mode], id_col)
     if mode == "none":
         kept = rows.withColumnRenamed("token", "term").filter(~F.col("term").isin(list(stop_words)))
         return kept.groupBy(id_col, "term").agg(F.count("*").alias("tf"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.functions import text as T
+from nearkin.operators.tokens import token_rows
 
 
 def corpus_size(docs: DataFrame) -> Column:
@@ -55,9 +56,9 @@ def count_vectorize(
 
     ``max_df`` is a share of documents. The vocabulary keeps the most frequent terms, ties by term.
     """
-    tokens = docs.select(id_col, T.tokens_standard(F.col(text)).alias("tokens")).repartition(id_col)
     counts = (
-        tokens.select(id_col, F.explode("tokens").alias("term"))
+        token_rows(docs, text, T.tokens_standard, id_col)
+        .withColumnRenamed("token", "term")
         .groupBy(id_col, "term")
         .agg(F.count("*").alias("tf"))
     )

@@ -108,9 +108,10 @@ class SimilarityModel:
             words = words.withColumnRenamed("token", "term")
         else:
             words = words.join(tokens.term_map(words, self.mode, self.lexicon, ()), "token").drop("token")
-        return inspect.get_weights(
-            words, self.transform(docs, "doc_id"), self.vocab, search.is_small(query, "text")
-        )
+        small = search.is_small(query, "text")
+        asked = query.select("doc_id").distinct()
+        docs = docs.join(F.broadcast(asked) if small else asked, "doc_id", "left_semi")
+        return inspect.get_weights(words, self.transform(docs, "doc_id"), self.vocab, small)
 
     def save(self, path: str, mode: str = "errorifexists") -> SimilarityModel:
         """Write the tables and return the model that reads them.
@@ -133,7 +134,7 @@ class SimilarityModel:
             vectors = weights.weigh(counts, vocab)
         buckets = search.bucket_count(vocab.agg(F.sum("df")).first()[0] or 0)
         (
-            vectors.withColumn("bucket", search.term_bucket(F.col("term"), buckets))
+            vectors.select("doc_id", "term", "tf", "df", "w", search.term_bucket(F.col("term"), buckets).alias("bucket"))
             .repartitionByRange("bucket", "term", "doc_id")
             .sortWithinPartitions("bucket", "term", "doc_id")
             .write.mode(mode)
@@ -191,7 +192,7 @@ def fit(
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(corpus).alias("text"))
     label_table = docs.select(F.col(id_col).alias("doc_id"), *labels)
     if mode != "none" and lexicon is None:
-        lexicon = tokens.lexicon_from(tokens.token_rows(frame, tokens.TOKENIZERS[mode](F.col("text"))))
+        lexicon = tokens.lexicon_from(tokens.token_rows(frame, "text", tokens.TOKENIZERS[mode]))
     counts = tokens.analyze(frame, mode=mode, lexicon=lexicon, stop_words=stop_words)
     vocab = weights.idf(weights.doc_freq(counts), weights.corpus_size(frame))
     return SimilarityModel(

@@ -140,7 +140,7 @@ def no_code(c: str) -> str:
 
 
 def no_urls(c: str) -> str:
-    return replaced(replaced(c, T.EMBEDDED_LINK, r"\1"), T.BARE_URL, "")
+    return replaced(replaced(c, T.EMBEDDED_LINK, r"\1"), T.BARE_URL, r"\1")
 
 
 def no_marks(c: str) -> str:

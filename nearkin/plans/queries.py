@@ -15,7 +15,7 @@ from nearkin.operators import (
     cleaning, dense, duplicates, features, flow, inspect, search, tables, tokens, weights,
 )
 from nearkin.plans.model import SimilarityModel, fit
-from nearkin.session import scratch_path
+from nearkin.session import scratch_path, spread
 from nearkin.streaming import serving
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ def joined(df: DataFrame, c, name: str = "tokens") -> DataFrame:
 def issues(spark: SparkSession, sf: str) -> DataFrame:
     """Markdown tickets made of the documents and pages: heading, text, link, address and code block."""
     pages = table(spark, sf, "pages").withColumnRenamed("url", "page_url")
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     body = F.concat(
         F.lit("## Describe the issue\n\n"),
         F.col("text"),
@@ -305,7 +305,7 @@ def clean_issue(spark, sf):
 
 def _tokenized(fn):
     def run(spark, sf):
-        return joined(table(spark, sf, "documents"), fn(F.col("text")))
+        return joined(spread(table(spark, sf, "documents").select("doc_id", "text")), fn(F.col("text")))
 
     return run
 
@@ -320,14 +320,14 @@ QUERIES["min_len"] = _tokenized(lambda c: T.min_len(T.tokens_word(c)))
 
 @query
 def pos_filter(spark, sf):
-    rows = tokens.token_rows(table(spark, sf, "documents"), T.tokens_alpha(F.col("text")))
+    rows = tokens.token_rows(table(spark, sf, "documents"), "text", T.tokens_alpha)
     counts = rows.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     return tokens.pos_filter(counts, tokens.lexicon_from(counts))
 
 
 @query
 def lemma(spark, sf):
-    rows = tokens.token_rows(table(spark, sf, "documents"), T.tokens_alpha(F.col("text")))
+    rows = tokens.token_rows(table(spark, sf, "documents"), "text", T.tokens_alpha)
     lexicon = tokens.lexicon_from(rows)
     return tokens.lemma_map(lexicon.filter("pos in ('N', 'V')"), lexicon)
 
@@ -547,10 +547,9 @@ def cross_group_match(spark, sf):
     """Best matches outside the source of a query's best match."""
     queries = benchmark(spark, sf)
     small = search.is_small(queries, "text")
-    scores = corpus(spark, sf).scores(queries)
     groups = table(spark, sf, "documents").select("doc_id", F.col("source").alias("grp"))
-    own = search.home_groups(scores, groups, small)
-    return search.cross_group(scores, groups, own, small, N_BEST)
+    best = search.best_per_group(corpus(spark, sf).scores(queries), groups, N_BEST)
+    return search.cross_group(best, search.home_groups(best), small, N_BEST)
 
 
 # Feature tables

@@ -14,9 +14,13 @@ from nearkin.operators.tables import concat_rows
 def scan_csv(
     spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None, **options
 ) -> DataFrame:
-    """CSV with a header whose quoted fields may hold commas, quotes and newlines."""
+    """CSV with a header whose quoted fields may hold commas, quotes and newlines.
+
+    An empty field is null and ``""`` an empty text; the null marker is a character no text holds.
+    """
     reader = spark.read.options(
-        header=True, multiLine=True, escape='"', inferSchema=schema is None, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+        header=True, multiLine=True, escape='"', nullValue="\0", inferSchema=schema is None,
+        timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
     ).options(**options)
     if schema is not None:
         reader = reader.schema(schema)

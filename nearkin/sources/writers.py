@@ -24,7 +24,7 @@ def _flat(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> None:
     """CSV parts that ``scan_csv`` reads back unchanged."""
     _flat(df).write.mode(mode).options(
-        header=header, escape='"', emptyValue='""', timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+        header=header, escape='"', timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
     ).csv(path)
 
 
@@ -64,4 +64,4 @@ def write_labelled_csv(
 
 def write_split(df: DataFrame, path: str, split_col: str = "split", mode: str = "errorifexists") -> None:
     """One CSV folder per value of ``split_col``, in a single pass over ``df``."""
-    _flat(df).write.mode(mode).options(header=True, escape='"', emptyValue='""').partitionBy(split_col).csv(path)
+    _flat(df).write.mode(mode).options(header=True, escape='"').partitionBy(split_col).csv(path)
