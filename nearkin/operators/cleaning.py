@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import text as T
+from nearkin.session import materialize
 
 
 def boilerplate_lines(
@@ -35,9 +36,10 @@ def drop_boilerplate(
 ) -> DataFrame:
     """Drop heading lines and the lines most texts of a group share; the order of the rest is kept.
 
-    The texts are not taken apart: each row meets the short list of its group and is filtered in place.
+    The texts are not taken apart: each row meets the short list of its group and is filtered in place. The lists are
+    written to a scratch table, so that Spark broadcasts them by their true size or splits a large group.
     """
-    repeated = boilerplate_lines(df, text, group, min_share, min_docs)
+    repeated = materialize(boilerplate_lines(df, text, group, min_share, min_docs), "lines")
     kept = F.filter(
         F.split(text, "\n"),
         lambda line: ~T.is_heading(line)

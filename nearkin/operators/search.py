@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearkin.operators.weights import term_bucket
+
 # A query side is broadcast only below these bounds, which hold its term rows to some tens of megabytes.
 BROADCAST_ROWS = 100_000
 BROADCAST_TEXT_BYTES = 4 * 1024 * 1024
@@ -16,20 +17,6 @@ POSTINGS_PER_KEY = 100_000
 DECIMALS = 6
 
 
-# Stored postings per bucket folder, and the most folders a table gets.
-POSTINGS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 4096
-
-
-def bucket_count(postings: int) -> int:
-    return min(MAX_BUCKETS, max(1, math.ceil(postings / POSTINGS_PER_BUCKET)))
-
-
-def term_bucket(term: Column, buckets: int) -> Column:
-    """The folder a term's postings are stored in."""
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
 def is_small(df: DataFrame, text: str | None = None) -> bool:
     """Whether a query table may be broadcast: a bounded count of its rows and the bytes of its text.
 
@@ -95,12 +82,13 @@ def top_n(
 def label_lookup(top: DataFrame, labels: DataFrame, small: bool) -> DataFrame:
     """Attach label columns by doc_id; matches without a label keep nulls.
 
-    The labels are first narrowed to the matched ids; ``small`` states that the matches may be broadcast
-    for that, so the label table is scanned where it lies.
+    ``small`` states that the queries passed ``is_small``: the labels are then narrowed to the matched ids where they
+    lie. Otherwise both sides are shuffled, and Spark splits a document that many queries match.
     """
-    ids = top.select("doc_id").distinct()
-    hit = labels.join(_maybe_broadcast(ids, small), "doc_id", "left_semi")
-    return top.join(_maybe_broadcast(hit, small), "doc_id", "left")
+    if not small:
+        return top.join(labels, "doc_id", "left")
+    hit = labels.join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi")
+    return top.join(F.broadcast(hit), "doc_id", "left")
 
 
 def pad_zero(top: DataFrame, queries: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from nearkin.functions import text as T
 from nearkin.functions.wordlists import ENGLISH_STOP_WORDS, LEMMA_RULES, POS_ENDINGS
+from nearkin.session import materialize
 
 Tokenizer = Callable[[Column], Column]
 TOKENIZERS = {"none": T.tokens_word, "default": T.tokens_punct, "custom": T.tokens_alpha}
@@ -145,10 +146,13 @@ def analyze(
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     exceptions: DataFrame | None = None,
     tokenizer: Tokenizer | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """Raw term counts ``(id, term, tf)`` of each text.
 
-    Modes with lemmas use ``lexicon(token, pos)``; without one it is drawn from ``docs`` itself.
+    Modes with lemmas use ``lexicon(token, pos)``; without one it is drawn from ``docs`` itself. They write token
+    counts and the term of each token to scratch tables, unless ``small`` says the texts passed ``is_small``: the
+    counts are read more than once, and a join of two tables lets Spark split a token most texts contain.
     ``tokenizer``, a function from a string column to an array column, replaces the mode's own.
     """
     mode = check_mode(mode)
@@ -157,7 +161,11 @@ def analyze(
         kept = rows.withColumnRenamed("token", "term").filter(~F.col("term").isin(list(stop_words)))
         return kept.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     counts = rows.groupBy(id_col, "token").agg(F.count("*").alias("n"))
-    mapping = term_map(counts, mode, lexicon if lexicon is not None else lexicon_from(counts), stop_words, exceptions)
-    return (
-        counts.join(mapping, "token").groupBy(id_col, "term").agg(F.sum("n").alias("tf"))
-    )
+    if not small:
+        counts = materialize(counts, "tokens")
+    if lexicon is None:
+        lexicon = lexicon_from(counts)
+    mapping = term_map(counts, mode, lexicon, stop_words, exceptions)
+    if not small:
+        mapping = materialize(mapping, "terms")
+    return counts.join(mapping, "token").groupBy(id_col, "term").agg(F.sum("n").alias("tf"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,20 @@ from nearkin.functions import text as T
 from nearkin.operators.tokens import token_rows
 
 
+# Stored postings per bucket folder, and the most folders a table gets.
+POSTINGS_PER_BUCKET = 4_000_000
+MAX_BUCKETS = 4096
+
+
+def bucket_count(postings: int) -> int:
+    return min(MAX_BUCKETS, max(1, math.ceil(postings / POSTINGS_PER_BUCKET)))
+
+
+def term_bucket(term: Column, buckets: int) -> Column:
+    """The folder a term is stored in."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def corpus_size(docs: DataFrame) -> Column:
     """Number of documents, empty ones included, as a scalar subquery."""
     return docs.agg(F.count("*")).scalar()
@@ -26,9 +42,24 @@ def idf(freq: DataFrame, n: Column | int, plus_one: bool = True) -> DataFrame:
     return freq.withColumn("idf", value + 1 if plus_one else value)
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Unit-length TF-IDF vectors; terms outside the vocabulary are ignored, also in the norm."""
-    raw = counts.join(vocab.select("term", "df", "idf"), "term").withColumn(
+def weigh(
+    counts: DataFrame,
+    vocab: DataFrame,
+    id_col: str = "doc_id",
+    small: bool = False,
+    buckets: int | None = None,
+) -> DataFrame:
+    """Unit-length TF-IDF vectors; terms outside the vocabulary are ignored, also in the norm.
+
+    ``small`` states that the counts come from texts that passed ``is_small``: they are broadcast to the vocabulary,
+    of which only their folders are read when it is stored in ``buckets``. Other counts should be a table, as should
+    the vocabulary: then Spark knows their sizes and splits a common term.
+    """
+    columns, on = ["term", "df", "idf"], ["term"]
+    if buckets:
+        columns, on = ["bucket", *columns], ["bucket", "term"]
+        counts = counts.withColumn("bucket", term_bucket(F.col("term"), buckets))
+    raw = vocab.select(*columns).join(F.broadcast(counts) if small else counts, on).withColumn(
         "raw", F.col("tf") * F.col("idf")
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
@@ -54,7 +85,8 @@ def count_vectorize(
 ) -> DataFrame:
     """Counts ``(id, term, tf)`` over white space tokens with the flow's bounds on the vocabulary.
 
-    ``max_df`` is a share of documents. The vocabulary keeps the most frequent terms, ties by term.
+    ``max_df`` is a share of documents. The vocabulary keeps the most frequent terms, ties by term; ``vocab_size``
+    bounds it, so it is broadcast.
     """
     counts = (
         token_rows(docs, text, T.tokens_standard, id_col)
@@ -70,13 +102,16 @@ def count_vectorize(
         .limit(vocab_size)
         .select("term")
     )
-    counts = counts.filter(F.col("tf") >= min_tf).join(kept, "term", "left_semi")
+    counts = counts.filter(F.col("tf") >= min_tf).join(F.broadcast(kept), "term", "left_semi")
     tf = F.lit(1.0) if binary else F.col("tf").cast("double")
     return counts.select(id_col, "term", tf.alias("tf"))
 
 
 def idf_min_df(counts: DataFrame, n: Column | int, min_df: int = 5) -> DataFrame:
-    """``(id, term, tf, w)`` with the flow's IDF; terms in fewer than ``min_df`` documents weigh 0."""
+    """``(id, term, tf, w)`` with the flow's IDF; terms in fewer than ``min_df`` documents weigh 0.
+
+    The counts come from ``count_vectorize``, whose vocabulary is bounded and therefore broadcast.
+    """
     vocab = idf(doc_freq(counts), n, plus_one=False)
     weight = F.when(F.col("df") >= min_df, F.col("tf") * F.col("idf")).otherwise(0.0)
-    return counts.join(vocab, "term").select(*counts.columns, weight.alias("w"))
+    return counts.join(F.broadcast(vocab), "term").select(*counts.columns, weight.alias("w"))

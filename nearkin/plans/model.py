@@ -1,4 +1,4 @@
-"""The fitted model: a handful of tables, in memory as lazy DataFrames or on disk as Parquet."""
+"""The fitted model: a handful of tables."""
 
 from __future__ import annotations
 
@@ -23,8 +23,8 @@ class SimilarityModel:
     """Vocabulary ``(term, df, idf)``, vectors ``(doc_id, term, tf, df, w)``, labels ``(doc_id, …)``.
 
     Modes with lemmas also keep the lexicon ``(token, pos)`` they were fitted with. A model that was just
-    fitted knows its raw counts ``(doc_id, term, tf)`` too, one that was loaded the number of term buckets its
-    vectors are stored in.
+    fitted knows its raw counts ``(doc_id, term, tf)`` and weighs them on demand; one that was loaded knows in how
+    many term buckets its vocabulary and vectors are stored.
     """
 
     vocab: DataFrame
@@ -55,16 +55,21 @@ class SimilarityModel:
 
     def transform(self, texts: Texts, id_col: str = "query_id") -> DataFrame:
         """Vectors of new texts under the stored vocabulary; unknown terms are ignored."""
+        frame = self.as_frame(texts, id_col)
+        return self._transform(frame, id_col, search.is_small(frame, "text"))
+
+    def _transform(self, frame: DataFrame, id_col: str, small: bool) -> DataFrame:
         counts = tokens.analyze(
-            self.as_frame(texts, id_col), "text", id_col, self.mode, self.lexicon, self.stop_words
+            frame, "text", id_col, self.mode, self.lexicon, self.stop_words, small=small
         )
-        return weights.weigh(counts, self.vocab, id_col)
+        return weights.weigh(counts, self.vocab, id_col, small, self.buckets)
 
     def scores(self, queries: Texts) -> DataFrame:
         """``(query_id, doc_id, score)`` for every pair that shares a term."""
         frame = self.as_frame(queries)
+        small = search.is_small(frame, "text")
         return search.dot_sparse(
-            self.vectors, self.transform(frame), search.is_small(frame, "text"), buckets=self.buckets
+            self.vectors, self._transform(frame, "query_id", small), small, buckets=self.buckets
         )
 
     def predict(self, queries: Texts, n_best: int | None = None, pad: bool = False) -> DataFrame:
@@ -116,31 +121,28 @@ class SimilarityModel:
     def save(self, path: str, mode: str = "errorifexists") -> SimilarityModel:
         """Write the tables and return the model that reads them.
 
-        Raw counts and vocabulary are written before the vectors, so that texts are analyzed once and weighing
-        joins tables of known size. Vectors are laid out by term bucket and range-sorted, which splits a common
-        term over files and lets a search read only the buckets of its terms.
+        Vocabulary and vectors are laid out by term bucket and range-sorted, which splits a common term over files
+        and lets a search read only the buckets of its terms.
         """
         base = path.rstrip("/")
-        vocab, vectors, counts = self.vocab, self.vectors, self.counts
         self.labels.write.mode(mode).parquet(f"{base}/labels")
         if self.lexicon is not None:
             self.lexicon.write.mode(mode).parquet(f"{base}/lexicon")
-        if counts is not None:
-            counts = materialize(counts, "counts")
-            vocab = weights.idf(weights.doc_freq(counts), weights.corpus_size(self.labels))
-        vocab.write.mode(mode).parquet(f"{base}/vocab")
-        vocab = self.spark.read.parquet(f"{base}/vocab")
-        if counts is not None:
-            vectors = weights.weigh(counts, vocab)
-        buckets = search.bucket_count(vocab.agg(F.sum("df")).first()[0] or 0)
-        (
-            vectors.select("doc_id", "term", "tf", "df", "w", search.term_bucket(F.col("term"), buckets).alias("bucket"))
-            .repartitionByRange("bucket", "term", "doc_id")
-            .sortWithinPartitions("bucket", "term", "doc_id")
-            .write.mode(mode)
-            .partitionBy("bucket")
-            .parquet(f"{base}/vectors")
-        )
+        buckets = weights.bucket_count(self.vocab.agg(F.sum("df")).first()[0] or 0)
+        bucket = weights.term_bucket(F.col("term"), buckets).alias("bucket")
+        for name, columns, order in (
+            ("vocab", ["term", "df", "idf"], ["bucket", "term"]),
+            ("vectors", ["doc_id", "term", "tf", "df", "w"], ["bucket", "term", "doc_id"]),
+        ):
+            (
+                getattr(self, name)
+                .select(*columns, bucket)
+                .repartitionByRange(*order)
+                .sortWithinPartitions(*order)
+                .write.mode(mode)
+                .partitionBy("bucket")
+                .parquet(f"{base}/{name}")
+            )
         params = (self.mode, self.n_best, list(self.label_names), list(self.stop_words), self.lexicon is not None, buckets)
         self.spark.createDataFrame([params], PARAMS).coalesce(1).write.mode(mode).parquet(f"{base}/params")
         return load_model(self.spark, base)
@@ -181,9 +183,10 @@ def fit(
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     lexicon: DataFrame | None = None,
 ) -> SimilarityModel:
-    """Fit on a corpus column and its label columns; the model is a lazy plan until saved.
+    """Fit on a corpus column and its label columns.
 
-    ``id_col`` names a unique integer id; without one, rows are numbered and the numbering is written down.
+    ``id_col`` names a unique integer id; without one, rows are numbered and the numbering is written down. Raw counts
+    and vocabulary are written to scratch tables: texts are analyzed once, and weighing joins tables of known size.
     """
     mode = tokens.check_mode(mode)
     if id_col is None:
@@ -192,9 +195,11 @@ def fit(
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(corpus).alias("text"))
     label_table = docs.select(F.col(id_col).alias("doc_id"), *labels)
     if mode != "none" and lexicon is None:
-        lexicon = tokens.lexicon_from(tokens.token_rows(frame, "text", tokens.TOKENIZERS[mode]))
-    counts = tokens.analyze(frame, mode=mode, lexicon=lexicon, stop_words=stop_words)
-    vocab = weights.idf(weights.doc_freq(counts), weights.corpus_size(frame))
+        lexicon = materialize(
+            tokens.lexicon_from(tokens.token_rows(frame, "text", tokens.TOKENIZERS[mode])), "lexicon"
+        )
+    counts = materialize(tokens.analyze(frame, mode=mode, lexicon=lexicon, stop_words=stop_words), "counts")
+    vocab = materialize(weights.idf(weights.doc_freq(counts), weights.corpus_size(frame)), "vocab")
     return SimilarityModel(
         vocab=vocab,
         vectors=weights.weigh(counts, vocab),

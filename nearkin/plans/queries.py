@@ -15,7 +15,7 @@ from nearkin.operators import (
     cleaning, dense, duplicates, features, flow, inspect, search, tables, tokens, weights,
 )
 from nearkin.plans.model import SimilarityModel, fit
-from nearkin.session import scratch_path, spread
+from nearkin.session import materialize, scratch_path, spread
 from nearkin.streaming import serving
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +79,7 @@ PARTY_SCHEMA = "key bigint, name string, nationkey int, acctbal double, segment
 
 
 def corpus(spark: SparkSession, sf: str) -> SimilarityModel:
-    """The documents as a lazily fitted model without lemmas."""
+    """A model of the documents without lemmas."""
     return fit(
         table(spark, sf, "documents"), "text", ["source", "lang"], "doc_id", mode="none", n_best=N_BEST,
         label_names=["Source", "Lang"],
@@ -322,7 +322,7 @@ QUERIES["min_len"] = _tokenized(lambda c: T.min_len(T.tokens_word(c)))
 def pos_filter(spark, sf):
     rows = tokens.token_rows(table(spark, sf, "documents"), "text", T.tokens_alpha)
     counts = rows.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    return tokens.pos_filter(counts, tokens.lexicon_from(counts))
+    return tokens.pos_filter(counts, materialize(tokens.lexicon_from(counts), "lexicon"))
 
 
 @query

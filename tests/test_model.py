@@ -104,7 +104,7 @@ def test_saving_a_stored_model_copies_it(spark, model, tmp_path):
 
 
 def test_stored_search_prunes_buckets(spark, docs, tmp_path, monkeypatch):
-    monkeypatch.setattr(search, "POSTINGS_PER_BUCKET", 2)
+    monkeypatch.setattr(weights, "POSTINGS_PER_BUCKET", 2)
     model = fit(docs, "text", ["char"], "id", mode="none").save(str(tmp_path / "m"))
     assert model.buckets > 1
     plan = model.scores("honey")._jdf.queryExecution().toString()
