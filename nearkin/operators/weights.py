@@ -11,15 +11,21 @@ from nearkin.functions import text as T
 from nearkin.operators.tokens import token_rows
 
 
-# Stored postings per bucket folder, and the most folders a table gets.
+# Stored postings per bucket folder and per file in it, and the most of each a table gets.
 POSTINGS_PER_BUCKET = 4_000_000
+POSTINGS_PER_FILE = 500_000
 MAX_BUCKETS = 4096
+MAX_FILES = 64
 
 
 def bucket_count(postings: int) -> int:
     return min(MAX_BUCKETS, max(1, math.ceil(postings / POSTINGS_PER_BUCKET)))
 
 
+def files_per_bucket(rows: int, buckets: int) -> int:
+    return min(MAX_FILES, max(1, math.ceil(rows / buckets / POSTINGS_PER_FILE)))
+
+
 def term_bucket(term: Column, buckets: int) -> Column:
     """The folder a term is stored in."""
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")

@@ -121,24 +121,28 @@ class SimilarityModel:
     def save(self, path: str, mode: str = "errorifexists") -> SimilarityModel:
         """Write the tables and return the model that reads them.
 
-        Vocabulary and vectors are laid out by term bucket and range-sorted, which splits a common term over files
-        and lets a search read only the buckets of its terms.
+        Vocabulary and vectors are laid out by term bucket and sorted by term, which lets a search read only the
+        buckets of its terms.
         """
         base = path.rstrip("/")
         self.labels.write.mode(mode).parquet(f"{base}/labels")
         if self.lexicon is not None:
             self.lexicon.write.mode(mode).parquet(f"{base}/lexicon")
-        buckets = weights.bucket_count(self.vocab.agg(F.sum("df")).first()[0] or 0)
-        bucket = weights.term_bucket(F.col("term"), buckets).alias("bucket")
-        for name, columns, order in (
-            ("vocab", ["term", "df", "idf"], ["bucket", "term"]),
-            ("vectors", ["doc_id", "term", "tf", "df", "w"], ["bucket", "term", "doc_id"]),
+        size = self.vocab.agg(F.sum("df").alias("postings"), F.count("*").alias("terms")).first()
+        buckets = weights.bucket_count(size["postings"] or 0)
+        # A term in many documents is spread over several files of its folder.
+        salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / weights.POSTINGS_PER_FILE).cast("int"))
+        for name, columns, spread_by, rows in (
+            ("vocab", ["term", "df", "idf"], [F.col("term")], size["terms"]),
+            ("vectors", ["doc_id", "term", "tf", "df", "w"], [F.col("term"), salt], size["postings"] or 0),
         ):
+            files = weights.files_per_bucket(rows, buckets)
+            bucket = weights.term_bucket(F.col("term"), buckets).alias("bucket")
             (
                 getattr(self, name)
                 .select(*columns, bucket)
-                .repartitionByRange(*order)
-                .sortWithinPartitions(*order)
+                .repartition(buckets * files, "bucket", F.pmod(F.xxhash64(*spread_by), F.lit(files)))
+                .sortWithinPartitions("bucket", "term")
                 .write.mode(mode)
                 .partitionBy("bucket")
                 .parquet(f"{base}/{name}")
