@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Query values (rows × length) sent to every task.
 MAX_QUERY_VALUES = 4_000_000
+# Scores a task holds at a time.
+MAX_SCORES = 4_000_000
 OUT = "query_id bigint, doc_id bigint, score double"
 
 
@@ -44,14 +46,24 @@ SCORERS = {"dot": dot_scores, "cosine_nan": cosine_skip_nan_scores}
 class _Best:
     """The best ``n`` per query over the batches of one task."""
 
-    def __init__(self, query_ids: np.ndarray, n: int):
-        self.query_ids, self.n = query_ids, n
+    def __init__(self, score: Callable, query_ids: np.ndarray, queries: np.ndarray, n: int):
+        self.score, self.query_ids, self.queries, self.n = score, query_ids, queries, n
         self.ids = np.empty((len(query_ids), 0), dtype=np.int64)
         self.scores = np.empty((len(query_ids), 0))
 
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        step = max(1, MAX_SCORES // len(self.query_ids))
+        for start in range(0, len(ids), step):
+            scores = np.round(self.score(self.queries, vectors[start : start + step]), DECIMALS)
+            self._merge(ids[start : start + step], scores)
+
+    def _merge(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        if self.ids.shape[1] == self.n:
+            # Only vectors that reach some query's last place matter.
+            reach = (scores >= self.scores[:, -1:]).any(axis=0)
+            ids, scores = ids[reach], scores[:, reach]
         all_ids = np.hstack([self.ids, np.broadcast_to(ids, scores.shape)])
-        all_scores = np.hstack([self.scores, np.round(scores, DECIMALS)])
+        all_scores = np.hstack([self.scores, scores])
         keep = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.n]
         self.ids = np.take_along_axis(all_ids, keep, axis=1)
         self.scores = np.take_along_axis(all_scores, keep, axis=1)
@@ -73,10 +85,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def _score_partition(score: Callable, query_ids: np.ndarray, matrix: np.ndarray, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(query_ids, n)
+        best = _Best(score, query_ids, matrix, n)
         for batch in batches:
             if len(batch):
-                best.add(batch["doc_id"].to_numpy(), score(matrix, _matrix(batch["vec"])))
+                best.add(batch["doc_id"].to_numpy(), _matrix(batch["vec"]))
         yield best.frame()
 
     return run
@@ -86,8 +98,8 @@ def _score_block(score: Callable, n: int):
     def run(_key, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or vectors.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        best = _Best(queries["query_id"].to_numpy(), n)
-        best.add(vectors["doc_id"].to_numpy(), score(_matrix(queries["vec"]), _matrix(vectors["vec"])))
+        best = _Best(score, queries["query_id"].to_numpy(), _matrix(queries["vec"]), n)
+        best.add(vectors["doc_id"].to_numpy(), _matrix(vectors["vec"]))
         return best.frame()
 
     return run

@@ -17,15 +17,15 @@ POSTINGS_PER_KEY = 100_000
 DECIMALS = 6
 
 
-def is_small(df: DataFrame, text: str | None = None) -> bool:
+def is_small(df: DataFrame, text: str | None = None, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a query table may be broadcast: a bounded count of its rows and the bytes of its text.
 
     A text of b bytes holds fewer than b/3 distinct terms plus separators, so the bytes bound every
     term table derived from it.
     """
     size = F.sum(F.octet_length(text)) if text else F.lit(0)
-    row = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), size.alias("b")).first()
-    return row["n"] <= BROADCAST_ROWS and (row["b"] or 0) <= BROADCAST_TEXT_BYTES
+    row = df.limit(rows + 1).agg(F.count("*").alias("n"), size.alias("b")).first()
+    return row["n"] <= rows and (row["b"] or 0) <= BROADCAST_TEXT_BYTES
 
 
 def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
@@ -82,13 +82,13 @@ def top_n(
 def label_lookup(top: DataFrame, labels: DataFrame, small: bool) -> DataFrame:
     """Attach label columns by doc_id; matches without a label keep nulls.
 
-    ``small`` states that the queries passed ``is_small``: the labels are then narrowed to the matched ids where they
-    lie. Otherwise both sides are shuffled, and Spark splits a document that many queries match.
+    ``small`` states that the matched ids are few enough to be broadcast: the labels are then narrowed to them where
+    they lie. Otherwise both sides are shuffled, and Spark splits a document that many queries match.
     """
     if not small:
         return top.join(labels, "doc_id", "left")
     hit = labels.join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi")
-    return top.join(F.broadcast(hit), "doc_id", "left")
+    return top.join(hit, "doc_id", "left")
 
 
 def pad_zero(top: DataFrame, queries: DataFrame, docs: DataFrame, n: int = 10) -> DataFrame:

@@ -82,7 +82,8 @@ class SimilarityModel:
         top = search.top_n(self.scores(frame), n)
         if pad:
             top = search.pad_zero(top, frame, self.labels, n)
-        return search.label_lookup(top, self.labels, search.is_small(frame)).select(
+        few = search.is_small(frame, rows=search.BROADCAST_ROWS // n)
+        return search.label_lookup(top, self.labels, few).select(
             "query_id", "rank", "doc_id", "score", *self.label_cols
         )
 

@@ -207,6 +207,7 @@ ORACLE: dict[str, str] = {
     "export": "SELECT vec_id, label, len(embedding)::BIGINT AS length, true AS same FROM embeddings",
     "preview_chunks": "SELECT * FROM documents ORDER BY doc_id LIMIT 1000",
     "save_model": f"{CORPUS} SELECT doc_id, term, tf, round(w, 6) AS w FROM vec",
+    "load_model": PREDICTED,
     "write_labelled_csv": "SELECT p_retailprice, p_partkey, p_size FROM part",
     "write_split": f"SELECT o_orderkey, o_orderstatus, o_totalprice, {SPLIT} FROM orders",
     # Projections, filters, casts, unions
@@ -255,7 +256,7 @@ ORACLE: dict[str, str] = {
     "idf_min_df": f"{FLOW} SELECT doc_id, term, tf::DOUBLE AS tf, round(w, 6) AS w FROM flow",
     "vector_col": f"""{FLOW} SELECT term, (count(*) FILTER (w <> 0))::BIGINT AS docs, round(sum(w), 4) AS total
       FROM flow GROUP BY term""",
-    "fit_model": f"""WITH a AS ({analyzed(ALPHA, True)})
+    "fit": f"""WITH a AS ({analyzed(ALPHA, True)})
       SELECT term, count(*)::BIGINT AS df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1, 6) AS idf
       FROM a GROUP BY term""",
     # Search

@@ -14,6 +14,7 @@ from nearkin.functions import text as T
 from nearkin.operators import (
     cleaning, dense, duplicates, features, flow, inspect, search, tables, tokens, weights,
 )
+from nearkin.plans import model as plan_model
 from nearkin.plans.model import SimilarityModel, fit
 from nearkin.session import materialize, scratch_path, spread
 from nearkin.streaming import serving
@@ -186,6 +187,14 @@ def save_model(spark, sf):
     return model.vectors.select("doc_id", "term", "tf", r6("w"))
 
 
+@query
+def load_model(spark, sf):
+    """The benchmark answered by a model read from its tables."""
+    path = scratch_path(spark, "model")
+    corpus(spark, sf).save(path)
+    return plan_model.load_model(spark, path).predict(benchmark(spark, sf))
+
+
 @query
 def write_labelled_csv(spark, sf):
     path = scratch_path(spark, "labelled")
@@ -421,14 +430,16 @@ def vector_col(spark, sf):
     )
 
 
-@query
-def fit_model(spark, sf):
+def _fit(spark, sf):
     """Vocabulary of a model fitted with lemmas and parts of speech, written and loaded again."""
     docs = table(spark, sf, "documents")
     model = fit(docs, "text", ["source"], "doc_id", mode="custom")
     return model.save(scratch_path(spark, "model")).vocab.select("term", "df", r6("idf"))
 
 
+QUERIES["fit"] = _fit
+
+
 # Search
 
 

@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         "tests", "local[4]",
         **{
             "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "4g",
-            "spark.ui.showConsoleProgress": "false",
+            "spark.ui.showConsoleProgress": "false", "spark.sql.codegen.wholeStage": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
         },
     )

@@ -124,8 +124,7 @@ def test_is_small(spark, monkeypatch):
     assert search.is_small(df, "text")
     monkeypatch.setattr(search, "BROADCAST_TEXT_BYTES", 5)
     assert not search.is_small(df, "text")
-    monkeypatch.setattr(search, "BROADCAST_ROWS", 1)
-    assert not search.is_small(df)
+    assert not search.is_small(df, rows=1)
 
 
 def test_inspect_and_weights(model):
