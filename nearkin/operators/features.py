@@ -13,7 +13,7 @@ SORT_ROWS = 100_000
 
 
 def kth_smallest(df: DataFrame, id_col: str, k: int) -> int | None:
-    """The ``k``-th smallest value (from 1) of an integer column.
+    """The ``k``-th smallest value (from 1) of an integer column; repeats count.
 
     Each pass counts ids in equal bins and narrows to the bin that holds the ``k``-th, so no task ever sorts the
     table; ids alone are read. The driver sees only bin counts.

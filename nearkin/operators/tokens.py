@@ -1,6 +1,6 @@
 """Analyzers: texts to ``(id, term, tf)`` rows.
 
-Three modes, as in the reference: ``none`` takes word tokens as they are, ``default`` lemmatizes every
+Three modes: ``none`` takes word tokens as they are, ``default`` lemmatizes every
 token as a noun, ``custom`` keeps nouns and verbs and lemmatizes them by part of speech. Lemma and part of
 speech are looked up in a lexicon table by join, once per distinct token.
 """

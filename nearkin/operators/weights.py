@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.functions import text as T
+from nearkin.operators.features import kth_smallest
 from nearkin.operators.tokens import token_rows
+from nearkin.session import materialize
 
 
 # Stored postings per bucket folder and per file in it, and the most of each a table gets.
@@ -94,20 +96,24 @@ def count_vectorize(
     ``max_df`` is a share of documents. The vocabulary keeps the most frequent terms, ties by term; ``vocab_size``
     bounds it, so it is broadcast.
     """
-    counts = (
+    counts = materialize(
         token_rows(docs, text, T.tokens_standard, id_col)
         .withColumnRenamed("token", "term")
         .groupBy(id_col, "term")
-        .agg(F.count("*").alias("tf"))
+        .agg(F.count("*").alias("tf")),
+        "counts",
     )
-    kept = (
+    terms = materialize(
         counts.groupBy("term")
         .agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        .filter((F.col("df") >= min_df) & (F.col("df") <= F.floor(corpus_size(docs) * max_df)))
-        .orderBy(F.desc("cf"), "term")
-        .limit(vocab_size)
-        .select("term")
+        .filter((F.col("df") >= min_df) & (F.col("df") <= F.floor(corpus_size(docs) * max_df))),
+        "terms",
     )
+    # Terms below the frequency of the last one that fits never reach the sort.
+    beyond = terms.count() - vocab_size
+    if beyond > 0:
+        terms = terms.filter(F.col("cf") >= kth_smallest(terms, "cf", beyond + 1))
+    kept = terms.orderBy(F.desc("cf"), "term").limit(vocab_size).select("term")
     counts = counts.filter(F.col("tf") >= min_tf).join(F.broadcast(kept), "term", "left_semi")
     tf = F.lit(1.0) if binary else F.col("tf").cast("double")
     return counts.select(id_col, "term", tf.alias("tf"))

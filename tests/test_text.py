@@ -5,16 +5,16 @@ from nearkin.functions import text as T
 from nearkin.functions.wordlists import ENGLISH_STOP_WORDS
 from nearkin.operators import cleaning, tokens
 
-BODY = """# Describe the issue that you are facing.
+BODY = """# What goes wrong?
 
-This is the body of the issue. Often times, customers will use Markdown to format their issues, with *italics*, _underlines_, or ~strikethroughs~. This example is in pre-rendered Markdown.
+The form rejects *every* file, _even_ small ones, and ~never~ says why.
 
-# Describe any potential solutions that you've tried.
+# What did you try?
 
-They may also provide URL's, either [embedded](aws.amazon.com/amplify/) or in plaintext: aws.amazon.com/amplify/ . 
+I followed [the guide](docs.example.com/guide/) and the page at docs.example.com/guide/ .
 
 ```
-console.log("It's common to see code blocks or error messages for implementation questions.")
+upload("it fails here")
 ```"""
 
 
@@ -28,15 +28,15 @@ def test_stop_words_are_sparks_default(spark):
 
 def test_cleaning_stages(spark):
     bare = one(spark, lambda c: T.strip_markdown(T.strip_urls(T.strip_code(c))), BODY)
-    assert "with italics, underlines, or strikethroughs. This" in bare
-    assert "either embedded or in plaintext:" in bare
-    assert "amazon" not in bare and "console" not in bare
-    assert bare.startswith("# Describe the issue")
+    assert "rejects every file, even small ones, and never says" in bare
+    assert "I followed the guide and the page at" in bare
+    assert "example" not in bare and "upload" not in bare
+    assert bare.startswith("# What goes wrong?")
     df = spark.createDataFrame([("r", "u", "A title", BODY), ("r", "v", "Other", "text")], "repo string, url string, title string, body string")
     rows = {r["url"]: r for r in cleaning.clean_issue(df).collect()}
     text = rows["u"]["title_body"]
-    assert text.startswith("A title\n\n") and "Describe" not in text
-    assert text.rstrip().endswith("in plaintext:")
+    assert text.startswith("A title\n\n") and "What" not in text
+    assert text.rstrip().endswith("and the page at")
     assert rows["u"]["title"] == "A title"
 
 
