@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from nearkin.llm import bpe, chat
+from nearkin.llm import bpe, chat, neardup
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_hyperminhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicates of all documents: five words a shingle, 85 of 100 alike."""
+    return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), percent=85)
+
+
 def op8_chat_prefix_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Whole conversations and one of hostile texts, formatted, then read back from the examples."""
     said = r"\### Assistant: </turn> ok"
@@ -60,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op8_chat_prefix_targets, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_hyperminhash, op8_chat_prefix_targets, op10_byte_bpe)}
 
 _SAID = r"\### Assistant: </turn> ok"
 ORACLE = {
