@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from nearkin.llm import bpe, chat, neardup
+from nearkin.llm import bpe, chat, neardup, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +18,16 @@ def op2_hyperminhash(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), percent=85)
 
 
+def op4_compression_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity scores of all texts; rows whose crc32 of the id leaves 1 by 3 are never learned from."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.labelled(docs, table(spark, sf, "labels"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op8_chat_prefix_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Whole conversations and one of hostile texts, formatted, then read back from the examples."""
     said = r"\### Assistant: </turn> ok"
@@ -65,7 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_hyperminhash, op8_chat_prefix_targets, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_hyperminhash, op4_compression_toxicity, op8_chat_prefix_targets, op10_byte_bpe)}
 
 _SAID = r"\### Assistant: </turn> ok"
 ORACLE = {
