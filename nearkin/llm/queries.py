@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from nearkin.llm import bpe, chat, neardup, toxicity
+from nearkin.llm import bpe, chat, leaks, neardup, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def op8_chat_prefix_targets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_simhash_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark items that documents repeat, with their best window; other documents give no row."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return leaks.find_leaks(docs, table(spark, sf, "benchmark").select("item_id", "text"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Every text encoded and decoded again."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -75,7 +81,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_hyperminhash, op4_compression_toxicity, op8_chat_prefix_targets, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_hyperminhash, op4_compression_toxicity, op8_chat_prefix_targets, op9_simhash_leaks, op10_byte_bpe)}
 
 _SAID = r"\### Assistant: </turn> ok"
 ORACLE = {
