@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from nearkin.llm import bpe, chat, leaks, neardup, toxicity
+from nearkin.llm import bpe, chat, leaks, licences, neardup, secrets, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +18,24 @@ def op2_hyperminhash(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), percent=85)
 
 
+def op3_rare_word_licences(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases and notices of all texts."""
+    docs = licences.scan_licences(table(spark, sf, "documents").select("doc_id", "text"))
+    base = F.filter("licences", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    joined = lambda found: F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda m: m["label"]))), ",")
+    return docs.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.col("licences")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("licences", lambda m: m["coverage"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op4_compression_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity scores of all texts; rows whose crc32 of the id leaves 1 by 3 are never learned from."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -28,6 +46,24 @@ def op4_compression_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_random_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of secrets in all texts."""
+    docs = secrets.find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    told = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return docs.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(told(base), 256).alias("base_sha256"),
+        told(F.col("secrets")).alias("spans"),
+    )
+
+
 def op8_chat_prefix_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Whole conversations and one of hostile texts, formatted, then read back from the examples."""
     said = r"\### Assistant: </turn> ok"
@@ -81,7 +117,10 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_hyperminhash, op4_compression_toxicity, op8_chat_prefix_targets, op9_simhash_leaks, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op2_hyperminhash, op3_rare_word_licences, op4_compression_toxicity, op7_random_secrets, op8_chat_prefix_targets,
+    op9_simhash_leaks, op10_byte_bpe,
+)}
 
 _SAID = r"\### Assistant: </turn> ok"
 ORACLE = {
