@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from nearkin.llm import bpe, chat, leaks, licences, neardup, secrets, toxicity
+from nearkin.llm import bpe, chat, leaks, licences, neardup, secrets, shards, topk, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,6 +46,18 @@ def op4_compression_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_branch_and_bound(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best others of every hundredth vector."""
+    return topk.top_k(table(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op6_best_fit_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes; equal texts stay together."""
+    return shards.shard(table(spark, sf, "documents").select("doc_id", "text"), shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op7_random_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of secrets in all texts."""
     docs = secrets.find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
@@ -118,7 +130,8 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_hyperminhash, op3_rare_word_licences, op4_compression_toxicity, op7_random_secrets, op8_chat_prefix_targets,
+    op2_hyperminhash, op3_rare_word_licences, op4_compression_toxicity, op5_branch_and_bound,
+    op6_best_fit_shards, op7_random_secrets, op8_chat_prefix_targets,
     op9_simhash_leaks, op10_byte_bpe,
 )}
 
@@ -140,5 +153,18 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
 FROM n GROUP BY conv_id
+""",
+    "op5_branch_and_bound": """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """,
 }
