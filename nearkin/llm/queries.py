@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from nearkin.llm import bpe, chat, leaks, licences, neardup, secrets, shards, topk, toxicity
+from nearkin.llm import bpe, chat, leaks, licences, neardup, secrets, shards, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_gear_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages of all documents that stand in other documents as well."""
+    return substrings.repeated_passages(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op2_hyperminhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicates of all documents: five words a shingle, 85 of 100 alike."""
     return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), percent=85)
@@ -130,7 +135,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_hyperminhash, op3_rare_word_licences, op4_compression_toxicity, op5_branch_and_bound,
+    op1_gear_chunks, op2_hyperminhash, op3_rare_word_licences, op4_compression_toxicity, op5_branch_and_bound,
     op6_best_fit_shards, op7_random_secrets, op8_chat_prefix_targets,
     op9_simhash_leaks, op10_byte_bpe,
 )}
