@@ -7,8 +7,8 @@ shard. The groups themselves stay in Spark and pick their run by their number wi
 
 Shards of a fixed capacity are opened as needed. For a fixed number of shards, the capacity is the smallest that best fit
 decreasing needs, searched upwards from an even share; the finest groups, a twentieth of all bytes, go last and to the emptiest
-shard, which leaves the shards near equal. A group larger than a shard cannot stay whole: it is cut into parts of a
-shard's size. Sizes from 2^20 bytes on count rounded up to 1/1024, which bounds the number of sizes.
+shard, which leaves the shards near equal. A group larger than a shard cannot stay whole: it is cut into parts, of a
+shard's size or, for a fixed number of shards, a sixteenth of it. Sizes from 2^20 bytes on count rounded up to 1/1024, which bounds the number of sizes.
 
 Numbers within a size, a group or a shard are dealt by partition of a written table: counts of partitions are summed up and
 rows are numbered within theirs, so that no hot key is sorted in one task.
@@ -27,6 +27,8 @@ from nearkin.session import materialize
 
 ROW_BYTES = 16
 FINE = 20
+# Into how many parts, at least, a group larger than an even share is cut.
+PARTS = 16
 EXACT_BITS = 20
 
 
@@ -134,9 +136,16 @@ def even_shards(sizes: list[tuple[int, int]], shards: int) -> list[Run]:
     while cut and (fine + sizes[cut - 1][0] * sizes[cut - 1][1]) * FINE <= total:
         cut -= 1
         fine += sizes[cut][0] * sizes[cut][1]
-    share, room = -(-(total - fine) // shards), 0
+    share, low, room = -(-(total - fine) // shards), -1, 0
     while (packed := best_fit(sizes[:cut], share + room, shards)) is None:
-        room = max(1, room * 2)
+        low, room = room, max(1, room * 2)
+    # The fit lies between the last two tries.
+    while room - low > 1 + (room >> 4):
+        middle = (low + room) // 2
+        if (found := best_fit(sizes[:cut], share + middle, shards)) is None:
+            low = middle
+        else:
+            packed, room = found, middle
     runs, left = packed
     tree = Tree()
     for shard, remaining in left.items():
@@ -188,7 +197,9 @@ def shard(df: DataFrame, shards: int | None = None, capacity: int | None = None,
     )
     total = groups.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
     most = capacity or max(1, -(-total // shards))
-    per_part = F.greatest(F.floor(F.lit(most) / F.col("size")), F.lit(1))
+    # Parts of an even share would leave no room to even out the shards.
+    part = capacity or max(1, most // PARTS)
+    per_part = F.greatest(F.floor(F.lit(part) / F.col("size")), F.lit(1))
     per_part = F.when(F.col("size") * F.col("n") > most, per_part).otherwise(F.col("n")).cast("long")
     groups = groups.withColumn("per_part", per_part)
     part_rows = F.least(F.col("per_part"), F.col("n") - F.col("part") * F.col("per_part"))
