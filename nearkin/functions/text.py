@@ -1,7 +1,7 @@
 """Text cleaning and tokenizing as JVM-side column expressions.
 
-Every pattern keeps to the syntax that Java's regex engine and RE2 share, so the same pattern can be
-checked on another engine.
+Every pattern keeps to the syntax that Java's regex engine and RE2 share, but for possessive repeats, which RE2 does
+without; so the same pattern can be checked on another engine. None repeats a group by backtracking.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from nearkin.functions.wordlists import ENGLISH_STOP_WORDS
 
 FENCED_CODE = r"(?s)```.*?(?:```|\z)"
 INLINE_CODE = r"`([^`\n]*)`"
-EMBEDDED_LINK = r"!?\[([^\]]*)\]\([^)]*\)"
+EMBEDDED_LINK = r"!?\[([^\[\]]*)\]\([^()\n]*\)"
 # An address starts a word; the character before it is kept. It takes a full stop that would be left standing alone.
+# A host is one run of its characters and can only begin where such a run does, so each run is searched once.
 BARE_URL = (
-    r"(?i)(^|[^a-z0-9-])(?:(?:https?|ftp)://[^\s<>\"')]+|www\.[^\s<>\"')]+"
-    r"|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s<>\"')]*)(?:[ \t]+\.)?"
+    r"(?i)((?:^|[^a-z0-9.-])\.*)(?:(?:https?|ftp)://[^\s<>\"')]+|www\.[^\s<>\"')]+"
+    r"|[a-z0-9-][a-z0-9.-]*\.[a-z]{2,}/[^\s<>\"')]*)(?:[ \t]+\.)?"
 )
 # Paired marks around a phrase. Underscores count only outside a word: snake_case stays.
 EMPHASIS = [
@@ -35,7 +36,8 @@ ALPHA_TOKEN = r"[a-zA-Z]{3,}"
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 CONTRACTED_NOT = r"(\p{L})n't"
 CONTRACTED_VERB = r"'(s|m|d|ll|re|ve)([^\p{L}]|\z)"
-PUNCT_TOKEN = r"\.\.\.|n't|'(?:ll|re|ve|s|m|d)|[\p{L}\p{N}_]+(?:[-./'][\p{L}\p{N}_]+)*"
+# Java repeats a group by recursion unless the repeat is possessive, and long chains would exhaust the stack.
+PUNCT_TOKEN = r"\.\.\.|n't|'(?:ll|re|ve|s|m|d)|[\p{L}\p{N}_]+(?:[-./'][\p{L}\p{N}_]+)*+"
 
 
 def strip_code(text: Column) -> Column:

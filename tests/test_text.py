@@ -1,3 +1,5 @@
+import time
+
 from pyspark.ml.feature import StopWordsRemover, Tokenizer
 from pyspark.sql import functions as F
 
@@ -121,3 +123,23 @@ def test_mode_default_and_none(spark):
 
 def test_user_tokenizer(spark):
     assert analyzed(spark, "none", ["a-b-b"], tokenizer=lambda c: F.split(c, "-"), stop_words=()) == {(0, "a"): 1, (0, "b"): 2}
+
+
+def test_long_runs_end_soon(spark):
+    units = ["a-", "a.", "a/", "a'", "[x](", "[", "*a", "`", "_a", "http:", "a.b/", "#", "~x"]
+    df = spark.createDataFrame([(u * (1_000_000 // len(u)),) for u in units], "t string")
+    t = F.col("t")
+    start = time.perf_counter()
+    rows = df.select(
+        *(F.length(clean(t)) for clean in (T.strip_code, T.strip_urls, T.strip_markdown)),
+        *(F.size(cut(t)) for cut in (T.tokens_alpha, T.tokens_word, T.tokens_punct)),
+    ).collect()
+    assert len(rows) == len(units) and time.perf_counter() - start < 60
+
+
+def test_hosts_and_chains(spark):
+    texts = ["go to a.b.org/x now", "...docs.org/y", "v1.2.3-rc/4 isn't a-b--c", "x [site](http://a.b/c) . end", "a.b.c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(T.strip_urls(F.col("t"))).collect()]
+    assert got == ["go to  now", "...", "v1.2.3-rc/4 isn't a-b--c", "x site . end", "a.b.c"]
+    assert df.select(T.tokens_punct(F.col("t"))).collect()[2][0] == ["v1.2.3-rc/4", "is", "n't", "a-b", "c"]
