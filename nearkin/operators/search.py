@@ -18,13 +18,13 @@ DECIMALS = 6
 
 
 def is_small(df: DataFrame, text: str | None = None, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a query table may be broadcast: a bounded count of its rows and the bytes of its text.
+    """Whether a query table may be broadcast: its rows and the bytes of its text, summed up where they lie.
 
     A text of b bytes holds fewer than b/3 distinct terms plus separators, so the bytes bound every
     term table derived from it.
     """
     size = F.sum(F.octet_length(text)) if text else F.lit(0)
-    row = df.limit(rows + 1).agg(F.count("*").alias("n"), size.alias("b")).first()
+    row = df.agg(F.count("*").alias("n"), size.alias("b")).first()
     return row["n"] <= rows and (row["b"] or 0) <= BROADCAST_TEXT_BYTES
 
 

@@ -169,12 +169,11 @@ def load_model(spark: SparkSession, path: str) -> SimilarityModel:
     )
 
 
-def check_labels(vectors: DataFrame, labels: DataFrame) -> None:
-    """Raise unless every document has exactly one label row."""
-    if not labels.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        raise ValueError("doc_id must be unique")
-    if not vectors.select("doc_id").join(labels, "doc_id", "left_anti").isEmpty():
-        raise ValueError("every document needs a label")
+def check_keys(docs: DataFrame, id_col: str) -> None:
+    """Raise unless every row has an id of its own: two texts of one id would be taken for one document."""
+    seen = docs.agg(F.count("*").alias("rows"), F.count_distinct(id_col).alias("ids")).first()
+    if seen["rows"] != seen["ids"]:
+        raise ValueError(f"{id_col} must be unique and not null")
 
 
 def fit(
@@ -190,13 +189,16 @@ def fit(
 ) -> SimilarityModel:
     """Fit on a corpus column and its label columns.
 
-    ``id_col`` names a unique integer id; without one, rows are numbered and the numbering is written down. Raw counts
-    and vocabulary are written to scratch tables: texts are analyzed once, and weighing joins tables of known size.
+    ``id_col`` names a unique integer id, which is checked; without one, rows are numbered and the numbering is written
+    down. Raw counts and vocabulary are written to scratch tables: texts are analyzed once, and weighing joins tables of
+    known size.
     """
     mode = tokens.check_mode(mode)
     if id_col is None:
         docs = materialize(docs.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
         id_col = "doc_id"
+    else:
+        check_keys(docs, id_col)
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(corpus).alias("text"))
     label_table = docs.select(F.col(id_col).alias("doc_id"), *labels)
     if mode != "none" and lexicon is None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearkin import fit
 from nearkin.operators import flow, search, weights
-from nearkin.plans.model import check_labels, load_model
+from nearkin.plans.model import load_model
 
 SENTENCES = [
     (0, "Bees like to make honey", "a"),
@@ -148,13 +148,12 @@ def test_fit_without_id_and_with_duplicates(spark):
     assert [r["score"] for r in rows] == [1.0, 1.0] and rows[0]["doc_id"] < rows[1]["doc_id"]
 
 
-def test_check_labels(spark):
-    docs = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
-    check_labels(docs, docs)
-    with pytest.raises(ValueError):
-        check_labels(docs, docs.unionAll(docs))
-    with pytest.raises(ValueError):
-        check_labels(docs, docs.filter("doc_id = 1"))
+def test_fit_needs_unique_ids(spark):
+    docs = spark.createDataFrame([(1, "red fish", "u1"), (2, "blue tree", "u2")], "id bigint, t string, url string")
+    assert fit(docs, "t", ["url"], "id", mode="none").predict("red").count() == 1
+    for bad in ([(1, "again", "u3")], [(None, "no id", "u3")]):
+        with pytest.raises(ValueError):
+            fit(docs.unionAll(spark.createDataFrame(bad, docs.schema)), "t", ["url"], "id", mode="none")
 
 
 def test_flow_vectors_equal_long_form(spark):
