@@ -622,7 +622,7 @@ def stream_score(spark, sf):
         spark, sf, "item_id bigint, text string", pathGlobFilter="benchmark.parquet"
     ).select(F.col("item_id").alias("query_id"), "text")
     serving.stream_score(items, model, out, scratch_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(out).drop("batch_id")
+    return spark.read.parquet(out).drop("run_id", "batch_id")
 
 
 @query
@@ -636,15 +636,29 @@ def catalog_append(spark, sf):
     return serving.refresh_vocab(spark, catalog).select("term", "df", r6("idf"))
 
 
+@query
+def catalog_search(spark, sf):
+    """The benchmark against a model over a catalog that took the documents in from a stream."""
+    catalog = scratch_path(spark, "catalog")
+    docs = serving.stream_files(
+        spark, sf, table(spark, sf, "documents").schema, pathGlobFilter="documents.parquet"
+    ).select("doc_id", "text")
+    serving.catalog_append(docs, catalog, scratch_path(spark, "checkpoint")).awaitTermination()
+    labels = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    found = serving.catalog_model(spark, catalog, labels).predict(benchmark(spark, sf))
+    return found.select("query_id", "rank", "doc_id", "score", "source", "lang")
+
+
 @query
 def feedback_counts(spark, sf):
-    """Finished days only: the last day is still open to late votes."""
+    """All days, those still open to late votes included."""
     events = serving.stream_files(
         spark, sf, table(spark, sf, "events").schema, pathGlobFilter="events.parquet"
     )
     out = scratch_path(spark, "votes")
     counts = serving.feedback_counts(events, "ts", "event_type", F.col("value"))
-    serving.run_append(counts, out, scratch_path(spark, "checkpoint"))
-    return spark.read.parquet(out).select(
+    serving.run_updates(counts, out, scratch_path(spark, "checkpoint")).awaitTermination()
+    found = serving.latest_updates(spark.read.parquet(out), ["window_start", "window_end", "event_type"])
+    return found.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "votes", F.round("total", 2).alias("total")
     )

@@ -1,10 +1,13 @@
 """Requests scored as they arrive, new tickets added to the catalog, votes counted by day.
 
-Sinks write each micro-batch into a folder of its own number and replace that folder when a batch is retried.
+Sinks write each micro-batch into a folder named by the query and the number of the batch, and replace that folder when a
+batch is retried. A query with a new checkpoint counts from 0 again but has a new name, so it adds to what is there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from nearkin.operators import tokens, weights
 from nearkin.plans.model import SimilarityModel
+from nearkin.session import materialize
 
 
 def stream_files(
@@ -28,27 +32,43 @@ def parse_requests(df: DataFrame, body: str = "body", field: str = "data") -> Da
     return df.withColumn("text", text).withColumn("ok", F.col("text").isNotNull())
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+AVAILABLE_NOW = {"availableNow": True}
+RUN, BATCH = "run_id", "batch_id"
+
+
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the query of a checkpoint; it lasts as long as the checkpoint does."""
+    return spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+
+
+def _write_batch(df: DataFrame, path: str, run_id: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/{RUN}={run_id}/{BATCH}={batch_id}")
 
 
 def stream_score(
-    requests: DataFrame, model: SimilarityModel, out: str, checkpoint: str, n_best: int | None = None
+    requests: DataFrame,
+    model: SimilarityModel,
+    out: str,
+    checkpoint: str,
+    n_best: int | None = None,
+    trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """Score each arriving ``(query_id, text)`` against the catalog, which stays as it is.
 
     The ranking window runs per micro-batch against the stored model, whose vectors are read only in the buckets of
-    the batch's terms.
+    the batch's terms. A batch is read from its source once. ``trigger`` is that of the writer, as in
+    ``{"processingTime": "10 seconds"}``.
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(model.predict(batch, n_best), out, batch_id)
+        batch.persist()
+        try:
+            _write_batch(model.predict(batch, n_best), out, _run_id(batch.sparkSession, checkpoint), batch_id)
+        finally:
+            batch.unpersist()
 
     return (
-        requests.writeStream.foreachBatch(score)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        requests.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
@@ -58,37 +78,94 @@ def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0))
+        return spark.createDataFrame([], schema).withColumns({RUN: F.lit(""), BATCH: F.lit(0)})
 
 
-def catalog_append(docs: DataFrame, catalog: str, checkpoint: str, id_col: str = "doc_id") -> StreamingQuery:
-    """Add arriving ``(id, text)`` rows whose id is new, with their term counts, as a partition per batch.
+def catalog_append(
+    docs: DataFrame,
+    catalog: str,
+    checkpoint: str,
+    id_col: str = "doc_id",
+    order_by: str | None = None,
+    trigger: dict = AVAILABLE_NOW,
+) -> StreamingQuery:
+    """Add arriving ``(id, text)`` rows with their term counts, as a folder per batch.
 
-    Known ids are found in the stored catalog instead of stream state, so state does not grow. Of several rows
-    with one id the first text in order is kept. ``catalog`` gets the tables ``docs`` and ``counts``.
+    Without ``order_by`` a known id is left as it is, and of several new rows with one id the first text in order is
+    kept. With it, a row of a known id is a new version; the one of the greatest ``order_by``, then of the first text, counts
+    (``catalog_docs``). Known ids are found in the stored catalog instead of stream state, so state does not grow.
+    ``catalog`` gets the tables ``docs`` and ``counts``.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = _stored(spark, f"{catalog}/docs", batch.schema).filter(F.col("batch_id") != batch_id)
-        new = batch.groupBy(id_col).agg(F.min("text").alias("text"))
-        new = new.join(known.select(id_col), id_col, "left_anti")
-        _write_batch(new, f"{catalog}/docs", batch_id)
-        added = spark.read.parquet(f"{catalog}/docs/batch_id={batch_id}")
-        _write_batch(tokens.analyze(added, id_col=id_col), f"{catalog}/counts", batch_id)
-
-    return (
-        docs.writeStream.foreachBatch(append)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        run_id = _run_id(spark, checkpoint)
+        if order_by is None:
+            new = batch.groupBy(id_col).agg(F.min("text").alias("text"))
+            known = _stored(spark, f"{catalog}/docs", batch.select(id_col, "text").schema)
+            known = known.filter((F.col(RUN) != run_id) | (F.col(BATCH) != batch_id)).select(id_col)
+            # The few new ids are met first, so that of the catalog's ids only theirs are shuffled on.
+            new = materialize(new, "arrived")
+            new = new.join(known.join(new.select(id_col), id_col, "left_semi"), id_col, "left_anti")
+        else:
+            new = batch.groupBy(id_col, order_by).agg(F.min("text").alias("text"))
+        _write_batch(new, f"{catalog}/docs", run_id, batch_id)
+        added = spark.read.parquet(f"{catalog}/docs/{RUN}={run_id}/{BATCH}={batch_id}")
+        counts = tokens.analyze(_latest(added, id_col, order_by), id_col=id_col)
+        _write_batch(counts, f"{catalog}/counts", run_id, batch_id)
+
+    return docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _latest(docs: DataFrame, id_col: str, order_by: str | None) -> DataFrame:
+    if order_by is None:
+        return docs
+    top = docs.groupBy(id_col).agg(F.max(order_by).alias("_top"))
+    tied = docs.join(top, id_col).filter(F.col(order_by).eqNullSafe(F.col("_top")))
+    others = [c for c in docs.columns if c not in (id_col, "text")]
+    return tied.groupBy(id_col).agg(F.min(F.struct("text", *others)).alias("_row")).select(id_col, "_row.*")
+
+
+def catalog_docs(spark: SparkSession, catalog: str, id_col: str = "doc_id", order_by: str | None = None) -> DataFrame:
+    """The current ``(id, text, …)`` of each id of a catalog, with the run and batch it came in."""
+    return _latest(spark.read.parquet(f"{catalog}/docs"), id_col, order_by)
+
+
+def catalog_counts(spark: SparkSession, catalog: str, id_col: str = "doc_id", order_by: str | None = None) -> DataFrame:
+    """``(id, term, tf)`` of the current text of each id."""
+    counts = spark.read.parquet(f"{catalog}/counts")
+    if order_by is not None:
+        current = catalog_docs(spark, catalog, id_col, order_by).select(id_col, RUN, BATCH)
+        counts = counts.join(current, [id_col, RUN, BATCH], "left_semi")
+    return counts.select(id_col, "term", "tf")
 
 
-def refresh_vocab(spark: SparkSession, catalog: str) -> DataFrame:
+def refresh_vocab(spark: SparkSession, catalog: str, id_col: str = "doc_id", order_by: str | None = None) -> DataFrame:
     """``(term, df, idf)`` over everything in the catalog; counts are stored raw, so only this is redone."""
-    counts = spark.read.parquet(f"{catalog}/counts")
-    return weights.idf(weights.doc_freq(counts), weights.corpus_size(spark.read.parquet(f"{catalog}/docs")))
+    counts = catalog_counts(spark, catalog, id_col, order_by)
+    docs = catalog_docs(spark, catalog, id_col, order_by)
+    return weights.idf(weights.doc_freq(counts), weights.corpus_size(docs))
+
+
+def catalog_model(
+    spark: SparkSession, catalog: str, labels: DataFrame, id_col: str = "doc_id", order_by: str | None = None, n_best: int = 10
+) -> SimilarityModel:
+    """A model that searches the catalog as it stands, with label columns from ``labels(id, …)``.
+
+    The stored counts are used as they are; only vocabulary and weights are computed. Catalogs hold the plain analyzer's counts.
+    """
+    counts = materialize(catalog_counts(spark, catalog, id_col, order_by).withColumnRenamed(id_col, "doc_id"), "counts")
+    vocab = materialize(refresh_vocab(spark, catalog, id_col, order_by), "vocab")
+    labels = labels.withColumnRenamed(id_col, "doc_id")
+    return SimilarityModel(
+        vocab=vocab,
+        vectors=weights.weigh(counts, vocab),
+        labels=labels,
+        mode="none",
+        n_best=n_best,
+        label_names=tuple(c for c in labels.columns if c != "doc_id"),
+        counts=counts,
+    )
 
 
 def feedback_counts(
@@ -104,14 +181,23 @@ def feedback_counts(
     )
 
 
-def run_append(df: DataFrame, out: str, checkpoint: str) -> None:
-    """Run a finished-windows stream to the end of its input and write it as Parquet."""
-    (
-        df.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
+def run_updates(df: DataFrame, out: str, checkpoint: str, trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
+    """Write each batch's changed windows, open ones included, into the folder of the batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch, out, _run_id(batch.sparkSession, checkpoint), batch_id)
+
+    return (
+        df.writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
-        .awaitTermination()
     )
+
+
+def latest_updates(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each key the row of the last batch of its run. Runs count their own input: several add up by key."""
+    values = [c for c in updates.columns if c not in (*keys, RUN, BATCH)]
+    last = updates.groupBy(*keys, RUN).agg(F.max_by(F.struct(*values), BATCH).alias("_row"))
+    return last.groupBy(*keys).agg(*(F.sum(f"_row.{c}").alias(c) for c in values))

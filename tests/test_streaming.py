@@ -18,7 +18,7 @@ def test_stream_score_equals_batch(spark, tmp_path):
     requests.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = serving.stream_files(spark, str(tmp_path / "in"), requests.schema, maxFilesPerTrigger=1)
     serving.stream_score(stream, model, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).drop("batch_id").collect()
+    got = spark.read.parquet(str(tmp_path / "out")).drop("run_id", "batch_id").collect()
     assert sorted(got) == sorted(model.predict(requests).collect())
 
 
@@ -40,22 +40,60 @@ def test_catalog_append_over_batches(spark, tmp_path):
     assert freq == {"red": 2, "fish": 1, "blue": 1, "tree": 1}
 
 
-def test_feedback_drops_late_and_keeps_finished_days(spark, tmp_path):
+def test_new_checkpoint_adds_to_catalog_and_scores(spark, tmp_path):
+    schema = "doc_id bigint, text string"
+    model = fit(spark.createDataFrame([(1, "red fish")], schema), "text", ["text"], "doc_id", mode="none").save(str(tmp_path / "m"))
+    for i, text in ((1, "red fish"), (2, "blue tree")):
+        spark.createDataFrame([(i, text)], schema).write.parquet(str(tmp_path / f"in{i}"))
+        stream = serving.stream_files(spark, str(tmp_path / f"in{i}"), schema)
+        serving.catalog_append(stream, str(tmp_path / "cat"), str(tmp_path / f"cp{i}")).awaitTermination()
+        asked = serving.stream_files(spark, str(tmp_path / f"in{i}"), schema).selectExpr("doc_id AS query_id", "'red' AS text")
+        serving.stream_score(asked, model, str(tmp_path / "out"), str(tmp_path / f"scp{i}")).awaitTermination()
+    assert {r["doc_id"] for r in serving.catalog_docs(spark, str(tmp_path / "cat")).collect()} == {1, 2}
+    assert {r["query_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1, 2}
+
+
+def test_catalog_versions_and_search(spark, tmp_path):
+    schema = "doc_id bigint, text string, at bigint"
+    cat = str(tmp_path / "cat")
+
+    def pull(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = serving.stream_files(spark, str(tmp_path / "in"), schema)
+        serving.catalog_append(stream, cat, str(tmp_path / "cp"), order_by="at").awaitTermination()
+
+    pull([(1, "red fish", 1), (1, "red whale", 2), (2, "blue fish", 1)])
+    pull([(2, "green tree", 5), (1, "old news", 0), (3, "fish soup", 1)])
+    docs = {r["doc_id"]: r["text"] for r in serving.catalog_docs(spark, cat, order_by="at").collect()}
+    assert docs == {1: "red whale", 2: "green tree", 3: "fish soup"}
+    labels = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id bigint, name string")
+    found = serving.catalog_model(spark, cat, labels, order_by="at").predict("fish tree")
+    expected = fit(
+        spark.createDataFrame([(*x, n) for x, n in zip(docs.items(), "abc")], "doc_id bigint, text string, name string"),
+        "text", ["name"], "doc_id", mode="none",
+    ).predict("fish tree")
+    assert sorted(found.collect()) == sorted(expected.collect()) and found.count() == 2
+
+
+def test_feedback_drops_late_and_shows_open_days(spark, tmp_path):
     rows = [("2024-01-01 10:00:00", "up", 1.0), ("2024-01-01 11:00:00", "up", 2.0), ("2024-01-02 12:00:00", "down", 1.0)]
     df = spark.createDataFrame(rows, "ts string, vote string, v double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    late = spark.createDataFrame([("2024-01-01 09:00:00", "up", 9.0), ("2024-01-04 00:00:00", "up", 1.0)], "ts string, vote string, v double")
+    late = spark.createDataFrame(
+        [("2024-01-01 09:00:00", "up", 9.0), ("2024-01-02 13:00:00", "down", 2.0), ("2024-01-04 00:00:00", "up", 1.0)],
+        "ts string, vote string, v double",
+    )
     late = late.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
     def run():
         events = serving.stream_files(spark, str(tmp_path / "in"), df.schema)
         counts = serving.feedback_counts(events, "ts", "vote", F.col("v"))
-        serving.run_append(counts, str(tmp_path / "out"), str(tmp_path / "cp"))
+        serving.run_updates(counts, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        found = serving.latest_updates(spark.read.parquet(str(tmp_path / "out")), ["window_start", "window_end", "vote"])
+        return {(str(r["window_start"])[:10], r["vote"]): (r["votes"], r["total"]) for r in found.collect()}
 
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    run()
+    assert run() == {("2024-01-01", "up"): (2, 3.0), ("2024-01-02", "down"): (1, 1.0)}
     late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    run()
-    out = {(str(r["window_start"])[:10], r["vote"]): (r["votes"], r["total"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert out == {("2024-01-01", "up"): (2, 3.0), ("2024-01-02", "down"): (1, 1.0)}
+    assert run() == {("2024-01-01", "up"): (2, 3.0), ("2024-01-02", "down"): (2, 3.0), ("2024-01-04", "up"): (1, 1.0)}
     batch = serving.feedback_counts(df, "ts", "vote", F.col("v"))
     assert batch.count() == 2
