@@ -16,7 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.operators.search import DECIMALS, top_n
+from nearkin.operators.search import BROADCAST_ROWS, DECIMALS, label_lookup, top_n
+from nearkin.session import materialize
 
 # Executors get the numpy code with the task and need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -117,8 +118,15 @@ def dense_top_n(
 
     A query set of at most ``max_query_values`` numbers is sent to the tasks. A larger one is cut into blocks,
     as are the vectors, and each pair of blocks is scored by one task of bounded size.
+    Vectors and queries that are null, hold a null, have another length than the longest query or, under ``dot``, hold NaN
+    take no part.
     """
     score = SCORERS[scorer]
+    queries = queries.select("query_id", "vec")
+    length = queries.agg(F.max(F.size("vec"))).first()[0] or 0
+    bad = lambda x: x.isNull() | (F.isnan(x) if scorer == "dot" else F.lit(False))
+    whole = F.col("vec").isNotNull() & (F.size("vec") == length) & ~F.exists("vec", bad)
+    vectors, queries = vectors.filter(whole), queries.filter(whole)
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("len")).first()
     rows, length = size["n"], max(size["len"] or 0, 1)
     if rows * length <= max_query_values:
@@ -141,3 +149,14 @@ def dense_top_n(
         _score_block(score, n), OUT
     )
     return top_n(scored, n)
+
+
+def dense_predict(vectors: DataFrame, labels: DataFrame, queries: DataFrame, n: int = 10, scorer: str = "dot") -> DataFrame:
+    """``dense_top_n`` and the label columns of ``labels(doc_id, …)``, which must have one row per vector."""
+    ids = vectors.select("doc_id").join(labels.select("doc_id", F.lit(1).alias("known")), "doc_id", "left")
+    seen = ids.agg(F.count("*").alias("rows"), F.count("known").alias("known")).first()
+    if seen["rows"] != seen["known"] or seen["rows"] != vectors.count():
+        raise ValueError("every vector needs one label row")
+    few = queries.count() * n <= BROADCAST_ROWS
+    top = dense_top_n(vectors, queries, n, scorer)
+    return label_lookup(materialize(top, "top") if few else top, labels, few)

@@ -83,6 +83,9 @@ class SimilarityModel:
         if pad:
             top = search.pad_zero(top, frame, self.labels, n)
         few = search.is_small(frame, rows=search.BROADCAST_ROWS // n)
+        if few:
+            # The matches are met twice below; written, they are scored once.
+            top = materialize(top, "top")
         return search.label_lookup(top, self.labels, few).select(
             "query_id", "rank", "doc_id", "score", *self.label_cols
         )

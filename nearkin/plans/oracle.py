@@ -269,6 +269,10 @@ ORACLE: dict[str, str] = {
     "dot_sparse": f"{scored()} SELECT query_id, doc_id, score FROM dot",
     "dot_dense": f"""{COORDS}, s AS (
         SELECT query_id, doc_id, round(sum(x * y), 6) AS score FROM x JOIN q USING (pos) GROUP BY ALL) {BEST_DENSE}""",
+    "dense_labels": f"""{COORDS}, s AS (
+        SELECT query_id, doc_id, round(sum(x * y), 6) AS score FROM x JOIN q USING (pos) GROUP BY ALL),
+      b AS ({BEST_DENSE})
+      SELECT b.*, label FROM b JOIN embeddings ON vec_id = doc_id""",
     "cosine_nan": f"""{COORDS}, s AS (
         SELECT query_id, doc_id, round(coalesce(
           sum(CASE WHEN kept THEN x * y END) / nullif(sqrt(sum(CASE WHEN kept THEN x * x END)) * sqrt(sum(CASE WHEN kept THEN y * y END)), 0),

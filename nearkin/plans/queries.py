@@ -470,6 +470,15 @@ def dot_dense(spark, sf):
     return dense.dense_top_n(vectors, centroids(spark, sf), N_BEST)
 
 
+@query
+def dense_labels(spark, sf):
+    """The best vectors of each centroid and their labels."""
+    rows = table(spark, sf, "embeddings")
+    vectors = rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    labels = rows.select(F.col("vec_id").alias("doc_id"), "label")
+    return dense.dense_predict(vectors, labels, centroids(spark, sf), N_BEST)
+
+
 @query
 def cosine_nan(spark, sf):
     vectors = table(spark, sf, "embeddings").select(

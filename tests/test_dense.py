@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearkin.functions import vectors as V
-from nearkin.operators.dense import dense_top_n
+from nearkin.operators.dense import dense_predict, dense_top_n
 
 SCHEMA_V, SCHEMA_Q = "doc_id bigint, vec array<double>", "query_id bigint, vec array<double>"
 
@@ -57,3 +57,20 @@ def test_column_forms_agree(data):
 def test_no_queries(data, spark):
     _, _, vectors, queries = data
     assert dense_top_n(vectors, queries.filter("false")).count() == 0
+
+
+def test_bad_vectors_take_no_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [None, 1.0]), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, SCHEMA_V)
+    queries = spark.createDataFrame([(7, [0.5, 1.0]), (8, None), (9, [1.0])], SCHEMA_Q)
+    assert [(r["query_id"], r["doc_id"]) for r in dense_top_n(vectors, queries).orderBy("rank").collect()] == [(7, 5), (7, 0)]
+
+
+def test_labels_of_dense_matches(spark):
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], SCHEMA_V)
+    labels = spark.createDataFrame([(0, "a"), (1, "b")], "doc_id bigint, name string")
+    queries = spark.createDataFrame([(7, [0.5, 1.0])], SCHEMA_Q)
+    assert [(r["rank"], r["name"]) for r in dense_predict(vectors, labels, queries).orderBy("rank").collect()] == [(1, "b"), (2, "a")]
+    for wrong in (labels.limit(1), labels.unionAll(labels)):
+        with pytest.raises(ValueError):
+            dense_predict(vectors, wrong, queries)
