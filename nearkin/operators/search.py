@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearkin.operators.weights import term_bucket
+from nearkin.operators.tokens import term_bucket
 
 # A query side is broadcast only below these bounds, which hold its term rows to some tens of megabytes.
 BROADCAST_ROWS = 100_000

@@ -21,6 +21,11 @@ TOKENIZERS = {"none": T.tokens_word, "default": T.tokens_punct, "custom": T.toke
 MIN_TERM = 3
 
 
+def term_bucket(term: Column, buckets: int) -> Column:
+    """The folder a term is stored in."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def check_mode(mode: str) -> str:
     mode = mode.lower()
     if mode not in TOKENIZERS:
@@ -85,6 +90,19 @@ def _bases(token: Column, pos: str) -> Column:
     return F.array_compact(F.array(*forms))
 
 
+def narrow_lexicon(lexicon: DataFrame, words: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The rows of a lexicon that few ``words`` can need: theirs and those of their base forms, as a small written table.
+
+    The words are broadcast and the lexicon is read once, where it lies; one stored in ``buckets`` folders only in theirs.
+    """
+    token = F.col("token")
+    forms = F.array_union(F.array(token), F.array_union(_bases(token, "N"), _bases(token, "V")))
+    needed, on = words.select(F.explode(forms).alias("token")).distinct(), ["token"]
+    if buckets:
+        needed, on = needed.withColumn("bucket", term_bucket(token, buckets)), ["bucket", "token"]
+    return materialize(lexicon.join(F.broadcast(needed), on, "left_semi").select("token", "pos"), "lexicon")
+
+
 def lemma_map(
     words: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None
 ) -> DataFrame:
@@ -147,12 +165,14 @@ def analyze(
     exceptions: DataFrame | None = None,
     tokenizer: Tokenizer | None = None,
     small: bool = False,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Raw term counts ``(id, term, tf)`` of each text.
 
     Modes with lemmas use ``lexicon(token, pos)``; without one it is drawn from ``docs`` itself. They write token
     counts and the term of each token to scratch tables, unless ``small`` says the texts passed ``is_small``: the
-    counts are read more than once, and a join of two tables lets Spark split a token most texts contain.
+    counts are read more than once, and a join of two tables lets Spark split a token most texts contain. Of small texts
+    only the counts are written, and the lexicon, stored in ``buckets`` folders or not, is narrowed to their words first.
     ``tokenizer``, a function from a string column to an array column, replaces the mode's own.
     """
     mode = check_mode(mode)
@@ -161,10 +181,11 @@ def analyze(
         kept = rows.withColumnRenamed("token", "term").filter(~F.col("term").isin(list(stop_words)))
         return kept.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     counts = rows.groupBy(id_col, "token").agg(F.count("*").alias("n"))
-    if not small:
-        counts = materialize(counts, "tokens")
+    counts = materialize(counts, "tokens")
     if lexicon is None:
         lexicon = lexicon_from(counts)
+    elif small:
+        lexicon = narrow_lexicon(lexicon, counts, buckets)
     mapping = term_map(counts, mode, lexicon, stop_words, exceptions)
     if not small:
         mapping = materialize(mapping, "terms")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearkin.functions import text as T
 from nearkin.operators.features import kth_smallest
-from nearkin.operators.tokens import token_rows
+from nearkin.operators.tokens import term_bucket, token_rows
 from nearkin.session import materialize
 
 
@@ -28,11 +28,6 @@ def files_per_bucket(rows: int, buckets: int) -> int:
     return min(MAX_FILES, max(1, math.ceil(rows / buckets / POSTINGS_PER_FILE)))
 
 
-def term_bucket(term: Column, buckets: int) -> Column:
-    """The folder a term is stored in."""
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
 def corpus_size(docs: DataFrame) -> Column:
     """Number of documents, empty ones included, as a scalar subquery."""
     return docs.agg(F.count("*")).scalar()

@@ -14,7 +14,8 @@ from nearkin.session import materialize
 
 Texts = DataFrame | str | Sequence[str]
 PARAMS = (
-    "mode string, n_best int, label_names array<string>, stop_words array<string>, has_lexicon boolean, buckets int"
+    "mode string, n_best int, label_names array<string>, stop_words array<string>, has_lexicon boolean, "
+    "has_exceptions boolean, buckets int"
 )
 
 
@@ -22,7 +23,8 @@ PARAMS = (
 class SimilarityModel:
     """Vocabulary ``(term, df, idf)``, vectors ``(doc_id, term, tf, df, w)``, labels ``(doc_id, …)``.
 
-    Modes with lemmas also keep the lexicon ``(token, pos)`` they were fitted with. A model that was just
+    Modes with lemmas also keep the lexicon ``(token, pos)`` they were fitted with, each token once, and irregular forms
+    ``(token, pos, lemma)`` if there are any. A model that was just
     fitted knows its raw counts ``(doc_id, term, tf)`` and weighs them on demand; one that was loaded knows in how
     many term buckets its vocabulary and vectors are stored.
     """
@@ -35,6 +37,7 @@ class SimilarityModel:
     label_names: tuple[str, ...] = ()
     stop_words: tuple[str, ...] = tuple(ENGLISH_STOP_WORDS)
     lexicon: DataFrame | None = None
+    exceptions: DataFrame | None = None
     counts: DataFrame | None = None
     buckets: int | None = None
 
@@ -60,7 +63,7 @@ class SimilarityModel:
 
     def _transform(self, frame: DataFrame, id_col: str, small: bool) -> DataFrame:
         counts = tokens.analyze(
-            frame, "text", id_col, self.mode, self.lexicon, self.stop_words, small=small
+            frame, "text", id_col, self.mode, self.lexicon, self.stop_words, self.exceptions, small=small, buckets=self.buckets
         )
         return weights.weigh(counts, self.vocab, id_col, small, self.buckets)
 
@@ -113,11 +116,12 @@ class SimilarityModel:
             query = self.as_frame(query).withColumn("doc_id", F.lit(0).cast("bigint"))
         cut = tokens.TOKENIZERS[self.mode](F.col("text"), lower=lower)
         words = query.select("query_id", "doc_id", F.posexplode(cut).alias("pos", "token"))
+        small = search.is_small(query, "text")
         if self.mode == "none":
             words = words.withColumnRenamed("token", "term")
         else:
-            words = words.join(tokens.term_map(words, self.mode, self.lexicon, ()), "token").drop("token")
-        small = search.is_small(query, "text")
+            lexicon = tokens.narrow_lexicon(self.lexicon, words, self.buckets) if small else self.lexicon
+            words = words.join(tokens.term_map(words, self.mode, lexicon, (), self.exceptions), "token").drop("token")
         asked = query.select("doc_id").distinct()
         docs = docs.join(F.broadcast(asked) if small else asked, "doc_id", "left_semi")
         return inspect.get_weights(words, self.transform(docs, "doc_id"), self.vocab, small)
@@ -130,8 +134,8 @@ class SimilarityModel:
         """
         base = path.rstrip("/")
         self.labels.write.mode(mode).parquet(f"{base}/labels")
-        if self.lexicon is not None:
-            self.lexicon.write.mode(mode).parquet(f"{base}/lexicon")
+        if self.exceptions is not None:
+            self.exceptions.write.mode(mode).parquet(f"{base}/exceptions")
         size = self.vocab.agg(F.sum("df").alias("postings"), F.count("*").alias("terms")).first()
         buckets = weights.bucket_count(size["postings"] or 0)
         # A term in many documents is spread over several files of its folder.
@@ -151,7 +155,21 @@ class SimilarityModel:
                 .partitionBy("bucket")
                 .parquet(f"{base}/{name}")
             )
-        params = (self.mode, self.n_best, list(self.label_names), list(self.stop_words), self.lexicon is not None, buckets)
+        if self.lexicon is not None:
+            # As with the vocabulary, a search reads only the folders of its words and their base forms.
+            bucket = weights.term_bucket(F.col("token"), buckets).alias("bucket")
+            (
+                self.lexicon.select("token", "pos", bucket)
+                .repartition(buckets, "bucket")
+                .sortWithinPartitions("bucket", "token")
+                .write.mode(mode)
+                .partitionBy("bucket")
+                .parquet(f"{base}/lexicon")
+            )
+        params = (
+            self.mode, self.n_best, list(self.label_names), list(self.stop_words), self.lexicon is not None,
+            self.exceptions is not None, buckets,
+        )
         self.spark.createDataFrame([params], PARAMS).coalesce(1).write.mode(mode).parquet(f"{base}/params")
         return load_model(self.spark, base)
 
@@ -168,6 +186,7 @@ def load_model(spark: SparkSession, path: str) -> SimilarityModel:
         label_names=tuple(params["label_names"]),
         stop_words=tuple(params["stop_words"]),
         lexicon=spark.read.parquet(f"{base}/lexicon") if params["has_lexicon"] else None,
+        exceptions=spark.read.parquet(f"{base}/exceptions") if params["has_exceptions"] else None,
         buckets=params["buckets"],
     )
 
@@ -189,6 +208,7 @@ def fit(
     label_names: Sequence[str] = (),
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     lexicon: DataFrame | None = None,
+    exceptions: DataFrame | None = None,
 ) -> SimilarityModel:
     """Fit on a corpus column and its label columns.
 
@@ -208,7 +228,10 @@ def fit(
         lexicon = materialize(
             tokens.lexicon_from(tokens.token_rows(frame, "text", tokens.TOKENIZERS[mode])), "lexicon"
         )
-    counts = materialize(tokens.analyze(frame, mode=mode, lexicon=lexicon, stop_words=stop_words), "counts")
+    elif lexicon is not None:
+        lexicon = materialize(lexicon.groupBy("token").agg(F.min("pos").alias("pos")), "lexicon")
+    counts = tokens.analyze(frame, mode=mode, lexicon=lexicon, stop_words=stop_words, exceptions=exceptions)
+    counts = materialize(counts, "counts")
     vocab = materialize(weights.idf(weights.doc_freq(counts), weights.corpus_size(frame)), "vocab")
     return SimilarityModel(
         vocab=vocab,
@@ -219,5 +242,6 @@ def fit(
         label_names=tuple(label_names or labels),
         stop_words=tuple(stop_words),
         lexicon=lexicon,
+        exceptions=exceptions,
         counts=counts,
     )

@@ -104,13 +104,14 @@ RULES = ", ".join(
 )
 
 
-def lemmas(tokens: str, custom: bool) -> str:
-    """CTEs: token counts, tagged distinct tokens and their lemmas."""
-    tagged = f"SELECT token, {POS} AS pos FROM lex WHERE {POS} IN ('N', 'V')" if custom else "SELECT token, 'N' AS pos FROM lex"
+def lemmas(tokens: str, custom: bool, source: str = "documents", id_col: str = "doc_id") -> str:
+    """CTEs: token counts, tagged distinct tokens and their lemmas; the lexicon is that of the documents."""
+    pos = f"CASE WHEN token IN (SELECT token FROM lex) THEN {POS} ELSE 'N' END" if custom else "'N'"
     return f"""WITH tok AS (
-      SELECT doc_id, token, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest({tokens}) AS token FROM documents) GROUP BY ALL),
-    lex AS (SELECT DISTINCT token FROM tok),
-    words AS ({tagged}),
+      SELECT doc_id, token, count(*)::BIGINT AS n
+      FROM (SELECT {id_col} AS doc_id, unnest({tokens}) AS token FROM {source}) GROUP BY ALL),
+    lex AS (SELECT DISTINCT token FROM (SELECT unnest({tokens}) AS token FROM documents)),
+    words AS (SELECT * FROM (SELECT token, {pos} AS pos FROM (SELECT DISTINCT token FROM tok)) WHERE pos IN ('N', 'V')),
     rules(pos, suffix, base) AS (VALUES {RULES}),
     forms AS (
       SELECT token, pos, token AS form FROM words
@@ -118,17 +119,34 @@ def lemmas(tokens: str, custom: bool) -> str:
       SELECT token, pos, left(token, length(token) - length(suffix)) || base
       FROM words JOIN rules USING (pos) WHERE ends_with(token, suffix) AND length(token) > length(suffix)),
     lem AS (
-      SELECT token, pos, form AS lemma FROM (
+      SELECT token, pos, coalesce(form, token) AS lemma FROM words LEFT JOIN (
         SELECT *, row_number() OVER (PARTITION BY token, pos ORDER BY length(form), form) AS r
-        FROM forms WHERE form IN (SELECT token FROM lex)) WHERE r = 1)"""
+        FROM forms WHERE form IN (SELECT token FROM lex)) f USING (token, pos) WHERE coalesce(r, 1) = 1)"""
 
 
-def analyzed(tokens: str, custom: bool) -> str:
-    return f"""{lemmas(tokens, custom)}
-    SELECT doc_id, lemma AS term, sum(n)::BIGINT AS tf FROM tok JOIN lem USING (token)
+def analyzed(tokens: str, custom: bool, source: str = "documents", id_col: str = "doc_id", alias: str = "doc_id") -> str:
+    return f"""{lemmas(tokens, custom, source, id_col)}
+    SELECT doc_id AS {alias}, lemma AS term, sum(n)::BIGINT AS tf FROM tok JOIN lem USING (token)
     WHERE length(lemma) >= 3 AND lemma NOT IN {STOP} GROUP BY ALL"""
 
 
+def predicted_lemmas(tokens: str, custom: bool) -> str:
+    """The best documents of each benchmark text under an analyzer with lemmas."""
+    return f"""WITH cnt AS MATERIALIZED ({analyzed(tokens, custom)}),
+    voc AS MATERIALIZED (
+      SELECT term, count(*)::BIGINT AS df, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf
+      FROM cnt GROUP BY term),
+    {vectors("vec", "cnt")},
+    qcnt AS MATERIALIZED ({analyzed(tokens, custom, "benchmark", "item_id", "query_id")}),
+    {vectors("qvec", "qcnt", "query_id")},
+    dot AS (
+      SELECT query_id, doc_id, round(sum(v.w * q.w), 6) AS score FROM vec v JOIN qvec q USING (term) GROUP BY ALL),
+    best AS (SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM dot)
+      WHERE rank <= {N_BEST})
+    SELECT query_id, rank, doc_id, score, source, lang FROM best JOIN documents USING (doc_id)"""
+
+
 # Tickets made of documents and pages
 
 ISSUES = """WITH issues AS (
@@ -293,6 +311,8 @@ ORACLE: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY filler, score DESC, doc_id)::INT AS rank FROM alls)
       WHERE rank <= {N_BEST}""",
     "predict": PREDICTED,
+    "predict_custom": predicted_lemmas(ALPHA, True),
+    "predict_default": predicted_lemmas(PUNCT, False),
     "predict_obj": f"""{ranked()} SELECT query_id, b.text, rank - 1 AS pos, source, lang, score
       FROM best JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id""",
     "inspect_doc": f"""{CORPUS} SELECT * FROM (

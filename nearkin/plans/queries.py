@@ -517,6 +517,22 @@ def predict(spark, sf):
     return corpus(spark, sf).predict(benchmark(spark, sf))
 
 
+def _predict_lemmas(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    """The benchmark against a stored model with lemmas."""
+    model = fit(table(spark, sf, "documents"), "text", ["source", "lang"], "doc_id", mode=mode, n_best=N_BEST)
+    return model.save(scratch_path(spark, "model")).predict(benchmark(spark, sf))
+
+
+@query
+def predict_custom(spark, sf):
+    return _predict_lemmas(spark, sf, "custom")
+
+
+@query
+def predict_default(spark, sf):
+    return _predict_lemmas(spark, sf, "default")
+
+
 @query
 def predict_obj(spark, sf):
     objects = corpus(spark, sf).predict_obj(benchmark(spark, sf))
