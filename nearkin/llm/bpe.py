@@ -188,7 +188,11 @@ class Encoder(dict):
 
 
 def encode(df: DataFrame, data: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Replace the column ``text`` by ``ids array<int>``; all other columns stay. ``data`` is a rank file's content."""
+    """Replace the column ``text`` by ``ids array<int>``; other columns stay, but for one that is named ``ids``.
+
+    ``data`` is a rank file's content.
+    """
+    df = df.drop(ids) if ids != text else df
     shared = df.sparkSession.sparkContext.broadcast(data)
     state: list = []
 
@@ -208,7 +212,8 @@ def encode(df: DataFrame, data: bytes, pattern: str, text: str = "text", ids: st
 
 
 def decode(df: DataFrame, data: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Replace the column ``ids`` by the bytes they stand for, ``text binary``; all other columns stay."""
+    """Replace the column ``ids`` by the bytes they stand for, ``text binary``; other columns stay, but for one that is named so."""
+    df = df.drop(text) if ids != text else df
     shared = df.sparkSession.sparkContext.broadcast(data)
     state: list = []
 

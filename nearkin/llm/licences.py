@@ -131,7 +131,11 @@ class Index:
 
 
 def scan_licences(df: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``df``, ``n_words`` and ``licences``, an array of ``(label, base, start, coverage)`` by start."""
+    """All columns of ``df``, ``n_words`` and ``licences``, an array of ``(label, base, start, coverage)`` by start.
+
+    Columns of these names are replaced.
+    """
+    df = df.drop("n_words", "licences")
     frequencies = df.sparkSession.sparkContext.broadcast(document_frequencies(df, text))
     state: list[Index] = []
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.llm.words import map_batches
+from nearkin.llm.words import byte_texts, map_batches
 
 # Fixed forms, in the order of ties.
 ASSIGN = re.compile(
@@ -133,7 +133,7 @@ def letter_shares(df: DataFrame, text: str) -> dict[str, float]:
     """Shares of ASCII letters and digits over all texts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data = b"".join(t for t in batch.column(0).cast(pa.binary()).to_pylist() if t)
+        data = b"".join(t for t in byte_texts(batch.column(0)) if t)
         counts = np.bincount(np.frombuffer(data, np.uint8), minlength=128)[:128]
         return pa.RecordBatch.from_arrays(
             [pa.array(np.arange(128), pa.int32()), pa.array(counts, pa.int64())], names=["c", "n"]
@@ -165,7 +165,11 @@ def thresholds(candidates: DataFrame, rate: float = RATE) -> dict[int, int]:
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
-    """All columns of ``df`` and ``secrets``, an array of ``(kind, start, end)`` by start, then kind."""
+    """All columns of ``df`` and ``secrets``, an array of ``(kind, start, end)`` by start, then kind.
+
+    A column of that name is replaced.
+    """
+    df = df.drop("secrets")
     shares = df.sparkSession.sparkContext.broadcast(letter_shares(df, text))
 
     def tests(value: str, skip: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int, bool]]:

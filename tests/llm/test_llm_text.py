@@ -47,7 +47,9 @@ def test_bpe_equals_merges(tokenizer):
 def test_bpe_columns(spark, tokenizer):
     data, expected = tokenizer
     rows = [(1, "the house", "x"), (1, "the house", "x"), (2, None, None), (3, "", "y"), (None, "é 🎉", "z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, coded string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, coded string").withColumns({"ids": F.lit(0), "decoded": F.lit(1)})
+    assert "decoded" in bpe.encode(df, data, public_tokenizers.PATTERN).columns
+    df = df.drop("decoded")
     out = bpe.encode(df, data, public_tokenizers.PATTERN)
     assert out.columns == ["doc_id", "coded", "ids"]
     for row in bpe.decode(out.withColumn("kept", F.col("ids")), data).collect():
@@ -64,7 +66,7 @@ def test_licence_places(spark):
     words = ["MIT", "License", "apache", "general", "public", "the", "gnu", "x"]
     rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 40)))) for i in range(300)]
     rows += [(900, None), (901, ""), (902, "// Licensed under the\n# Apache License,\n* Version 2.0"), (902, "MIT-License")]
-    out = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit("a")))
+    out = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"label": F.lit("a"), "n_words": F.lit("a")}))
     seen = {(row["doc_id"], row["text"]): row for row in out.collect()}
     for doc, text in rows:
         tokens = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
@@ -97,7 +99,7 @@ def test_secret_forms(spark):
         (6, prose(2, 80) + " internationalization-of-things-and-words " + "z" * 40),
         (6, "paſsword=abcdefghijklmnop"),
     ]
-    out = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit(1)))
+    out = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kind": F.lit(1), "secrets": F.lit(2)}))
     found = {row["text"]: [(s["kind"], s["start"], s["end"]) for s in row["secrets"]] for row in out.collect()}
     assert found[rows[0][1]] == [("random", 2, 50)]
     assert found[rows[1][1]] == [("assign", 0, 24)]
@@ -134,7 +136,7 @@ def test_toxicity_separates(spark):
     docs = spark.createDataFrame([*rows, (1000, None), (1001, ""), (None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([*marks, (2000, 1), (None, 0), (1001, None)], "doc_id long, toxic int")
     model = toxicity.labelled(docs, labels, F.col("doc_id") % 3 != 1)
-    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs.withColumn("y", F.lit(0)), model).collect()}
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs.withColumns({"y": F.lit(0), "score": F.lit(5)}), model).collect()}
     held = [(scores[i], toxic) for i, toxic in marks if i % 3 == 1]
     right = sum((s >= 0.7) == bool(toxic) for s, toxic in held)
     assert right >= 0.95 * len(held)
