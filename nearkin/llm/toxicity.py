@@ -119,6 +119,8 @@ def _complete(content: bytes, samples: list[bytes], size: int) -> bytes:
 def _without_copies(texts: Iterable[bytes]) -> list[list[bytes]]:
     """Words of texts, one text of each group that shares one of five MinHash values of its 3-word shingles."""
     seen: set[tuple[int, int]] = set()
+    # One object for all the places of a word.
+    known: dict[bytes, bytes] = {}
     kept = []
     for text in texts:
         words = plain_words(text)
@@ -127,7 +129,7 @@ def _without_copies(texts: Iterable[bytes]) -> list[list[bytes]]:
         hashes = shingle_hashes(words, 3)
         values = {(i, int(mix(hashes ^ np.uint64(i)).min())) for i in range(5)}
         if not values & seen:
-            kept.append(words)
+            kept.append([known.setdefault(word, word) for word in words])
         seen |= values
     return kept
 
@@ -139,9 +141,9 @@ def _traits(word: bytes) -> list[bytes]:
 
 def _telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
     """Words of toxic documents that ordinary ones have less often, or that begin like such words."""
-    one, other = (
-        Counter(t for d in group for t in {t for w in windows(d) for t in _traits(w)}) for group in (toxic, ordinary)
-    )
+    one = Counter(t for d in toxic for t in {t for w in set(windows(d)) for t in _traits(w)})
+    # Only traits of toxic documents are asked for.
+    other = Counter(t for d in ordinary for t in {t for w in set(windows(d)) for t in _traits(w)} & one.keys())
     n, m = len(toxic), len(ordinary)
 
     def apart(trait: bytes) -> float:
@@ -163,27 +165,37 @@ def fit(texts: list[bytes], labels: list[int], share: float) -> Model | None:
     if not toxic or not ordinary:
         return None
     telling = _telling(toxic, ordinary)
-    pieces = [b" " + b" ".join(words) + b" " for words in ordinary]
-    plain = _content([p[i : i + 256] for p in pieces for i in range(0, len(p), 256)], ORDINARY_BYTES)
+    plain = _content(list(_pieces(ordinary)), ORDINARY_BYTES)
     samples = [b" " + w + b" " for d in toxic for w in windows(d) if w in telling]
     added = _complete(_content(samples, TOXIC_BYTES, k=16, d=6), samples, TOXIC_BYTES)
     gauge = Gauge(Model(plain, added, {}, ()))
-    documents = [({*windows(d)}, y) for group, y in ((toxic, 1), (ordinary, 0)) for d in group]
-    cells = {w: gauge.cell(w) for w in set().union(*(d for d, _ in documents))}
+    cells: dict[bytes, tuple[int, int, int]] = {}
     seen = [Counter(), Counter()]
-    for words, y in documents:
-        seen[y].update({cells[w] for w in words})
+    for y, group in ((1, toxic), (0, ordinary)):
+        for words in group:
+            own = set(windows(words))
+            cells.update((w, gauge.cell(w)) for w in own if w not in cells)
+            seen[y].update({cells[w] for w in own})
+    cells.clear()
     n, m = len(toxic), len(ordinary)
     ratios = {
         c: math.log((seen[1][c] + 0.5) / (n + 1)) - math.log((seen[0][c] + 0.5) / (m + 1)) for c in {*seen[0], *seen[1]}
     }
     gauge = Gauge(Model(plain, added, ratios, ()))
-    x = np.array([[1.0, *gauge.features(words)] for words, _ in documents])
-    y = np.array([label for _, label in documents], float)
+    x = np.array([[1.0, *gauge.features(words)] for group in (toxic, ordinary) for words in group])
+    y = np.array([1.0] * n + [0.0] * m)
     weight = np.where(y == 1, share / n, (1 - share) / m) * len(y)
     return Model(plain, added, ratios, tuple(map(float, _logistic(x, y, weight))))
 
 
+def _pieces(texts: list[list[bytes]]) -> Iterable[bytes]:
+    """Texts cut into pieces of a size the trainer takes."""
+    for words in texts:
+        text = b" " + b" ".join(words) + b" "
+        for start in range(0, len(text), 256):
+            yield text[start : start + 256]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -201,15 +213,15 @@ def labelled(docs: DataFrame, labels: DataFrame, keep=None, id_col: str = "doc_i
 
     The sample is drawn from the labels by hash of the id, so of the texts only its few thousand are gathered.
     """
-    marks = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
-    marks = marks.filter(keep) if keep is not None else marks
-    marks = marks.groupBy(id_col).agg(F.min(label).alias("y"), F.max(label).alias("other")).filter("y = other")
-    counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
+    known = known.filter(keep) if keep is not None else known
+    known = known.groupBy(id_col).agg(F.min(label).alias("y"), F.max(label).alias("other")).filter("y = other")
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return None
     order = [F.xxhash64(id_col), F.col(id_col)]
-    sample = marks.filter("y = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(
-        marks.filter("y = 0").orderBy(*order).limit(MAX_ORDINARY)
+    sample = known.filter("y = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(
+        known.filter("y = 0").orderBy(*order).limit(MAX_ORDINARY)
     )
     # The sample's ids are bounded, the texts stay where they are.
     rows = (
@@ -221,11 +233,15 @@ def labelled(docs: DataFrame, labels: DataFrame, keep=None, id_col: str = "doc_i
         .orderBy(*order)
         .collect()
     )
-    return fit([r["text"].encode() for r in rows], [r["y"] for r in rows], counts[1] / (counts[0] + counts[1]))
+    texts, marks = [r["text"].encode() for r in rows], [r["y"] for r in rows]
+    # The driver holds each text once.
+    del rows
+    return fit(texts, marks, counts[1] / (counts[0] + counts[1]))
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
-    """All columns of ``df`` and the score, 0 to 1."""
+    """All columns of ``df`` and the score, 0 to 1; a column of its name is replaced."""
+    df = df.drop(out)
     if model is None:
         return df.withColumn(out, F.lit(0.0))
     # Plain values: a broadcast is read without this module.
