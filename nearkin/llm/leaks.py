@@ -6,9 +6,10 @@ Words are runs of letters and digits (every ASCII sign separates), in lower case
 of them. What it finds is held to the exact weighted similarity of the shingle bags, ``sum(min) / sum(max)`` of
 their counts.
 
-A window as similar as asked must share a shingle with an item of its size. Only windows laid where such a shared shingle
-falls on its place in the item are fingerprinted; the others could not pass, so nothing is lost and the
-corpus goes through one probe of its shingles, without a shuffle of texts.
+Windows start at every word. The similarity ignores order, so one that passes may hold its item's shingles anywhere, but it
+must hold enough of them: a shared part of ``percent * (window + item) / (100 + percent)``. The corpus goes through one probe
+for shingles of items; counts along a document's hits then give every start with as many, and only these windows
+are fingerprinted. No texts are shuffled, only the shingles of documents with a hit.
 
 Everything is built from DataFrame functions. Items are deduplicated by their words; the table of their shingles is
 broadcast only below ``BROADCAST_ROWS`` rows, beyond which both sides are shuffled and Spark splits common shingles.
@@ -82,30 +83,65 @@ def bag_similarity(a: str, b: str) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _windows(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """``(doc, body, start, n, k, hashes)`` for every place where a shingle of an item falls on its place in it."""
-    item_rows = items.filter(F.col("k") == k).select(
-        "n", F.posexplode(shingles(F.col("tokens"), k)).alias("place", "h")
-    ).distinct()
+def _starts(hits: Column, size: Column, m: Column, percent: int) -> Column:
+    """Starts of all windows of ``m`` shingles, cut off at the borders of a document of ``size`` shingles, that may pass.
+
+    ``hits`` are the ascending places of shingles that items of this length hold. Negative starts lie before the document.
+    """
+
+    def need(window: Column) -> Column:
+        """Shared shingles, at least, of a window that passes."""
+        return F.greatest(F.ceil((window + m) * percent / (100 + percent) - 1e-6).cast("int"), F.lit(1))
+
+    # No window holds fewer than the items' share of the least one allowed.
+    fewest = F.greatest(F.ceil(m * percent / 100 - 1e-6).cast("int"), F.lit(1))
+
+    def passing(first: Column, i: Column) -> Column:
+        """Starts above the hit before ``first``, the hit numbered ``i``, up to it: their windows' first hit is this one."""
+        before = F.coalesce(F.get(hits, F.when(i > 0, i - 1)), -m)
+        low = F.greatest(before + 1, F.get(hits, i + fewest - 1) - m + 1)
+        inside = lambda s: F.least(s + m, size) - F.greatest(s, F.lit(0))
+        enough = lambda s: F.coalesce(F.get(hits, i + need(inside(s)) - 1) < s + m, F.lit(False))
+        whole = F.get(hits, i + fewest - 1).isNotNull() & (low <= first)
+        return F.when(whole, F.filter(F.sequence(low, F.greatest(low, first)), enough)).otherwise(
+            F.array().cast("array<int>")
+        )
+
+    return F.flatten(F.transform(hits, passing))
+
+
+def _windows(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(doc, body, start, n, k, hashes)`` for every window with as many shingles of items as it needs to pass."""
+    item_rows = items.filter(F.col("k") == k).select("n", F.explode(shingles(F.col("tokens"), k)).alias("h")).distinct()
     item_rows = materialize(item_rows, "item_shingles")
     small = item_rows.count() <= BROADCAST_ROWS
     body = docs.select("doc", "body", shingles(F.col("tokens"), k).alias("all"))
     # The outer form keeps Spark from testing the array, and with it the whole tokenization, in a filter below.
-    found = body.select("doc", "body", *(["all"] if small else []), F.posexplode_outer("all").alias("pos", "h")).join(
+    hits = body.select("doc", "body", *(["all"] if small else []), F.posexplode_outer("all").alias("pos", "h")).join(
         F.broadcast(item_rows) if small else item_rows, "h"
-    ).withColumn("start", F.col("pos") - F.col("place"))
+    )
+    whole = [F.first("all").alias("all")] if small else []
+    found = hits.groupBy("doc", "body", "n").agg(F.array_sort(F.collect_set("pos")).alias("hits"), *whole)
     if not small:
         # The places alone are shuffled; the texts are met again by id.
-        found = found.select("doc", "body", "start", "n").distinct()
         found = found.join(body, (found.doc.eqNullSafe(body.doc)) & (found.body == body.body)).select(
-            found.doc, found.body, "start", "n", "all"
+            found.doc, found.body, "n", "hits", "all"
         )
+    m = F.col("n") - (k - 1)
+    starts = found.select("doc", "body", "n", "all", F.explode(_starts(F.col("hits"), F.size("all"), m, percent)).alias("start"))
     first = F.greatest(F.col("start"), F.lit(0))
-    last = F.least(F.col("start") + F.col("n") - (k - 1), F.size("all"))
-    windows = found.select(
+    last = F.least(F.col("start") + m, F.size("all"))
+    return starts.select(
         "doc", "body", "start", "n", F.lit(k).alias("k"), F.slice("all", first + 1, last - first).alias("hashes")
     )
-    return windows.groupBy("doc", "body", "start", "n", "k").agg(F.first("hashes").alias("hashes"))
+
+
+def _in_place(start: Column, window: str, item: str) -> Column:
+    """How many shingles of a window stand where its item has them; a negative start cuts off the item's first ones."""
+    same = F.zip_with(
+        F.col(window), F.slice(item, F.greatest(-start, F.lit(0)) + 1, F.size(window)), lambda a, b: F.equal_null(a, b)
+    )
+    return F.size(F.filter(same, lambda x: x))
 
 
 def find_leaks(
@@ -119,7 +155,8 @@ def find_leaks(
 ) -> DataFrame:
     """``(id, item, start, n_words, distance, similarity)``: the best window of each document and item it repeats.
 
-    ``start`` is the window's first word, from 0; it is negative where the document begins within the item.
+    ``start`` is the window's first word, from 0; it is negative where the document begins within the item. Among equally
+    similar windows the one with most shingles in their places counts, then the first.
     """
     named = benchmark.select(F.col(item_col).alias("item"), words(F.col(text)).alias("tokens"))
     named = named.filter(F.size("tokens") > 0).withColumn("key", F.xxhash64("tokens")).distinct()
@@ -134,7 +171,7 @@ def find_leaks(
     out = None
     # At most as many lengths as a shingle has words.
     for k in [r["k"] for r in items.select("k").distinct().collect()] or [shingle]:
-        windows = fingerprints(_windows(texts, items, k), ["doc", "body", "start", "n", "k"], "hashes")
+        windows = fingerprints(_windows(texts, items, k, percent), ["doc", "body", "start", "n", "k"], "hashes")
         known = items.filter(F.col("k") == k).select("key", "n", shingles(F.col("tokens"), k).alias("item_hashes"))
         known = fingerprints(known, ["key", "n"], "item_hashes").withColumnRenamed("print", "item_print")
         windows, known = materialize(windows, "windows"), materialize(known, "prints")
@@ -146,12 +183,13 @@ def find_leaks(
             .dropDuplicates(["doc", "body", "start", "key"])
             .withColumn("similarity", bag_similarity("hashes", "item_hashes"))
             .filter(F.col("similarity") * 100 >= percent)
-            .select("doc", "start", "n", "key", "distance", "similarity")
+            .withColumn("in_place", _in_place(F.col("start"), "hashes", "item_hashes"))
+            .select("doc", "start", "n", "key", "distance", "similarity", "in_place")
         )
         out = met if out is None else out.unionByName(met)
     best = out.groupBy("doc", "key").agg(
         F.max_by(
-            F.struct("start", "n", "distance", "similarity"), F.struct("similarity", -F.col("start"))
+            F.struct("start", "n", "distance", "similarity"), F.struct("similarity", "in_place", -F.col("start"))
         ).alias("best")
     )
     return best.join(named.select("key", "item"), "key").select(

@@ -186,3 +186,43 @@ def test_leaks(spark):
         assert {(x["doc_id"], x["item_id"]) for x in leaks.find_leaks(df, bench).collect()} == set(out)
     finally:
         leaks.BROADCAST_ROWS = monkey
+
+
+def bag_of(text, k):
+    words = text.lower().split()
+    return [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+
+
+def test_leaks_out_of_order(spark, monkeypatch):
+    r = random.Random(12)
+    items, rows = [], []
+    for i, n in enumerate([20, 40, 60, 100, 100]):
+        words = prose(700 + i, n).split()
+        cut = n * 7 // 10
+        items.append((i, " ".join(words)))
+        # Swapped blocks, turned by a few words, three blocks in another order, near copies, and pieces at both ends.
+        third = n // 3
+        shapes = [words[cut:] + words[:cut], words[5:] + words[:5], words[-3:] + words[:-3]]
+        shapes += [words[2 * third :] + words[third : 2 * third] + words[:third], words[: n // 2] + ["new"] + words[n // 2 + 1 :], words[4:], words[:-4]]
+        for shape in shapes:
+            head, tail = (prose(r.randrange(10**6), r.choice([0, 0, 30, 81])) for _ in range(2))
+            rows.append((len(rows), " ".join([head, *shape, tail])))
+    expected = {}
+    for doc, text in rows:
+        have = bag_of(text, 5)
+        for item, told in items:
+            bag = Counter(bag_of(told, 5))
+            m = sum(bag.values())
+            for s in range(1 - m, len(have)):
+                window = Counter(have[max(s, 0) : s + m])
+                both = sum((window & bag).values())
+                share = both / (m + sum(window.values()) - both)
+                if share >= 0.8:
+                    expected[doc, item] = max(share, expected.get((doc, item), 0))
+    swapped = {(7 * i, i) for i in (3, 4)}
+    assert swapped <= set(expected)
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (leaks.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(leaks, "BROADCAST_ROWS", limit)
+        out = {(x["doc_id"], x["item_id"]): x["similarity"] for x in leaks.find_leaks(df, bench).collect()}
+        assert out == pytest.approx(expected)
