@@ -30,9 +30,6 @@ RADIUS = 20
 BITS = 64
 # Items' shingle rows that may be broadcast: some 24 bytes each.
 BROADCAST_ROWS = 200_000
-# Counters of a fingerprint: four 16-bit lanes to a number, so a window may hold 32,767 shingles.
-LANE_MASK = 0x0001000100010001
-LANES = 16
 
 
 def words(text: Column) -> Column:
@@ -51,16 +48,13 @@ def shingles(tokens: Column, k: int) -> Column:
 
 def fingerprints(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
     """``keys``, the array ``hashes`` and its SimHash ``print``: bit by bit the majority of the shingles' hashes."""
-    one = rows.select(*keys, hashes, F.explode(hashes).alias("h"))
-    lanes = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(LANE_MASK))).alias(f"s{b}") for b in range(LANES)]
-    sums = one.groupBy(*keys).agg(*lanes, F.count("*").alias("n_hashes"), F.first(hashes).alias(hashes))
-    bits = F.lit(0).cast("long")
-    for b in range(LANES):
-        for lane in range(BITS // LANES):
-            count = F.shiftrightunsigned(f"s{b}", 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bit = (count * 2 > F.col("n_hashes")).cast("long")
-            bits = bits.bitwiseOR(F.shiftleft(bit, b + 16 * lane))
-    return sums.select(*keys, hashes, bits.alias("print"))
+    # Each bit is counted on its own, so that no count of shingles is too large.
+    ones = lambda b: F.size(F.filter(hashes, lambda h: F.call_function("shiftright", h, b).bitwiseAND(F.lit(1)) == 1))
+    bit = lambda b: F.call_function("shiftleft", (ones(b).cast("long") * 2 > F.size(hashes)).cast("long"), b)
+    bits = F.aggregate(
+        F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda found, b: found.bitwiseOR(bit(b))
+    )
+    return rows.select(*keys, hashes, bits.alias("print"))
 
 
 def blocks(print_: str, radius: int = RADIUS) -> Column:

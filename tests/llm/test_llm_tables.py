@@ -226,3 +226,15 @@ def test_leaks_out_of_order(spark, monkeypatch):
         monkeypatch.setattr(leaks, "BROADCAST_ROWS", limit)
         out = {(x["doc_id"], x["item_id"]): x["similarity"] for x in leaks.find_leaks(df, bench).collect()}
         assert out == pytest.approx(expected)
+
+
+def test_fingerprints_of_many_shingles(spark):
+    r = np.random.default_rng(5)
+    for n in (1, 2, 7, 40_000, 70_000):
+        hashes = r.integers(-(2**63), 2**63 - 1, n, dtype=np.int64)
+        hashes[: n // 50] = hashes[0]
+        counts = ((hashes.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(0)
+        expected = sum(1 << b for b in range(64) if 2 * int(counts[b]) > n)
+        df = spark.createDataFrame([(1, hashes.tolist())], "key long, hashes array<long>")
+        [row] = leaks.fingerprints(df, ["key"], "hashes").collect()
+        assert row["print"] % 2**64 == expected
