@@ -1,7 +1,8 @@
 """Secrets: fixed forms of keys and passwords, and strings that a battery of tests takes for random.
 
 The fixed forms are an assignment to a telling name, an access key and a run of hex digits. Beside them, every run of key
-characters long enough is a candidate. Its encoding is inferred from its characters, and three tests ask whether it
+characters long enough is a candidate, without its parts in fixed forms; with hex digits inside, also as a whole. A run that
+fits no alphabet is cut at its signs: names before ``=``, folders and the like are pieces of their own. A candidate's encoding is inferred from its characters, and three tests ask whether it
 looks drawn evenly from that alphabet: chi-squared of the character counts, the number of runs above and below
 the middle of the alphabet, and the correlation of neighbours. The same statistics under ordinary text have a wider
 spread that grows with the length, by the uneven letter shares counted over all texts; the chance of a value this even
@@ -36,7 +37,10 @@ NAMES = ("passw", "secret", "token", "api_key", "apikey")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+# Cuts of what holds signs of both base64 alphabets: one's signs, the other's, and all; a key may hold either.
+PIECES = tuple(map(re.compile, (r"[^+/]+", r"[^_-]+", r"[^+/_-]+")))
 # Alphabets by name, each in its own order; a candidate has the first that holds all its characters.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -48,6 +52,7 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+LETTERS = tuple(map(set, ALPHABETS.values()))
 # False-discovery rate, least p-value of the uniform hypothesis, and classes of p-values (tenths of a power of ten).
 RATE = 0.01
 EVEN = 1e-4
@@ -75,6 +80,38 @@ def encoding(token: str) -> str | None:
     return next((name for name, letters in ALPHABETS.items() if chars <= set(letters)), None)
 
 
+def _cut(text: str, start: int, end: int) -> set[tuple[int, int]]:
+    """The span where it fits an alphabet, else its pieces that do; none shorter than ``LEAST``. Padding stays at the end."""
+    body = text[start:end].rstrip("=")
+    found = set()
+    for named in re.finditer("[^=]+", body):
+        spans = [named.span()]
+        if not any(set(named[0]) <= letters for letters in LETTERS):
+            spans = [(named.start() + m.start(), named.start() + m.end()) for p in PIECES for m in p.finditer(named[0])]
+        found.update((start + a, end if b == len(body) else start + b) for a, b in spans)
+    return {(a, b) for a, b in found if b - a >= LEAST}
+
+
+def candidates_of(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Spans to test: the runs of key characters without their parts in ``taken``, the fixed forms.
+
+    A run of hex digits may as well be part of a longer key, so what surrounds it is a candidate with it, too.
+    """
+    out = []
+    for run in CANDIDATE.finditer(text):
+        met = sorted(s for s in taken if s[0] < run.end() and run.start() < s[1])
+        hexes = {s[:2] for s in met if s[2] == "hex"}
+        found = set()
+        for without in (met, [s for s in met if s[2] != "hex"]) if hexes else (met,):
+            at = run.start()
+            for a, b, _ in [*without, (run.end(), run.end(), "")]:
+                if at < a:
+                    found |= _cut(text, at, a)
+                at = max(at, b)
+        out += sorted(found - hexes)
+    return out
+
+
 def _tail(z: float) -> float:
     """Chance that a normal value lies above ``z``."""
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -167,21 +204,19 @@ def thresholds(candidates: DataFrame, rate: float = RATE) -> dict[int, int]:
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
     """All columns of ``df`` and ``secrets``, an array of ``(kind, start, end)`` by start, then kind.
 
-    A column of that name is replaced.
+    A column of that name is replaced. Random spans don't overlap each other; one may hold or touch a hex span.
     """
     df = df.drop("secrets")
     shares = df.sparkSession.sparkContext.broadcast(letter_shares(df, text))
 
     def tests(value: str, skip: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int, bool]]:
-        taken = [(a, b) for a, b, _ in skip]
         out = []
-        for m in CANDIDATE.finditer(value):
-            if any(m.start() < b and a < m.end() for a, b in taken):
-                continue
-            name = encoding(m[0])
+        for start, end in candidates_of(value, skip):
+            token = value[start:end]
+            name = encoding(token)
             if name:
-                p, even = battery(m[0], name, shares.value)
-                out.append((m.start(), m.end(), _length_class(len(m[0])), _p_class(p), even >= EVEN))
+                p, even = battery(token, name, shares.value)
+                out.append((start, end, _length_class(len(token)), _p_class(p), even >= EVEN))
         return out
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -198,11 +233,13 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", rate
         found = []
         for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
             spans = base_spans(value or "")
-            extra = [
-                (a, b, "random")
-                for a, b, length, p, even in tests(value or "", spans)
-                if even and p >= sent.value.get(length, P_CLASSES)
-            ]
+            extra: list[tuple[int, int, str]] = []
+            for a, b, length, p, even in sorted(tests(value or "", spans)):
+                if even and p >= sent.value.get(length, P_CLASSES):
+                    # Pieces that overlap are one secret.
+                    if extra and a < extra[-1][1]:
+                        a, b = extra[-1][0], max(b, extra.pop()[1])
+                    extra.append((a, b, "random"))
             spans = sorted(spans + extra, key=lambda s: (s[0], order[s[2]]))
             found.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

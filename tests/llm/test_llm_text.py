@@ -185,3 +185,42 @@ def test_repeated_passages(spark):
     cut = {r["doc_id"]: r["text"] for r in substrings.remove_passages(df, substrings.repeated_passages(df)).filter("doc_id < 4").collect()}
     assert cut[1] == texts[1] and cut[2] == texts[2] and len(cut[3]) < len(texts[3]) - 0.6 * len(shared)
     assert substrings.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_random_keys_in_their_surroundings(spark):
+    r = random.Random(9)
+    key = lambda n: "".join(r.choice(secrets.ALPHABETS["base62"]) for _ in range(n))
+    plain, slashed, mixed = key(44), key(20) + "/" + key(20) + "+" + key(6), key(48)
+    inside = key(32) + "0f3a5b7c9d1e2f48" + key(32)
+    texts = {
+        f"{prose(1, 30)} AWS_ACCESS={plain} {prose(2, 9)}": plain,
+        f"{prose(3, 30)} sig={slashed}&KEY_ID=abc {prose(4, 9)}": slashed,
+        f"{prose(5, 30)} KEY_ID={plain}== {prose(6, 9)}": plain + "==",
+        f"{prose(7, 30)} store/of_{mixed}/end {prose(8, 9)}": mixed,
+        f"{prose(9, 30)} {inside} {prose(10, 9)}": inside,
+        f"{prose(11, 30)} path/with_words/and-more/things_of_this={prose(12, 1)}": None,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in secrets.find_secrets(df).collect():
+        found = [(s["start"], s["end"]) for s in row["secrets"] if s["kind"] == "random"]
+        told = texts[row["text"]]
+        if told is None:
+            assert not found
+            continue
+        start = row["text"].index(told)
+        covered = {i for a, b in found for i in range(a, b)} | {i for s in row["secrets"] for i in range(s["start"], s["end"])}
+        assert found and covered >= set(range(start, start + len(told))), row
+        if told is not mixed:
+            assert found == [(start, start + len(told))], row
+        assert told not in secrets.redact(secrets.find_secrets(df)).filter(f"doc_id = {row['doc_id']}").head()["text"]
+
+
+def test_candidates_lose_nothing():
+    cut = lambda text: [text[a:b] for a, b in secrets.candidates_of(text, secrets.base_spans(text))]
+    key, other = "wJalrXUtnFEMIK7MDENGbPxRfiCY", "Zk3vTq9LmX2bWc7RpY8sNd"
+    assert cut(f"AWS_ACCESS={key}") == [key]
+    assert cut(f"{key}={other}==") == [key, other + "=="]
+    assert set(cut(f"a/b_{key}")) == {key, f"b_{key}"}
+    assert cut(f"x_{key[:12]}/{key[12:]}/{other}")[0:1] and f"{key[:12]}/{key[12:]}/{other}" in cut(f"x_{key[:12]}/{key[12:]}/{other}")
+    assert cut("0123456789abcdef" * 2) == [] and cut(f"{key}") == [key] and cut("=" * 30) == []
+    assert set(cut(f"{key}Z0123456789abcdefZ{other}")) == {f"{key}Z", f"Z{other}", f"{key}Z0123456789abcdefZ{other}"}
