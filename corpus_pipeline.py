@@ -31,20 +31,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id, once if its row repeats.
 
-    Documents without words stay, as do rows without an id, which can't be told apart.
+    Rows without an id are documents of their own, after all ids. Documents without words stay.
     """
-    found = neardup.near_duplicates(docs, percent=NEAR_PERCENT).filter("doc_id IS NOT NULL")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    ids = docs.agg(F.max("doc_id").cast("long").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("unnamed")).first()
+    keyed = docs.withColumn("_id", F.col("doc_id"))
+    if ids["unnamed"]:
+        after = F.monotonically_increasing_id() + F.lit(max(ids["last"] or 0, 0) + 1).cast("long")
+        unnamed = materialize(docs.filter("doc_id IS NULL").withColumn("_id", after), "unnamed")
+        keyed = keyed.filter("doc_id IS NOT NULL").unionByName(unnamed)
+    found = neardup.near_duplicates(keyed, id_col="_id", percent=NEAR_PERCENT)
+    gone = found.filter(~F.col("kept")).select("_id").distinct()
+    repeated = found.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id")
+    kept = keyed.join(gone, "_id", "left_anti")
+    once = kept.join(repeated, "_id", "left_anti")
+    return once.unionByName(kept.join(repeated, "_id", "left_semi").dropDuplicates(["_id", "text"])).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat no benchmark item."""
-    found = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Documents that repeat no benchmark item.
+
+    Rows of one id go together; rows without an id are told apart by their text.
+    """
+    named = F.concat(F.lit("id "), F.col("doc_id").cast("string"))
+    keyed = docs.withColumn("_key", F.coalesce(named, F.concat(F.lit("text "), F.sha2("text", 256))))
+    found = leaks.find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
+    return keyed.join(found.select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

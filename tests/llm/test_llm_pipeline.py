@@ -107,3 +107,16 @@ def test_columns_match_contracts(spark, folder):
     assert kinds["op5_branch_and_bound"]["rank"] == kinds["op6_best_fit_shards"]["shard"] == kinds["op4_compression_toxicity"]["predicted"] == "int"
     assert kinds["op2_hyperminhash"] == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
     assert kinds["op6_best_fit_shards"]["text_crc32"] == "bigint" and kinds["op6_best_fit_shards"]["grown_shard"] == "int"
+
+
+def test_rows_without_an_id(spark, folder):
+    path, docs = folder
+    text = dict(docs)
+    leak = text[310]
+    rows = [(None, leak), (None, text[7]), (7, text[7]), (None, "alone " + prose(77, 30)), (None, "alone " + prose(77, 30)), (None, None), (9, text[9])]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_leaks(spark, df, path).collect()]
+    assert len(left) == len(rows) - 1 and (None, leak) not in left
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, path).collect()]
+    expected = [(None, leak), (7, text[7]), rows[3], (None, None), (9, text[9])]
+    assert sorted(map(repr, left)) == sorted(map(repr, expected))
