@@ -91,26 +91,26 @@ def distinct_hashes(text: bytes | None, shingle: int) -> np.ndarray:
 
 
 def sketches(df: DataFrame, id_col: str, text: str, threshold: float, shingle: int = SHINGLE) -> DataFrame:
-    """``(id, n_shingles, digest, bands)`` of each row; the digest stands for the set."""
+    """``(id, body, n_shingles, digest, bands)`` of each row; the digest stands for the set, ``body`` for the text."""
     rows = band_rows(threshold)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, digests, bands = [], [], []
-        for value in byte_texts(batch.column(1)):
+        for value in byte_texts(batch.column(2)):
             hashes = distinct_hashes(value, shingle)
             sizes.append(len(hashes))
             digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
             bands.append(band_keys(registers(hashes), rows) if len(hashes) else ())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["id", "n_shingles", "digest", "bands"],
+            [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["id", "body", "n_shingles", "digest", "bands"],
         )
 
-    columns = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return map_batches(columns, run, "id bigint, n_shingles bigint, digest binary, bands array<bigint>")
+    columns = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    return map_batches(columns, run, "id bigint, body bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
 
-def linked(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def linked(ids: list, sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple]:
     """Links that connect what is connected among the documents: within all, or between the two sides only."""
     threshold = percent / 100
     sketch = np.stack([registers(s) for s in sets])
@@ -123,7 +123,7 @@ def linked(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None, perc
             i = root[i]
         return i
 
-    known: dict[int, int] = {}
+    known: dict = {}
     for i, doc in enumerate(ids):
         root[i] = known.setdefault(doc, i)
     out = []
@@ -147,13 +147,16 @@ def linked(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None, perc
 
 
 def links(df: DataFrame, reps: DataFrame, id_col: str, text: str, percent: int, shingle: int) -> DataFrame:
-    """``(a, b)``: links that connect near-duplicates among the representatives ``reps(rep, n_shingles, bands)``."""
-    entries = reps.select(F.explode("bands").alias("key"), "rep", "n_shingles")
+    """``(a, b)``: links of digests that connect near-duplicates among ``reps(digest, rep, body, n_shingles, bands)``.
+
+    The row of the id ``rep`` and the text ``body`` gives the set of a digest.
+    """
+    entries = reps.select(F.explode("bands").alias("key"), "digest", "n_shingles")
     pivots = entries.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("pivot"), F.count("*").alias("n")
+        F.min(F.struct(F.xxhash64("digest").alias("h"), "digest")).alias("pivot"), F.count("*").alias("n")
     )
-    pivots = pivots.filter("n > 1").select("key", F.col("pivot.rep").alias("pivot"))
-    members = materialize(entries.join(pivots, "key").select("pivot", "rep", "n_shingles").distinct(), "members")
+    pivots = pivots.filter("n > 1").select("key", F.col("pivot.digest").alias("pivot"))
+    members = materialize(entries.join(pivots, "key").select("pivot", "digest", "n_shingles").distinct(), "members")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES)).cast("int")
     groups = (
         members.groupBy("pivot")
@@ -162,23 +165,24 @@ def links(df: DataFrame, reps: DataFrame, id_col: str, text: str, percent: int,
         .select("pivot", blocks.alias("blocks"))
     )
     placed = members.join(groups, "pivot").select(
-        "pivot", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
+        "pivot", "digest", "blocks", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block")
     )
-    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = texts.join(placed.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    wanted = reps.select("digest", "rep", "body").join(placed.select("digest").distinct(), "digest", "left_semi")
+    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    texts = texts.join(wanted, ["rep", "body"]).groupBy("digest").agg(F.min("text").alias("text"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    keyed = placed.join(texts, "rep").select("pivot", "rep", "text", "block", other).select(
-        "pivot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "text"
+    keyed = placed.join(texts, "digest").select("pivot", "digest", "text", "block", other).select(
+        "pivot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "digest", "text"
     )
 
     def run(table: pa.Table) -> pa.Table:
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-        ids, sides = table["rep"].to_pylist(), table["block"].to_numpy()
+        ids, sides = table["digest"].to_pylist(), table["block"].to_numpy()
         sets = [distinct_hashes(t.as_py(), shingle) for t in table["text"].cast(pa.large_binary())]
         found = linked(ids, sets, sides if lo != hi else None, percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
-    return keyed.groupBy("pivot", "lo", "hi").applyInArrow(run, "a bigint, b bigint")
+    return keyed.groupBy("pivot", "lo", "hi").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(
@@ -193,10 +197,22 @@ def near_duplicates(
     reps = materialize(
         sketch.filter("n_shingles > 0 AND id IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
+        .agg(F.min(F.struct("id", "body")).alias("row"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        .select("digest", "row.id", "row.body", "n_shingles", "bands")
+        .withColumnRenamed("id", "rep"),
         "sets",
     )
-    component = connected(links(df, reps, id_col, text, percent, shingle))
+    named = reps.select("digest", "rep")
+    found = links(df, reps, id_col, text, percent, shingle)
+    found = found.join(named.select(F.col("digest").alias("a"), F.col("rep").alias("u")), "a")
+    found = found.join(named.select(F.col("digest").alias("b"), F.col("rep").alias("v")), "b")
+    # An id of several texts links all of their sets.
+    several = (
+        sketch.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("id")
+        .agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("id")
+    )
+    shared = sketch.filter("n_shingles > 0").join(several, "id").join(named, "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    component = connected(found.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(shared))
     classes = reps.join(component, F.col("rep") == F.col("id"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
     )

@@ -238,3 +238,13 @@ def test_fingerprints_of_many_shingles(spark):
         df = spark.createDataFrame([(1, hashes.tolist())], "key long, hashes array<long>")
         [row] = leaks.fingerprints(df, ["key"], "hashes").collect()
         assert row["print"] % 2**64 == expected
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    one, two, three = (prose(800 + i, 60) for i in range(3))
+    rows = [(5, one), (5, two), (7, two + " more"), (8, one + " more"), (9, three), (10, three), (10, prose(900, 60)), (11, prose(901, 60))]
+    for order in (rows, rows[::-1]):
+        out = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert len(out) == len(rows)
+        assert {r["doc_id"]: r["component_id"] for r in out} == {5: 5, 7: 5, 8: 5, 9: 9, 10: 9, 11: 11}
+        assert all(r["kept"] == (r["doc_id"] in (5, 9, 11)) for r in out)
