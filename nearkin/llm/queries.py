@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from nearkin.llm import bpe, chat, leaks, licences, neardup, secrets, shards, substrings, topk, toxicity
+from nearkin.llm import alignment, bpe, chat, leaks, licences, mixing, neardup, secrets, shards, spelling, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -134,10 +134,31 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_systematic_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """How often a mix of all sources, of 150 % of all words, takes each document."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    return mixing.mix(docs, F.col("size")).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+def op12_reduced_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of all texts, some misspelt, with their near words and forms."""
+    counts = spelling.word_counts(table(spark, sf, "documents").select("doc_id", "text"), typos=199)
+    return spelling.variants(counts)
+
+
+def op13_token_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tokenizers aligned over all texts, with the corpus-wide counts of linked ids."""
+    a, b = (alignment.read_file(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align(table(spark, sf, "documents").select("doc_id", "text"), a, b)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_gear_chunks, op2_hyperminhash, op3_rare_word_licences, op4_compression_toxicity, op5_branch_and_bound,
     op6_best_fit_shards, op7_random_secrets, op8_chat_prefix_targets,
-    op9_simhash_leaks, op10_byte_bpe,
+    op9_simhash_leaks, op10_byte_bpe, op11_systematic_mix, op12_reduced_spellings, op13_token_spans,
 )}
 
 _SAID = r"\### Assistant: </turn> ok"
@@ -158,6 +179,33 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
 FROM n GROUP BY conv_id
+""",
+    "op11_systematic_mix": """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS total, sum(weight) OVER () AS weights FROM s
+), f AS (
+  SELECT *, most * (weights - coalesce(sum(weight) OVER before, 0)) <= (total - coalesce(sum(most) OVER before, 0)) * weight AS is_full
+  FROM o WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, CASE WHEN is_full THEN most ELSE
+      (total - coalesce(sum(most) FILTER (is_full) OVER (), 0)) * weight / (weights - coalesce(sum(weight) FILTER (is_full) OVER (), 0)) END AS target,
+    (CAST('0x' || substr(md5('mix:' || coalesce('=' || source, '')), 1, 4) AS BIGINT)::DOUBLE + 0.5) / 65536 AS offs
+  FROM f
+), p AS (
+  SELECT d.doc_id, d.size, t.*, coalesce(target / nullif(source_size, 0)::DOUBLE, 0) AS each, (row_number() OVER (
+      PARTITION BY t.source ORDER BY 64 * greatest(length(bin(size)) - 7, 0) + (size >> greatest(length(bin(size)) - 7, 0)) DESC,
+      md5(coalesce(CAST(doc_id AS VARCHAR), '')), size DESC))::DOUBLE AS place
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(least(floor(place * each + offs) - floor((place - 1) * each + offs), 2) AS BIGINT) * size AS taken
+FROM p
 """,
     "op5_branch_and_bound": """
 WITH v AS (
