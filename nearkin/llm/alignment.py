@@ -19,8 +19,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
-import types
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import chain
@@ -32,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nearkin.llm.words import map_batches
+from nearkin.llm.words import held_by_worker, map_batches
 from nearkin.session import materialize
 
 # A link is one number: A's id above, B's id in the low bits.
@@ -295,16 +293,6 @@ class Aligner:
 _EMPTY = np.empty(0, np.int64)
 
 
-def _aligner(shared) -> Aligner:
-    """The worker's aligner for these files; it outlives a task."""
-    held = sys.modules.setdefault("_nearkin_alignment", types.ModuleType("_nearkin_alignment")).__dict__.setdefault("held", {})
-    digest, a_json, b_model = shared.value
-    if digest not in held:
-        held.clear()
-        held[digest] = Aligner(a_json, b_model)
-    return held[digest]
-
-
 def _mapped(df: DataFrame, a_json: bytes, b_model: bytes, text: str, kinds: dict[str, str], values) -> DataFrame:
     """Replace the column ``text`` by the columns of ``values(aligner, texts)``, one tuple a text."""
     df = df.drop(*[n for n in kinds if n != text])
@@ -314,7 +302,9 @@ def _mapped(df: DataFrame, a_json: bytes, b_model: bytes, text: str, kinds: dict
     types_ = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = values(_aligner(shared), batch.column(batch.schema.get_field_index(text)).to_pylist())
+        digest, *files = shared.value
+        aligner = held_by_worker("aligner", digest, lambda: Aligner(*files))
+        rows = values(aligner, batch.column(batch.schema.get_field_index(text)).to_pylist())
         old = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
         new = [pa.array(column, types_[kind]) for column, kind in zip(zip(*rows), kinds.values())]
         return pa.RecordBatch.from_arrays([*old, *new], names=[*(f.name for f in kept), *kinds])

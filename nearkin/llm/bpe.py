@@ -13,6 +13,7 @@ Null texts are empty; empty texts have no ids. Ids that the ranks don't hold, as
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from array import array
 from collections.abc import Callable
@@ -24,10 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from nearkin.llm.words import map_batches
+from nearkin.llm.words import held_by_worker, map_batches
 
-# Remembered pieces and token pairs of a task; when full, they are dropped and built anew.
-MAX_PIECES = 400_000
+# Remembered pieces of a worker in each of two generations, and token pairs; when full, pairs are built anew.
+MAX_PIECES = 300_000
 MAX_PAIRS = 300_000
 # The rank file travels to every task.
 MAX_RANK_BYTES = 64 * 1024 * 1024
@@ -123,9 +124,13 @@ class Pairs(dict):
 
 
 class Encoder(dict):
-    """Ids of pieces by the text of the piece; a missing one is encoded and kept."""
+    """Ids of pieces by the text of the piece; a missing one is encoded and kept.
+
+    When full, what was kept becomes the older generation, from which pieces come back when they are met again.
+    """
 
     def __init__(self, data: bytes):
+        self.older: dict[str, tuple[int, ...]] = {}
         self.ranks = ranks = parse_ranks(data)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pairs = Pairs(ranks, self.tokens)
@@ -145,8 +150,12 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= MAX_PIECES:
+            self.older = dict(self)
             self.clear()
-        ids = self[piece] = self.encode(piece.encode())
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece.encode())
+        self[piece] = ids
         return ids
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -194,12 +203,10 @@ def encode(df: DataFrame, data: bytes, pattern: str, text: str = "text", ids: st
     """
     df = df.drop(ids) if ids != text else df
     shared = df.sparkSession.sparkContext.broadcast(data)
-    state: list = []
+    key = (hashlib.sha256(data).hexdigest(), pattern)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not state:
-            state.extend((Encoder(shared.value), splitter(pattern)))
-        encoder, split = state
+        encoder, split = held_by_worker("bpe", key, lambda: (Encoder(shared.value), splitter(pattern)))
         flat, ends = array("i"), array("i", [0])
         for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
             if value:
@@ -215,18 +222,33 @@ def decode(df: DataFrame, data: bytes, ids: str = "ids", text: str = "decoded")
     """Replace the column ``ids`` by the bytes they stand for, ``text binary``; other columns stay, but for one that is named so."""
     df = df.drop(text) if ids != text else df
     shared = df.sparkSession.sparkContext.broadcast(data)
-    state: list = []
+    key = hashlib.sha256(data).hexdigest()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not state:
-            state.append({rank: token for token, rank in parse_ranks(shared.value).items()}.__getitem__)
-        column = batch.column(batch.schema.get_field_index(ids))
-        texts = [b"".join(map(state[0], row or ())) for row in column.to_pylist()]
-        return _replaced(batch, ids, text, pa.array(texts, pa.binary()))
+        tokens = held_by_worker("bpe tokens", key, lambda: token_array(shared.value))
+        return _replaced(batch, ids, text, joined(batch.column(batch.schema.get_field_index(ids)), tokens))
 
     return map_batches(df, run, _schema(df, ids, f"`{text}` binary"))
 
 
+def token_array(data: bytes) -> pa.LargeBinaryArray:
+    """The tokens by rank; null where there is none."""
+    tokens = {rank: token for token, rank in parse_ranks(data).items()}
+    return pa.array(map(tokens.get, range(max(tokens) + 1)), pa.large_binary())
+
+
+def joined(ids: pa.ListArray, tokens: pa.LargeBinaryArray) -> pa.BinaryArray:
+    """The bytes that each list of ids stands for; tokens taken in a row lie in memory as the texts do."""
+    found = tokens.take(ids.flatten())
+    if found.null_count:
+        raise ValueError("there are ids that the ranks don't hold")
+    counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    _, offsets, data = found.buffers()
+    places = np.frombuffer(offsets, np.int64)[ends] if len(found) else np.zeros(len(ends), np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(places), data]).cast(pa.binary())
+
+
 def _schema(df: DataFrame, gone: str, new: str) -> str:
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != gone]
     return ", ".join([*kept, new])

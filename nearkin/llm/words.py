@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,16 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
+def held_by_worker(name: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave for the key when this Python worker first asked; it outlives a task. One key a name is held."""
+    module = sys.modules.setdefault("_nearkin_held", types.ModuleType("_nearkin_held"))
+    found = module.__dict__.setdefault(name, {})
+    if key not in found:
+        found.clear()
+        found[key] = make()
+    return found[key]
+
+
 def byte_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
