@@ -37,6 +37,7 @@ from nearkin.session import materialize
 B_BITS = 32
 # Chunks part at a space with such signs on both sides; neither tokenizer joins over it.
 APART = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+EDGED = re.compile("[!-~À-ɏ](?:.*[!-~À-ɏ])?", re.DOTALL).fullmatch
 # Remembered chunks of a worker in each of two generations, and the longest that is.
 MAX_CHUNKS = 200_000
 MAX_CHUNK_CHARS = 64
@@ -180,8 +181,8 @@ class Aligner:
         # An id and the sign after it: within a side, or at the end of A's and of B's.
         signs = [f"{i}{sign}".encode() for vocab, pair in ((self.a_vocab, ",|"), (self.b_vocab, ",;")) for i in range(len(vocab.lengths)) for sign in pair]
         self.signs = Vocabulary(signs)
-        self.chunks: dict[str, tuple | None] = {}
-        self.older: dict[str, tuple | None] = {}
+        self.chunks: dict[str, tuple | bool] = {}
+        self.older: dict[str, tuple | bool] = {}
 
     def align(self, texts: Sequence[str]) -> tuple[Aligned, np.ndarray]:
         """The alignment of texts that are not empty, and which of them have tokens; the others have none in it."""
@@ -248,35 +249,54 @@ class Aligner:
         stops = stops.tolist()
         return [out[i : max(i, j - 1)] for i, j in zip([0, *stops[:-1]], stops)]
 
-    def learn(self, chunks: Sequence[str]) -> dict[str, tuple]:
-        """Of each chunk, the numbers of tokens of A and B, groups and links, the written groups, the links with their times."""
-        found, good = self.align(chunks)
-        codes, times, n_codes = found.links()
-        stops, codes = np.cumsum(n_codes), np.stack([codes, times])
-        counts = zip(
-            np.diff(found.a_stops, prepend=0).tolist(), np.diff(found.b_stops, prepend=0).tolist(),
-            np.diff(found.groups, prepend=0).tolist(), segments(stops, times).tolist(),
-        )
-        return {
-            chunk: (*count, text, codes[:, i:j]) if fine else None
-            for chunk, count, text, i, j, fine in zip(chunks, counts, self.written(found), [0, *stops[:-1].tolist()], stops.tolist(), good.tolist())
-        }
+    def align_chunks(self, chunks: Sequence[str]) -> tuple[Aligned, np.ndarray]:
+        """``align`` for chunks that may stand next to each other: as one text, whose cuts then fall to the chunks."""
+        found, good = self.align([" ".join(chunks)])
+        if not good.all():
+            return self.align(chunks)
+        stops = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        a_stops, b_stops = (np.searchsorted(ends, stops, "right") for ends in (found.a_ends, found.b_ends))
+        return Aligned(found.a, found.a_ends, a_stops, found.b, found.b_ends, b_stops, found.cuts, stops), np.ones(len(chunks), bool)
+
+    def learn(self, chunks: Sequence[str]) -> dict[str, tuple | bool]:
+        """Of each chunk, the numbers of tokens of A and B, groups and links, the written groups, the links with their times.
+
+        False for a chunk without tokens.
+        """
+        out = {}
+        edged = [c for c in chunks if EDGED(c)]
+        for part, align in ((edged, self.align_chunks), ([c for c in chunks if not EDGED(c)], self.align)):
+            if not part:
+                continue
+            found, good = align(part)
+            codes, times, n_codes = found.links()
+            stops, codes = np.cumsum(n_codes).tolist(), np.stack([codes, times])
+            counts = zip(
+                np.diff(found.a_stops, prepend=0).tolist(), np.diff(found.b_stops, prepend=0).tolist(),
+                np.diff(found.groups, prepend=0).tolist(), segments(np.array(stops), times).tolist(),
+            )
+            # A copy, as a slice would keep the links of all these chunks in memory.
+            for chunk, count, text, i, j, fine in zip(part, counts, self.written(found), [0, *stops[:-1]], stops, good.tolist()):
+                out[chunk] = fine and (*count, text, codes[:, i:j].copy())
+        return out
 
     def linked(self, texts: Sequence[str | None]) -> list[tuple]:
         """What ``learn`` says of a chunk, for whole texts, with the digest of the written groups; links are distinct."""
         parts = [self.apart(text) if text else [] for text in texts]
         known, older = self.chunks, self.older
-        missing = {c for chunks in parts for c in chunks if c not in known}
+        found = [list(map(known.get, chunks)) for chunks in parts]
+        missing = {c for chunks, had in zip(parts, found) if None in had for c, entry in zip(chunks, had) if entry is None}
         known.update({c: older[c] for c in missing if c in older})
         if fresh := [c for c in missing if c not in known]:
             known.update(self.learn(fresh))
         rows = []
-        for chunks in parts:
-            found = [known[c] for c in chunks]
-            if not found or None in found:
+        for chunks, had in zip(parts, found):
+            if None in had:
+                had = [known[c] for c in chunks]
+            if not had or False in had:
                 rows.append((0, 0, 0, 0, "", _EMPTY, _EMPTY))
                 continue
-            n_a, n_b, n_groups, n_links, written, codes = zip(*found)
+            n_a, n_b, n_groups, n_links, written, codes = zip(*had)
             codes, times = np.concatenate(codes, 1)
             codes, where = np.unique(codes, return_inverse=True)
             times = np.bincount(where, times).astype(np.int64)
