@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.operators.tokens import term_bucket
+from nearkin.session import materialize
 
 # A query side is broadcast only below these bounds, which hold its term rows to some tens of megabytes.
 BROADCAST_ROWS = 100_000
@@ -15,6 +16,11 @@ BROADCAST_TEXT_BYTES = 4 * 1024 * 1024
 # Postings of one term that share a join key once both sides are shuffled.
 POSTINGS_PER_KEY = 100_000
 DECIMALS = 6
+# Documents of a block of a stored index, and the blocks of a query that are scored first.
+BLOCK_DOCS = 16
+FIRST_BLOCKS = 8
+# Below this number of matching postings a search scores all of them; a cut would cost more than it saves.
+DIRECT_POSTINGS = 20_000_000
 
 
 def is_small(df: DataFrame, text: str | None = None, rows: int = BROADCAST_ROWS) -> bool:
@@ -79,6 +85,56 @@ def top_n(
     )
 
 
+def doc_blocks(vectors: DataFrame) -> DataFrame:
+    """``(doc_id, block)``: documents in small blocks, those with the same heaviest terms next to each other.
+
+    Numbers follow a distributed sort; they are fixed by writing the table.
+    """
+    heaviest = vectors.groupBy("doc_id").agg(F.max(F.struct("w", "term")).alias("top"))
+    laid = heaviest.select("doc_id", F.col("top.term").alias("term"), F.col("top.w").alias("w")).orderBy("term", "w", "doc_id")
+    return materialize(laid.select("doc_id", F.floor(F.monotonically_increasing_id() / BLOCK_DOCS).alias("block")), "blocks")
+
+
+def block_weights(vectors: DataFrame) -> DataFrame:
+    """``(term, block, most)``: the largest weight of a term within a block, from ``vectors(doc_id, term, w, block)``."""
+    return vectors.groupBy("term", "block").agg(F.max("w").alias("most"))
+
+
+def top_blocks(
+    vectors: DataFrame, blocks: DataFrame, query_vectors: DataFrame, small: bool, n: int = 10, buckets: int | None = None
+) -> DataFrame:
+    """``top_n`` of ``dot_sparse``, leaving out blocks of documents that cannot hold one of the ``n`` best.
+
+    A query's weights times the largest ones of a block bound every score in it. The blocks with the highest bounds are
+    scored first; the ``n``-th score found there is one that the ``n`` best reach, so blocks bounded below it
+    are skipped. Pairs of a query and a document are made and shuffled for the other blocks only.
+    ``vectors`` carry their ``block``; ``blocks`` are ``block_weights``. Both may lie in ``buckets``, and the query side
+    should be a table.
+    """
+    q = query_vectors.select("query_id", "term", F.col("w").alias("qw"))
+    on = ["term"]
+    if buckets:
+        q, on = q.withColumn("bucket", term_bucket(F.col("term"), buckets)), ["bucket", "term"]
+    met = blocks.join(_maybe_broadcast(q, small), on)
+    bounds = materialize(met.groupBy("query_id", "block").agg(F.sum(F.col("most") * F.col("qw")).alias("bound")), "bounds")
+
+    def scored(kept: DataFrame) -> DataFrame:
+        kept = materialize(kept.select("query_id", "block"), "kept")
+        if small and kept.count() <= BROADCAST_ROWS:
+            pairs = vectors.join(F.broadcast(q), on).join(F.broadcast(kept), ["query_id", "block"], "left_semi")
+        else:
+            pairs = vectors.join(q.join(kept, "query_id"), [*on, "block"])
+        scores = pairs.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+        return top_n(scores, n)
+
+    highest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    first = scored(bounds.withColumn("r", F.row_number().over(highest)).filter(F.col("r") <= FIRST_BLOCKS))
+    # Scores are compared rounded, hence the slack; a query with fewer matches so far has no floor.
+    least = F.when(F.count("*") >= n, F.min("score") - 2 * 10.0**-DECIMALS)
+    floors = first.groupBy("query_id").agg(least.alias("floor"))
+    return scored(bounds.join(floors, "query_id", "left").filter(F.col("bound") >= F.coalesce("floor", F.lit(0.0))))
+
+
 def label_lookup(top: DataFrame, labels: DataFrame, small: bool) -> DataFrame:
     """Attach label columns by doc_id; matches without a label keep nulls.
 

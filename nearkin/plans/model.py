@@ -15,7 +15,7 @@ from nearkin.session import materialize
 Texts = DataFrame | str | Sequence[str]
 PARAMS = (
     "mode string, n_best int, label_names array<string>, stop_words array<string>, has_lexicon boolean, "
-    "has_exceptions boolean, buckets int"
+    "has_exceptions boolean, buckets int, has_blocks boolean"
 )
 
 
@@ -26,7 +26,8 @@ class SimilarityModel:
     Modes with lemmas also keep the lexicon ``(token, pos)`` they were fitted with, each token once, and irregular forms
     ``(token, pos, lemma)`` if there are any. A model that was just
     fitted knows its raw counts ``(doc_id, term, tf)`` and weighs them on demand; one that was loaded knows in how
-    many term buckets its vocabulary and vectors are stored.
+    many term buckets its vocabulary and vectors are stored, and the largest weight of each term in each block of
+    documents, ``blocks(term, block, most)``.
     """
 
     vocab: DataFrame
@@ -40,6 +41,7 @@ class SimilarityModel:
     exceptions: DataFrame | None = None
     counts: DataFrame | None = None
     buckets: int | None = None
+    blocks: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -56,10 +58,17 @@ class SimilarityModel:
         rows = [texts] if isinstance(texts, str) else list(texts)
         return self.spark.createDataFrame(list(enumerate(rows)), f"{id_col} bigint, text string")
 
+    def _small(self, texts: Texts, frame: DataFrame) -> bool:
+        """Whether the texts may be broadcast; those at hand are measured without a job."""
+        if isinstance(texts, DataFrame):
+            return search.is_small(frame, "text")
+        texts = [texts] if isinstance(texts, str) else list(texts)
+        return len(texts) <= search.BROADCAST_ROWS and sum(len((t or "").encode()) for t in texts) <= search.BROADCAST_TEXT_BYTES
+
     def transform(self, texts: Texts, id_col: str = "query_id") -> DataFrame:
         """Vectors of new texts under the stored vocabulary; unknown terms are ignored."""
         frame = self.as_frame(texts, id_col)
-        return self._transform(frame, id_col, search.is_small(frame, "text"))
+        return self._transform(frame, id_col, self._small(texts, frame))
 
     def _transform(self, frame: DataFrame, id_col: str, small: bool) -> DataFrame:
         counts = tokens.analyze(
@@ -70,11 +79,20 @@ class SimilarityModel:
     def scores(self, queries: Texts) -> DataFrame:
         """``(query_id, doc_id, score)`` for every pair that shares a term."""
         frame = self.as_frame(queries)
-        small = search.is_small(frame, "text")
+        small = self._small(queries, frame)
         return search.dot_sparse(
             self.vectors, self._transform(frame, "query_id", small), small, buckets=self.buckets
         )
 
+    def _best(self, frame: DataFrame, small: bool, n: int) -> DataFrame:
+        """The ``n`` best of each query; of a stored model only blocks that may hold them are scored."""
+        vectors = self._transform(frame, "query_id", small)
+        if self.blocks is not None:
+            vectors = materialize(vectors, "asked")
+            if (vectors.agg(F.sum("df")).first()[0] or 0) > search.DIRECT_POSTINGS:
+                return search.top_blocks(self.vectors, self.blocks, vectors, small, n, self.buckets)
+        return search.top_n(search.dot_sparse(self.vectors, vectors, small, buckets=self.buckets), n)
+
     def predict(self, queries: Texts, n_best: int | None = None, pad: bool = False) -> DataFrame:
         """``(query_id, rank, doc_id, score, label…)``: the best documents of each query.
 
@@ -82,10 +100,11 @@ class SimilarityModel:
         """
         n = n_best or self.n_best
         frame = self.as_frame(queries)
-        top = search.top_n(self.scores(frame), n)
+        small = self._small(queries, frame)
+        top = self._best(frame, small, n)
         if pad:
             top = search.pad_zero(top, frame, self.labels, n)
-        few = search.is_small(frame, rows=search.BROADCAST_ROWS // n)
+        few = small and (isinstance(queries, str) or search.is_small(frame, rows=search.BROADCAST_ROWS // n))
         if few:
             # The matches are met twice below; written, they are scored once.
             top = materialize(top, "top")
@@ -114,6 +133,8 @@ class SimilarityModel:
         docs = self.as_frame(docs, "doc_id")
         if not isinstance(query, DataFrame):
             query = self.as_frame(query).withColumn("doc_id", F.lit(0).cast("bigint"))
+        # The pairs are met several times below, and may come from a search.
+        query = materialize(query.select("query_id", "doc_id", "text"), "pairs")
         cut = tokens.TOKENIZERS[self.mode](F.col("text"), lower=lower)
         words = query.select("query_id", "doc_id", F.posexplode(cut).alias("pos", "token"))
         small = search.is_small(query, "text")
@@ -140,15 +161,19 @@ class SimilarityModel:
         buckets = weights.bucket_count(size["postings"] or 0)
         # A term in many documents is spread over several files of its folder.
         salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / weights.POSTINGS_PER_FILE).cast("int"))
-        for name, columns, spread_by, rows in (
-            ("vocab", ["term", "df", "idf"], [F.col("term")], size["terms"]),
-            ("vectors", ["doc_id", "term", "tf", "df", "w"], [F.col("term"), salt], size["postings"] or 0),
+        vectors = self.vectors if self.counts is None else materialize(self.vectors, "vectors")
+        vectors = vectors.drop("block").join(search.doc_blocks(vectors), "doc_id")
+        for name, table, columns, spread_by, rows in (
+            ("vocab", self.vocab, ["term", "df", "idf"], [F.col("term")], size["terms"]),
+            ("vectors", vectors, ["doc_id", "term", "tf", "df", "w", "block"], [F.col("term"), salt], size["postings"] or 0),
+            ("blocks", None, ["term", "block", "most"], [F.col("term")], (size["postings"] or 0) // 4),
         ):
+            if table is None:
+                table = search.block_weights(self.spark.read.parquet(f"{base}/vectors"))
             files = weights.files_per_bucket(rows, buckets)
             bucket = weights.term_bucket(F.col("term"), buckets).alias("bucket")
             (
-                getattr(self, name)
-                .select(*columns, bucket)
+                table.select(*columns, bucket)
                 .repartition(buckets * files, "bucket", F.pmod(F.xxhash64(*spread_by), F.lit(files)))
                 .sortWithinPartitions("bucket", "term")
                 .write.mode(mode)
@@ -168,7 +193,7 @@ class SimilarityModel:
             )
         params = (
             self.mode, self.n_best, list(self.label_names), list(self.stop_words), self.lexicon is not None,
-            self.exceptions is not None, buckets,
+            self.exceptions is not None, buckets, True,
         )
         self.spark.createDataFrame([params], PARAMS).coalesce(1).write.mode(mode).parquet(f"{base}/params")
         return load_model(self.spark, base)
@@ -188,6 +213,7 @@ def load_model(spark: SparkSession, path: str) -> SimilarityModel:
         lexicon=spark.read.parquet(f"{base}/lexicon") if params["has_lexicon"] else None,
         exceptions=spark.read.parquet(f"{base}/exceptions") if params["has_exceptions"] else None,
         buckets=params["buckets"],
+        blocks=spark.read.parquet(f"{base}/blocks") if "has_blocks" in params and params["has_blocks"] else None,
     )
 
 

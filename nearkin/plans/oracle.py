@@ -319,13 +319,11 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, term, round(w, 6) AS weight,
           row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 6) DESC, term)::INT AS rank FROM vec) WHERE rank <= 10""",
     "get_weights": f"""{once(ranked(1))}, words AS MATERIALIZED (
-        SELECT query_id, doc_id, unnest(t) AS term, (generate_subscripts(t, 1) - 1)::INT AS pos
+        SELECT query_id, doc_id, unnest(t) AS term, unnest(range(len(t)))::INT AS pos
         FROM (SELECT query_id, doc_id, {found('text', T.WORD_TOKEN)} AS t FROM best JOIN benchmark ON item_id = query_id))
-      SELECT query_id, doc_id, pos, term,
+      SELECT w.query_id, w.doc_id, w.pos, w.term,
         round(CASE WHEN v.term IS NULL THEN NULL ELSE coalesce(h.w, 0.0) END, 6) AS weight
-      FROM words
-      LEFT JOIN (SELECT term FROM voc WHERE term IN (SELECT term FROM words)) v USING (term)
-      LEFT JOIN (SELECT doc_id, term, w FROM vec WHERE doc_id IN (SELECT doc_id FROM words)) h USING (doc_id, term)""",
+      FROM words w LEFT JOIN voc v ON v.term = w.term LEFT JOIN vec h ON h.term = w.term AND h.doc_id = w.doc_id""",
     "near_dups": f"""{CORPUS}, pairs AS (
         SELECT b.doc_id, a.doc_id AS first_id, round(sum(a.w * b.w), 6) AS score
         FROM vec a JOIN vec b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)

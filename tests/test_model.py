@@ -1,5 +1,6 @@
 import json
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from nearkin import fit
 from nearkin.operators import flow, search, weights
 from nearkin.plans.model import load_model
+from nearkin.session import materialize
 
 SENTENCES = [
     (0, "Bees like to make honey", "a"),
@@ -180,3 +182,40 @@ def test_count_vectorize_bounds(spark):
     assert out(min_df=2, binary=True) == {(1, "a"): 1.0, (2, "a"): 1.0}
     assert out(min_tf=2) == {(1, "a"): 2.0}
     assert (1, "a") not in out(max_df=0.5)
+
+
+def test_block_search_equals_all_scores(spark, tmp_path, monkeypatch):
+    """Copies tie at the cut, some queries match few documents or none, and blocks are skipped."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(300)], k=r.randint(3, 30))) for _ in range(700)]
+    texts += [texts[3]] * 40 + ["lonely word", "", None]
+    docs = spark.createDataFrame([(i * 7, t, "u") for i, t in enumerate(texts)], "id long, body string, url string")
+    model = fit(docs, "body", ["url"], id_col="id", mode="none", n_best=5).save(str(tmp_path / "model"))
+    queries = spark.createDataFrame(
+        list(enumerate([*texts[:25], texts[3], "lonely", "unknown", "", None, "w250 w251"])), "query_id long, text string"
+    )
+    direct = model.predict(queries).collect()
+    kept = []
+    monkeypatch.setattr(search, "DIRECT_POSTINGS", 0)
+    monkeypatch.setattr(search, "materialize", lambda df, name: kept.append((name, out := materialize(df, name))) or out)
+    assert sorted(map(tuple, model.predict(queries).collect())) == sorted(map(tuple, direct))
+    bounds, *scored = [df.count() for _, df in kept]
+    assert scored[-1] < 0.8 * bounds
+    # Both ways of the joins.
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 10)
+    assert sorted(map(tuple, model.predict(queries).collect())) == sorted(map(tuple, direct))
+    vectors = model.transform(queries)
+    assert sorted(map(tuple, search.top_blocks(model.vectors, model.blocks, vectors, False, 5, model.buckets).collect())) == sorted(
+        (x["query_id"], x["doc_id"], x["score"], x["rank"]) for x in direct
+    )
+
+
+def test_blocks_hold_each_document_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 9} gamma{i}") for i in range(200)], "id long, body string")
+    model = fit(docs, "body", ["id"], id_col="id", mode="none").save(str(tmp_path / "model"))
+    sizes = model.vectors.select("doc_id", "block").distinct().groupBy("block").count().collect()
+    assert sum(x["count"] for x in sizes) == 200 and max(x["count"] for x in sizes) <= search.BLOCK_DOCS
+    most = {(x["term"], x["block"]): x["most"] for x in model.blocks.collect()}
+    for x in model.vectors.collect():
+        assert x["w"] <= most[x["term"], x["block"]]
