@@ -17,7 +17,9 @@ from nearkin.session import materialize
 POSTINGS_PER_BUCKET = 4_000_000
 POSTINGS_PER_FILE = 500_000
 MAX_BUCKETS = 4096
-MAX_FILES = 64
+MAX_FILES = 4096
+# The flow's bound on a vocabulary; one within it may be broadcast.
+VOCAB_ROWS = 262_144
 
 
 def bucket_count(postings: int) -> int:
@@ -83,7 +85,7 @@ def count_vectorize(
     min_tf: int = 1,
     min_df: int = 1,
     max_df: float = 0.999,
-    vocab_size: int = 262_144,
+    vocab_size: int = VOCAB_ROWS,
     binary: bool = False,
 ) -> DataFrame:
     """Counts ``(id, term, tf)`` over white space tokens with the flow's bounds on the vocabulary.
@@ -117,8 +119,9 @@ def count_vectorize(
 def idf_min_df(counts: DataFrame, n: Column | int, min_df: int = 5) -> DataFrame:
     """``(id, term, tf, w)`` with the flow's IDF; terms in fewer than ``min_df`` documents weigh 0.
 
-    The counts come from ``count_vectorize``, whose vocabulary is bounded and therefore broadcast.
+    The vocabulary of ``count_vectorize`` is bounded; one of other counts is broadcast only within that bound.
     """
-    vocab = idf(doc_freq(counts), n, plus_one=False)
+    vocab = materialize(idf(doc_freq(counts), n, plus_one=False), "vocab")
     weight = F.when(F.col("df") >= min_df, F.col("tf") * F.col("idf")).otherwise(0.0)
-    return counts.join(F.broadcast(vocab), "term").select(*counts.columns, weight.alias("w"))
+    vocab = F.broadcast(vocab) if vocab.count() <= VOCAB_ROWS else vocab
+    return counts.join(vocab, "term").select(*counts.columns, weight.alias("w"))

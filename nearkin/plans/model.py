@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from nearkin.functions.wordlists import ENGLISH_STOP_WORDS
 from nearkin.operators import inspect, search, tokens, weights
 from nearkin.session import materialize
+from nearkin.sources import snapshots
 
 Texts = DataFrame | str | Sequence[str]
 PARAMS = (
@@ -151,33 +152,41 @@ class SimilarityModel:
         """Write the tables and return the model that reads them.
 
         Vocabulary and vectors are laid out by term bucket and sorted by term, which lets a search read only the
-        buckets of its terms.
+        buckets of its terms. Tables go to a folder of their own, which becomes the model at the end: with ``overwrite``
+        a model that is there stays readable until then, and also if the save fails.
         """
-        base = path.rstrip("/")
-        self.labels.write.mode(mode).parquet(f"{base}/labels")
+        if mode not in ("errorifexists", "overwrite"):
+            raise ValueError("mode is errorifexists or overwrite")
+        if mode == "errorifexists" and snapshots.current(self.spark, path) is not None:
+            raise FileExistsError(f"there is a model at {path}")
+        base = f"{path.rstrip('/')}/{snapshots.new_folder('model')}"
+        self.labels.write.parquet(f"{base}/labels")
         if self.exceptions is not None:
-            self.exceptions.write.mode(mode).parquet(f"{base}/exceptions")
-        size = self.vocab.agg(F.sum("df").alias("postings"), F.count("*").alias("terms")).first()
-        buckets = weights.bucket_count(size["postings"] or 0)
-        # A term in many documents is spread over several files of its folder.
-        salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / weights.POSTINGS_PER_FILE).cast("int"))
+            self.exceptions.write.parquet(f"{base}/exceptions")
+        size = self.vocab.agg(F.sum("df").alias("postings"), F.count("*").alias("terms"), F.max("df").alias("most")).first()
+        postings, per_file = size["postings"] or 0, weights.POSTINGS_PER_FILE
+        buckets = weights.bucket_count(postings)
         vectors = self.vectors if self.counts is None else materialize(self.vectors, "vectors")
         vectors = vectors.drop("block").join(search.doc_blocks(vectors), "doc_id")
-        for name, table, columns, spread_by, rows in (
-            ("vocab", self.vocab, ["term", "df", "idf"], [F.col("term")], size["terms"]),
-            ("vectors", vectors, ["doc_id", "term", "tf", "df", "w", "block"], [F.col("term"), salt], size["postings"] or 0),
-            ("blocks", None, ["term", "block", "most"], [F.col("term")], (size["postings"] or 0) // 4),
+        # A term in many documents is spread over as many files of its folder as its postings fill.
+        salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / per_file).cast("int"))
+        hot = max(weights.files_per_bucket(postings, buckets), min(weights.MAX_FILES, -(-(size["most"] or 1) // per_file)))
+        hot_part = F.when(F.col("df") > per_file, F.pmod(F.xxhash64("term", salt), F.lit(hot)))
+        for name, table, columns, rows in (
+            ("vocab", self.vocab, ["term", "df", "idf"], size["terms"]),
+            ("vectors", vectors, ["doc_id", "term", "tf", "df", "w", "block"], postings),
+            ("blocks", None, ["term", "block", "most"], postings),
         ):
             if table is None:
                 table = search.block_weights(self.spark.read.parquet(f"{base}/vectors"))
-            files = weights.files_per_bucket(rows, buckets)
-            bucket = weights.term_bucket(F.col("term"), buckets).alias("bucket")
+            part = F.pmod(F.xxhash64("term"), F.lit(weights.files_per_bucket(rows, buckets)))
             (
-                table.select(*columns, bucket)
-                .repartition(buckets * files, "bucket", F.pmod(F.xxhash64(*spread_by), F.lit(files)))
+                table.withColumn("_part", F.coalesce(hot_part, part) if name == "vectors" else part)
+                .select(*columns, "_part", weights.term_bucket(F.col("term"), buckets).alias("bucket"))
+                .repartition(max(buckets, -(-rows // per_file)), "bucket", "_part")
+                .drop("_part")
                 .sortWithinPartitions("bucket", "term")
-                .write.mode(mode)
-                .partitionBy("bucket")
+                .write.partitionBy("bucket")
                 .parquet(f"{base}/{name}")
             )
         if self.lexicon is not None:
@@ -187,20 +196,24 @@ class SimilarityModel:
                 self.lexicon.select("token", "pos", bucket)
                 .repartition(buckets, "bucket")
                 .sortWithinPartitions("bucket", "token")
-                .write.mode(mode)
-                .partitionBy("bucket")
+                .write.partitionBy("bucket")
                 .parquet(f"{base}/lexicon")
             )
         params = (
             self.mode, self.n_best, list(self.label_names), list(self.stop_words), self.lexicon is not None,
             self.exceptions is not None, buckets, True,
         )
-        self.spark.createDataFrame([params], PARAMS).coalesce(1).write.mode(mode).parquet(f"{base}/params")
-        return load_model(self.spark, base)
+        self.spark.createDataFrame([params], PARAMS).coalesce(1).write.parquet(f"{base}/params")
+        snapshots.publish(self.spark, path, [base])
+        return load_model(self.spark, path)
 
 
 def load_model(spark: SparkSession, path: str) -> SimilarityModel:
-    base = path.rstrip("/")
+    """The last model that was saved to its end at ``path``; all its tables are of one save."""
+    found = snapshots.current(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no model at {path}")
+    base = found["folders"][0]
     params = spark.read.parquet(f"{base}/params").first()
     return SimilarityModel(
         vocab=spark.read.parquet(f"{base}/vocab"),

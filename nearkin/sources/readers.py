@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from nearkin.operators.features import kth_smallest
 from nearkin.operators.tables import concat_rows
+from nearkin.sources import snapshots
 
 
 def scan_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None, **options
+    spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None, multi_line: bool = True, **options
 ) -> DataFrame:
     """CSV with a header whose quoted fields may hold commas, quotes and newlines.
 
-    An empty field is null and ``""`` an empty text; the null marker is a character no text holds.
+    An empty field is null and ``""`` an empty text; the null marker is a character no text holds. A file whose fields
+    may hold newlines is read by one task; without ``multi_line`` Spark splits large files.
     """
     reader = spark.read.options(
-        header=True, multiLine=True, escape='"', nullValue="\0", inferSchema=schema is None,
+        header=True, multiLine=multi_line, escape='"', nullValue="\0", inferSchema=schema is None,
         timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
     ).options(**options)
     if schema is not None:
@@ -62,15 +65,53 @@ def scan_dir(
 def get_or_build(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False
 ) -> DataFrame:
-    """The Parquet table at ``path``; built with ``build`` first when absent or when ``force`` is set."""
-    if not force:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The table kept at ``path``; built with ``build`` first when absent or when ``force`` is set.
+
+    A build that didn't come to its end is no table: it is built again, and an earlier one stays until then.
+    """
+    found = None if force else snapshots.current(spark, path)
+    if found is None:
+        folder = f"{path.rstrip('/')}/{snapshots.new_folder()}"
+        build().write.parquet(folder)
+        snapshots.publish(spark, path, [folder])
+        found = snapshots.current(spark, path)
+    return spark.read.parquet(*found["folders"])
+
+
+FILES = ("path", "modificationTime", "length")
+
+
+def cached_dir(
+    spark: SparkSession, path: str, direc: str, csv_schema: StructType | str | None = None, force: bool = False
+) -> DataFrame:
+    """``scan_dir`` kept at ``path`` with a list of the files it read.
+
+    Files that came since are read and added; the others aren't opened. Where a known file changed or is gone, or with
+    ``force``, all are read again. Names and sizes of files pass through the driver, as in any scan.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{parquet,csv}").load(direc).select(*FILES)
+    found = None if force else snapshots.current(spark, path)
+    folders, fresh = [], listed
+    if found is not None:
+        known = spark.read.parquet(found["files"])
+        if known.join(listed, [*FILES], "left_anti").isEmpty():
+            folders, fresh = found["folders"], listed.join(known, [*FILES], "left_anti")
+    names = [r["path"] for r in fresh.select("path").collect()]
+    if not names and found is None:
+        raise ValueError(f"no .parquet or .csv files in {direc}")
+    if names:
+        parquet, csv = ([n for n in names if n.endswith(end)] for end in (".parquet", ".csv"))
+        parts = [spark.read.parquet(*parquet)] if parquet else []
+        parts += [scan_csv(spark, csv, csv_schema)] if csv else []
+        base = path.rstrip("/")
+        folder, files = f"{base}/{snapshots.new_folder()}", f"{base}/{snapshots.new_folder('files')}"
+        concat_rows(parts).write.parquet(folder)
+        taken = listed.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "path string")), "path", "left_semi")
+        taken = taken.unionByName(spark.read.parquet(found["files"])) if folders else taken
+        taken.select(*FILES).coalesce(1).write.parquet(files)
+        folders = [*folders, folder]
+        snapshots.publish(spark, path, folders, files)
+    return spark.read.option("mergeSchema", True).parquet(*folders)
 
 
 def scan_sampled(
@@ -78,11 +119,24 @@ def scan_sampled(
     path: str,
     fmt: str = "parquet",
     limit: int = 50_000,
-    order_by: str | Sequence[str] | None = None,
+    order_by: str | None = None,
     **options,
 ) -> DataFrame:
-    """At most ``limit`` rows of a source; with ``order_by`` the same rows each time."""
+    """At most ``limit`` rows of a source, the same rows each time.
+
+    They are the first by ``order_by``, an integer column (null last), or those of the lowest hash of the whole row. Only keys are
+    examined to find the last one taken; rows are filtered where they lie. Rows that tie with the last are taken in the
+    order of their hash until the limit is reached.
+    """
     df = scan_csv(spark, path, **options) if fmt == "csv" else spark.read.format(fmt).load(path, **options)
-    if order_by is not None:
-        df = df.orderBy(order_by)
-    return df.limit(limit)
+    # Without the lowest bits differences of hashes stay within a long.
+    hashed = F.shiftrightunsigned(F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns]), 2)
+    keyed = df.withColumn("_key", hashed if order_by is None else F.coalesce(F.col(order_by).cast("long"), F.lit(2**62)))
+    last = kth_smallest(keyed, "_key", limit)
+    if last is None:
+        return df
+    below = keyed.filter(F.col("_key") < last)
+    tied = keyed.filter(F.col("_key") == last).withColumn("_hash", hashed)
+    missing = limit - below.count()
+    tied = tied.orderBy("_hash").limit(missing) if tied.count() > missing else tied
+    return below.drop("_key").unionByName(tied.drop("_key", "_hash"))

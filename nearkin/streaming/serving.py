@@ -7,9 +7,9 @@ batch is retried. A query with a new checkpoint counts from 0 again but has a ne
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from nearkin.operators import tokens, weights
 from nearkin.plans.model import SimilarityModel
 from nearkin.session import materialize
+from nearkin.sources import snapshots
 
 
 def stream_files(
@@ -73,12 +74,9 @@ def stream_score(
 
 
 def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    try:
-        return spark.read.option("basePath", path).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
+    if snapshots.read_or_none(spark, path) is None:
         return spark.createDataFrame([], schema).withColumns({RUN: F.lit(""), BATCH: F.lit(0)})
+    return spark.read.option("basePath", path).parquet(path)
 
 
 def catalog_append(
@@ -94,7 +92,7 @@ def catalog_append(
     Without ``order_by`` a known id is left as it is, and of several new rows with one id the first text in order is
     kept. With it, a row of a known id is a new version; the one of the greatest ``order_by``, then of the first text, counts
     (``catalog_docs``). Known ids are found in the stored catalog instead of stream state, so state does not grow.
-    ``catalog`` gets the tables ``docs`` and ``counts``.
+    ``catalog`` gets the tables ``docs`` and ``counts``, and ``freq``, by how much the batch changes document frequencies.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
@@ -113,6 +111,13 @@ def catalog_append(
         added = spark.read.parquet(f"{catalog}/docs/{RUN}={run_id}/{BATCH}={batch_id}")
         counts = tokens.analyze(_latest(added, id_col, order_by), id_col=id_col)
         _write_batch(counts, f"{catalog}/counts", run_id, batch_id)
+        counts = spark.read.parquet(f"{catalog}/counts/{RUN}={run_id}/{BATCH}={batch_id}")
+        if order_by is not None:
+            added, counts, gone, gone_counts = _replaced(spark, catalog, added, counts, id_col, order_by, run_id, batch_id)
+        change = _frequencies(added, counts, 1)
+        if order_by is not None:
+            change = change.unionByName(_frequencies(gone, gone_counts, -1))
+        _write_batch(_summed(change), f"{catalog}/{FREQ}", run_id, batch_id)
 
     return docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
@@ -126,6 +131,78 @@ def _latest(docs: DataFrame, id_col: str, order_by: str | None) -> DataFrame:
     return tied.groupBy(id_col).agg(F.min(F.struct("text", *others)).alias("_row")).select(id_col, "_row.*")
 
 
+FREQ = "freq"
+# Changes of so many batches are merged, and so many merged tables into one.
+MERGE_EVERY = 16
+
+
+def _frequencies(docs: DataFrame, counts: DataFrame, sign: int) -> DataFrame:
+    """``(term, df)`` of these documents, and their number under the null term."""
+    terms = counts.groupBy("term").agg((F.count("*") * sign).alias("df"))
+    return terms.unionByName(docs.agg((F.count("*") * sign).alias("df")).select(F.lit(None).cast("string").alias("term"), "df"))
+
+
+def _summed(change: DataFrame) -> DataFrame:
+    return change.groupBy("term").agg(F.sum("df").alias("df")).filter(F.col("df") != 0)
+
+
+def _replaced(
+    spark: SparkSession, catalog: str, added: DataFrame, counts: DataFrame, id_col: str, order_by: str, run_id: str, batch_id: int
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The new rows that become current with their counts, and the rows they replace with theirs.
+
+    Of what is stored, only rows of the batch's ids are met.
+    """
+    columns = [id_col, order_by, "text", RUN, BATCH]
+    ids = added.select(id_col).distinct()
+    mine = (F.col(RUN) == run_id) & (F.col(BATCH) == batch_id)
+    stored = _stored(spark, f"{catalog}/docs", added.select(id_col, order_by, "text").schema)
+    before = materialize(_latest(stored.filter(~mine).join(ids, id_col, "left_semi").select(columns), id_col, order_by), "before")
+    own = _latest(added, id_col, order_by).withColumns({RUN: F.lit(run_id), BATCH: F.lit(batch_id).cast(before.schema[BATCH].dataType)})
+    now = _latest(own.select(columns).unionByName(before.select(columns)), id_col, order_by)
+    current = materialize(now.filter(mine).select(id_col), "current")
+    gone = materialize(before.join(current, id_col, "left_semi").select(id_col, RUN, BATCH), "gone")
+    old = _stored(spark, f"{catalog}/counts", counts.schema).join(gone, [id_col, RUN, BATCH], "left_semi")
+    return current, counts.join(current, id_col, "left_semi"), gone, old.select(id_col, "term")
+
+
+def _changes(spark: SparkSession, catalog: str) -> tuple[Row | None, DataFrame | None]:
+    """The merged frequencies, and the changes of batches that aren't in them."""
+    merged = snapshots.current(spark, f"{catalog}/{FREQ}_merged")
+    if snapshots.read_or_none(spark, f"{catalog}/{FREQ}") is None:
+        return merged, None
+    fresh = spark.read.option("basePath", f"{catalog}/{FREQ}").parquet(f"{catalog}/{FREQ}")
+    if merged is not None:
+        fresh = fresh.join(F.broadcast(spark.read.parquet(merged["files"])), [RUN, BATCH], "left_anti")
+    return merged, fresh
+
+
+def compact_vocab(spark: SparkSession, catalog: str, every: int = MERGE_EVERY) -> bool:
+    """Merge the frequency changes of batches once there are ``every``, and the merged tables once there are as many.
+
+    A table of frequencies is thus written over again only every ``every`` merges. Readers see the merged table once it is complete.
+    Don't run it beside another merge; batches may arrive meanwhile. Says whether it merged.
+    """
+    merged, fresh = _changes(spark, catalog)
+    if fresh is None:
+        return False
+    # Which batches there are is told by their folders; a batch is merged as it stands now.
+    batches = materialize(fresh.select(RUN, BATCH).distinct(), "batches")
+    if batches.count() < every:
+        return False
+    base = f"{catalog}/{FREQ}_merged"
+    folders = list(merged["folders"]) if merged else []
+    table = fresh.join(F.broadcast(batches), [RUN, BATCH], "left_semi").select("term", "df")
+    if len(folders) + 1 >= every:
+        table, folders = table.unionByName(spark.read.parquet(*folders)), []
+    folder, files = f"{base}/{snapshots.new_folder()}", f"{base}/{snapshots.new_folder('files')}"
+    _summed(table).write.parquet(folder)
+    done = batches.unionByName(spark.read.parquet(merged["files"])) if merged else batches
+    done.coalesce(1).write.parquet(files)
+    snapshots.publish(spark, base, [*folders, folder], files)
+    return True
+
+
 def catalog_docs(spark: SparkSession, catalog: str, id_col: str = "doc_id", order_by: str | None = None) -> DataFrame:
     """The current ``(id, text, …)`` of each id of a catalog, with the run and batch it came in."""
     return _latest(spark.read.parquet(f"{catalog}/docs"), id_col, order_by)
@@ -140,11 +217,14 @@ def catalog_counts(spark: SparkSession, catalog: str, id_col: str = "doc_id", or
     return counts.select(id_col, "term", "tf")
 
 
-def refresh_vocab(spark: SparkSession, catalog: str, id_col: str = "doc_id", order_by: str | None = None) -> DataFrame:
-    """``(term, df, idf)`` over everything in the catalog; counts are stored raw, so only this is redone."""
-    counts = catalog_counts(spark, catalog, id_col, order_by)
-    docs = catalog_docs(spark, catalog, id_col, order_by)
-    return weights.idf(weights.doc_freq(counts), weights.corpus_size(docs))
+def refresh_vocab(spark: SparkSession, catalog: str) -> DataFrame:
+    """``(term, df, idf)`` over everything in the catalog, from the changes that batches made; no counts are read."""
+    merged, fresh = _changes(spark, catalog)
+    parts = [fresh.select("term", "df")] if fresh is not None else []
+    parts += [spark.read.parquet(*merged["folders"])] if merged else []
+    freq = materialize(_summed(reduce(DataFrame.unionByName, parts)), "freq")
+    n = freq.filter("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0))).scalar()
+    return weights.idf(freq.filter("term IS NOT NULL"), n)
 
 
 def catalog_model(
@@ -155,7 +235,7 @@ def catalog_model(
     The stored counts are used as they are; only vocabulary and weights are computed. Catalogs hold the plain analyzer's counts.
     """
     counts = materialize(catalog_counts(spark, catalog, id_col, order_by).withColumnRenamed(id_col, "doc_id"), "counts")
-    vocab = materialize(refresh_vocab(spark, catalog, id_col, order_by), "vocab")
+    vocab = materialize(refresh_vocab(spark, catalog), "vocab")
     labels = labels.withColumnRenamed(id_col, "doc_id")
     return SimilarityModel(
         vocab=vocab,

@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import math
 import random
@@ -219,3 +220,21 @@ def test_blocks_hold_each_document_once(spark, tmp_path):
     most = {(x["term"], x["block"]): x["most"] for x in model.blocks.collect()}
     for x in model.vectors.collect():
         assert x["w"] <= most[x["term"], x["block"]]
+
+
+def test_failed_save_leaves_the_model(spark, tmp_path):
+    path = str(tmp_path / "model")
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma")], "id long, body string")
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, path)
+    old = fit(docs, "body", ["id"], id_col="id", mode="none").save(path)
+    with pytest.raises(FileExistsError):
+        old.save(path)
+    new = fit(docs.withColumn("body", F.concat("body", F.lit(" delta"))), "body", ["id"], id_col="id", mode="none")
+    broken = dataclasses.replace(new, vocab=new.vocab.withColumn("idf", F.expr("IF(term = 'beta', raise_error('lost'), idf)")))
+    with pytest.raises(Exception, match="lost"):
+        broken.save(path, mode="overwrite")
+    assert load_model(spark, path).vocab.count() == 3
+    assert new.save(path, mode="overwrite").vocab.count() == 4
+    # A reader of the version before still has all its tables.
+    assert old.vocab.count() == 3 and old.predict("alpha").count() == 1

@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from nearkin import fit
+from nearkin.operators import weights
 from nearkin.streaming import serving
 
 
@@ -97,3 +100,28 @@ def test_feedback_drops_late_and_shows_open_days(spark, tmp_path):
     assert run() == {("2024-01-01", "up"): (2, 3.0), ("2024-01-02", "down"): (2, 3.0), ("2024-01-04", "up"): (1, 1.0)}
     batch = serving.feedback_counts(df, "ts", "vote", F.col("v"))
     assert batch.count() == 2
+
+
+def test_vocab_from_changes_equals_full_rerun(spark, tmp_path):
+    """Versions, late older versions, texts without terms and repeated rows over several batches, merged twice."""
+    r = random.Random(2)
+    schema = "doc_id bigint, text string, at bigint"
+    cat = str(tmp_path / "cat")
+    words = "red blue green fish whale tree moss fern".split()
+
+    def full():
+        counts = serving.catalog_counts(spark, cat, order_by="at")
+        docs = serving.catalog_docs(spark, cat, order_by="at")
+        return sorted(map(tuple, weights.idf(weights.doc_freq(counts), weights.corpus_size(docs)).collect()))
+
+    merges = []
+    for batch in range(6):
+        rows = [(r.randint(0, 12), " ".join(r.choices(words, k=r.randint(0, 4))), r.randint(0, 3) + batch // 2) for _ in range(9)]
+        spark.createDataFrame(rows + rows[:2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = serving.stream_files(spark, str(tmp_path / "in"), schema)
+        serving.catalog_append(stream, cat, str(tmp_path / "cp"), order_by="at").awaitTermination()
+        merges.append(serving.compact_vocab(spark, cat, every=2))
+        if batch in (0, 2, 5):
+            assert sorted(map(tuple, serving.refresh_vocab(spark, cat).collect())) == full()
+    assert merges == [False, True] * 3
+    assert len(serving.snapshots.current(spark, f"{cat}/freq_merged")["folders"]) == 1

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearkin import sources as S
+from nearkin.sources import snapshots
 from nearkin.operators import features, tables
 
 
@@ -139,3 +140,71 @@ def test_corpus_labels_keep_types(spark):
     df = spark.createDataFrame([("t", 1, True)], "text string, n int, b boolean")
     label = tables.corpus_labels(df, "text", ["n", "b"]).select(F.col("label")).first()["label"]
     assert label["n"] == 1 and label["b"] is True
+
+
+def test_half_written_cache_is_built_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def broken():
+        # The write begins and fails.
+        return spark.range(100).selectExpr("IF(id = 99, raise_error('lost'), id) AS id")
+
+    with pytest.raises(Exception, match="lost"):
+        S.get_or_build(spark, path, broken)
+    spark.range(3).write.parquet(f"{path}/data-left")
+    assert S.get_or_build(spark, path, lambda: spark.range(7)).count() == 7
+    with pytest.raises(Exception, match="lost"):
+        S.get_or_build(spark, path, broken, force=True)
+    assert S.get_or_build(spark, path, broken).count() == 7
+
+
+def test_cached_dir_reads_new_files_only(spark, tmp_path):
+    direc, path = tmp_path / "in", str(tmp_path / "cache")
+    direc.mkdir()
+    with pytest.raises(ValueError):
+        S.cached_dir(spark, path, str(direc))
+
+    def add(name, rows, columns="id long, text string"):
+        df = spark.createDataFrame(rows, columns).toPandas()
+        df.to_parquet(direc / name) if name.endswith("parquet") else df.to_csv(direc / name, index=False)
+
+    def cached():
+        return sorted(tuple(r) for r in S.cached_dir(spark, path, str(direc), "id long, text string").select("id", "text").collect())
+
+    add("a.parquet", [(1, "x"), (2, "y")])
+    (direc / "notes.txt").write_text("skipped")
+    assert cached() == [(1, "x"), (2, "y")]
+    add("b.csv", [(3, "z")])
+    assert cached() == [(1, "x"), (2, "y"), (3, "z")]
+    before = snapshots.current(spark, path)
+    assert before["version"] == 2 and len(before["folders"]) == 2
+    assert cached() == [(1, "x"), (2, "y"), (3, "z")] and snapshots.current(spark, path) == before
+    add("b.csv", [(3, "changed"), (4, "w")])
+    assert cached() == [(1, "x"), (2, "y"), (3, "changed"), (4, "w")] and len(snapshots.current(spark, path)["folders"]) == 1
+    (direc / "a.parquet").unlink()
+    assert cached() == [(3, "changed"), (4, "w")]
+
+
+def test_sample_is_cut_alike_each_time(spark, tmp_path):
+    rows = [(i % 50, f"t{i % 300}", [i]) for i in range(900)] + [(None, "t", None)] * 9
+    path = str(tmp_path / "s")
+    spark.createDataFrame(rows, "id long, text string, v array<int>").repartition(5).write.parquet(path)
+    first = sorted(map(str, S.scan_sampled(spark, path, limit=100).collect()))
+    spark.read.parquet(path).repartition(2).write.parquet(f"{path}2")
+    assert len(first) == 100 and first == sorted(map(str, S.scan_sampled(spark, f"{path}2", limit=100).collect()))
+    by_id = S.scan_sampled(spark, path, limit=100, order_by="id").collect()
+    assert sorted(r["id"] for r in by_id) == sorted(r[0] for r in rows if r[0] is not None)[:100]
+    assert S.scan_sampled(spark, path, limit=905, order_by="id").filter("id IS NULL").count() == 5
+    assert S.scan_sampled(spark, path, limit=5000).count() == 909
+
+
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "repeat('x', 50) AS t").coalesce(1)
+    S.write_csv(df, str(tmp_path / "c"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert S.scan_csv(spark, str(tmp_path / "c"), df.schema).rdd.getNumPartitions() == 1
+        whole = S.scan_csv(spark, str(tmp_path / "c"), df.schema, multi_line=False)
+        assert whole.rdd.getNumPartitions() > 3 and whole.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
