@@ -1,10 +1,12 @@
 """License scans with a positional index of rare words.
 
-Templates are short word sequences of license notices. Each is looked up by its words of the highest inverse document
-frequency, counted over all texts: where such a word stands in a file, its place in the template gives the place the
-template would start at. Places that several rare words agree on, or one where the template has no more, are laid
-against the template word by word. A template counts when enough words stand at their place and its key phrase, all of
-it, is among them. Short phrases must match in full, so every place of theirs is found by any one of their words.
+Templates are short word sequences of license notices. A file is looked up by its own license words of the highest inverse
+document frequency, counted over all texts: where such a word stands in the file, its place in a template gives the place
+the template would start at. Places that two of the words agree on are laid against the template word by word. A template
+counts when enough words stand at their place and its key phrase, all of it, is among them.
+
+Nothing is lost by looking at the rarest words only. Of a template's words that the file holds, all but ``spare`` must
+stand at their place for it to count; among any ``spare + 2`` of them at least two do.
 
 Words are runs of ASCII letters and digits and of other characters beyond ASCII, A-Z in lower case. Null texts have
 none. Repeated rows stay, extra columns are kept.
@@ -53,8 +55,7 @@ NOTICES = {
         "with or without fee is hereby granted",
     ),
 }
-# Rare words a template is looked up by, and the share of its words that must stand at their place.
-RARE = 3
+# The share of a template's words that must stand at their place.
 COVERAGE = 0.7
 
 
@@ -65,11 +66,11 @@ class Template:
         phrase = plain_words(key.encode()) if key else self.words
         fits = [i for i in range(len(self.words)) if self.words[i : i + len(phrase)] == phrase]
         self.key = range(fits[0], fits[0] + len(phrase))
-
-    def rare(self, found_in: Mapping[bytes, int]) -> list[bytes]:
-        """The template's distinct words, those in the fewest texts first."""
-        words = sorted(set(self.words), key=lambda w: (found_in.get(w, 0), w))
-        return words[: 1 if self.base else RARE]
+        # How many words must stand at their place, and how many of those looked up agree on it.
+        least = 1.0 if self.base else COVERAGE
+        self.need = next(n for n in range(1, len(self.words) + 1) if n / len(self.words) >= least)
+        self.votes = min(2, self.need)
+        self.key_words = frozenset(phrase)
 
     def coverage(self, words: list[bytes], start: int) -> float:
         """The share of words at their place; 0 if the key phrase isn't whole."""
@@ -99,27 +100,41 @@ def document_frequencies(df: DataFrame, text: str) -> dict[bytes, int]:
 
 
 class Index:
-    """Postings ``(template, place)`` of the rare words."""
+    """The templates, with their words in the order in which files are looked up by them."""
 
     def __init__(self, found_in: Mapping[bytes, int]):
         self.templates = templates()
-        self.rare = [t.rare(found_in) for t in self.templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for number, (template, rare) in enumerate(zip(self.templates, self.rare)):
-            for place, word in enumerate(template.words):
-                if word in rare:
-                    self.postings[word].append((number, place))
+        self.vocabulary = frozenset(w for t in self.templates for w in t.words)
+        # Places of each template, those of the rarest words first.
+        self.rarest = [
+            sorted(range(len(t.words)), key=lambda i, t=t: (found_in.get(t.words[i], 0), t.words[i], i)) for t in self.templates
+        ]
+
+    def postings(self, held: frozenset[bytes]) -> dict[bytes, list[tuple[int, int]]]:
+        """``(template, place)`` for the rarest words of a file that holds these license words."""
+        out: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for number, (template, rarest) in enumerate(zip(self.templates, self.rarest)):
+            if not template.key_words <= held:
+                continue
+            places = [i for i in rarest if template.words[i] in held]
+            spare = len(places) - template.need
+            if spare >= 0:
+                for place in places[: spare + template.votes]:
+                    out[template.words[place]].append((number, place))
+        return out
 
     def scan(self, words: list[bytes]) -> list[tuple[str, bool, int, float]]:
         """``(label, base, start, coverage)``: every place of a phrase, the best place of a notice."""
+        postings = self.postings(self.vocabulary.intersection(words))
         agreed: Counter = Counter()
-        for at, word in enumerate(words):
-            if word in self.postings:
-                agreed.update((number, at - place) for number, place in self.postings[word])
+        if postings:
+            for at, word in enumerate(words):
+                if word in postings:
+                    agreed.update((number, at - place) for number, place in postings[word])
         found, best = [], {}
         for (number, start), votes in agreed.items():
             template = self.templates[number]
-            if votes < min(2, len(self.rare[number])):
+            if votes < template.votes:
                 continue
             share = template.coverage(words, start)
             if template.base and share == 1:

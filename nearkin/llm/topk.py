@@ -7,11 +7,13 @@ query's k-th best any more are dropped and the rest are moved together. The k-th
 packet to packet.
 
 Queries are packed likewise, in blocks of bounded size. Each packet meets each query block once: packets are
-repeated per query block, query blocks per salt, and both are joined on the two, so neither side is
-broadcast and no task gets more than its share. A task hands on the k best per query.
+repeated per query block, query blocks per salt, and both are joined on the two by sorting, so neither side is
+broadcast, no task gets more than its share and a query's bests are carried through all packets of a task. A task hands on
+the k best per query.
 
-A vector takes part if it and its components are not null and finite. Components become ``floor(scale * x)``; scaled
-values must stay below 2^31 in size, beyond which the job fails. Only vectors of one length are compared. Rows that repeat an id are
+A vector takes part if it and its components are not null and finite, also once scaled. Components become
+``floor(scale * x)``. Where values or sums may leave the range of 64 bits, products are made in whole numbers of any size; a score beyond a
+long is given as the end of its range. Only vectors of one length are compared. Rows that repeat an id are
 candidates each on its own, never of their id's query; as a query an id counts once, with its least vector. Null ids are ignored.
 """
 
@@ -29,25 +31,39 @@ from nearkin.session import materialize
 PACKET = 2048
 BLOCK_DIMS = 8
 LIMIT = float(1 << 31)
-PACKET_SCHEMA = "dims int, ids binary, values binary"
+LONG = (-(1 << 63), (1 << 63) - 1)
+PACKET_SCHEMA = "dims int, wide boolean, ids binary, values binary"
 
 
 def pack(ids: np.ndarray, vectors: list, scale: float) -> Iterator[dict]:
-    """Packets ``(dims, ids, values)`` of the vectors that take part; values lie dimension by dimension."""
+    """Packets ``(dims, wide, ids, values)`` of the vectors that take part; values lie dimension by dimension.
+
+    Values are 32-bit integers, or whole numbers in doubles in a wide packet of vectors that don't fit.
+    """
     by_length: dict[int, list[int]] = {}
     for i, v in enumerate(vectors):
         if v is not None and ids[i] is not None:
             by_length.setdefault(len(v), []).append(i)
     for dims, rows in by_length.items():
         matrix = np.array([vectors[i] for i in rows], dtype=float).reshape(len(rows), dims)
-        good = np.isfinite(matrix).all(axis=1)
-        scaled = np.floor(scale * matrix[good])
-        if len(scaled) and dims and np.abs(scaled).max() >= LIMIT:
-            raise ValueError("a scaled component doesn't fit")
-        kept = np.array([ids[i] for i in rows], dtype=np.int64)[good]
-        for start in range(0, len(kept), PACKET):
-            part = np.ascontiguousarray(scaled[start : start + PACKET].T.astype(np.int32))
-            yield {"dims": dims, "ids": kept[start : start + PACKET].tobytes(), "values": part.tobytes()}
+        with np.errstate(over="ignore", invalid="ignore"):
+            scaled = np.floor(scale * matrix)
+        good = np.isfinite(matrix).all(axis=1) & np.isfinite(scaled).all(axis=1)
+        named = np.array([ids[i] for i in rows], dtype=np.int64)
+        fits = (np.abs(scaled) < LIMIT).all(axis=1)
+        for wide, chosen, kind in ((False, good & fits, np.int32), (True, good & ~fits, np.float64)):
+            values, kept = scaled[chosen], named[chosen]
+            for start in range(0, len(kept), PACKET):
+                part = np.ascontiguousarray(values[start : start + PACKET].T.astype(kind))
+                yield {"dims": dims, "wide": wide, "ids": kept[start : start + PACKET].tobytes(), "values": part.tobytes()}
+
+
+def whole_numbers(values: bytes, dims: int, n: int, wide: bool) -> np.ndarray:
+    """The values of a packet of ``n`` vectors as 64-bit integers, or as Python's where it is wide."""
+    if not wide:
+        return np.frombuffer(values, np.int32).reshape(dims, n).astype(np.int64)
+    found = np.frombuffer(values, np.float64)
+    return np.array([int(v) for v in found], dtype=object).reshape(dims, n)
 
 
 def _packets(batch: pa.Table | pa.RecordBatch, scale: float) -> list[dict]:
@@ -57,18 +73,20 @@ def _packets(batch: pa.Table | pa.RecordBatch, scale: float) -> list[dict]:
 class Candidates:
     """A packet of vectors with the squared mass of each block of dimensions."""
 
-    def __init__(self, dims: int, ids: bytes, values: bytes):
+    def __init__(self, dims: int, ids: bytes, values: bytes, wide: bool = False):
         self.ids = np.frombuffer(ids, np.int64)
-        self.values = np.frombuffer(values, np.int32).reshape(dims, len(self.ids)).astype(np.int64)
+        self.values = whole_numbers(values, dims, len(self.ids), wide)
         starts = range(0, dims, BLOCK_DIMS)
         self.blocks = [slice(s, min(s + BLOCK_DIMS, dims)) for s in starts]
-        self.mass = np.array([(self.values[b].astype(float) ** 2).sum(axis=0) for b in self.blocks]).reshape(
+        self.mass = np.array([(self.values[b].astype(float) ** 2).sum(axis=0) for b in self.blocks], dtype=float).reshape(
             len(self.blocks), len(self.ids)
         )
         self.total = self.mass.sum(axis=0)
 
     def best(self, query_id: int, query: np.ndarray, k: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """The ``k`` best ``(-score, id)`` among ``known`` and this packet."""
+        if self._large(query):
+            return self._best_of_any_size(query_id, query, k, known)
         mass = np.array([float((query[b].astype(float) ** 2).sum()) for b in self.blocks])
         order = np.argsort(-mass, kind="stable")
         alive = np.flatnonzero(self.ids != query_id)
@@ -101,6 +119,19 @@ class Candidates:
         return sorted(known + found)[:k]
 
 
+    def _large(self, query: np.ndarray) -> bool:
+        """Whether products may leave 64 bits: no sum is larger than the product of the norms."""
+        if query.dtype == object or self.values.dtype == object:
+            return True
+        return float((query.astype(float) ** 2).sum()) * float(self.total.max(initial=0)) >= 2.0**122
+
+    def _best_of_any_size(self, query_id: int, query: np.ndarray, k: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        alive = np.flatnonzero(self.ids != query_id)
+        scores = query.astype(object) @ self.values[:, alive].astype(object)
+        found = [(-min(max(int(s), LONG[0]), LONG[1]), i) for s, i in zip(scores, self.ids[alive].tolist())]
+        return sorted(known + found)[:k]
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """``(query_id, rank, id, score)``: for each row with ``is_query`` the ``k`` best others, ties to the smaller id."""
     spark = df.sparkSession
@@ -118,6 +149,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
             {
                 "block": pa.array([block] * len(rows), pa.int32()),
                 "q_dims": pa.array([r["dims"] for r in rows], pa.int32()),
+                "q_wide": pa.array([r["wide"] for r in rows], pa.bool_()),
                 "q_ids": pa.array([r["ids"] for r in rows], pa.binary()),
                 "q_values": pa.array([r["values"] for r in rows], pa.binary()),
             }
@@ -127,12 +159,11 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         for batch in batches:
             rows = _packets(batch, scale)
             if rows:
-                yield pa.RecordBatch.from_pylist(
-                    rows, schema=pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())])
-                )
+                kinds = [("dims", pa.int32()), ("wide", pa.bool_()), ("ids", pa.binary()), ("values", pa.binary())]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
     numbered = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    queries = numbered.groupBy("block").applyInArrow(pack_queries, "block int, q_dims int, q_ids binary, q_values binary")
+    queries = numbered.groupBy("block").applyInArrow(pack_queries, "block int, q_dims int, q_wide boolean, q_ids binary, q_values binary")
     queries = materialize(queries, "queries").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     packets = materialize(vectors.mapInArrow(pack_rows, PACKET_SCHEMA), "packets")
     packets = packets.select(
@@ -140,8 +171,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int").alias("salt"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
-    met = packets.join(queries, ["block", "salt"]).filter("dims = q_dims").select(
-        "block", "dims", "q_ids", "q_values", "ids", "values"
+    # The estimated size of the salted queries is that of one copy; by it they would be broadcast with all copies.
+    met = packets.join(queries.hint("merge"), ["block", "salt"]).filter("dims = q_dims").select(
+        "block", "dims", "q_wide", "q_ids", "q_values", "wide", "ids", "values"
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,13 +189,14 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
 
         for batch in batches:
             for i in range(batch.num_rows):
-                block, dims, q_ids, q_values, ids, values = (c[i].as_py() for c in batch.columns)
-                if current not in (None, (block, dims)) and best:
+                block, dims, q_wide, q_ids, q_values, wide, ids, values = (c[i].as_py() for c in batch.columns)
+                # Rows come sorted by block; vectors of another length are of other queries.
+                if current not in (None, block) and best:
                     yield flush()
-                current = (block, dims)
+                current = block
                 asked_ids = np.frombuffer(q_ids, np.int64)
-                matrix = np.frombuffer(q_values, np.int32).reshape(dims, len(asked_ids)).astype(np.int64)
-                packet = Candidates(dims, ids, values)
+                matrix = whole_numbers(q_values, dims, len(asked_ids), q_wide)
+                packet = Candidates(dims, ids, values, wide)
                 for j, query_id in enumerate(asked_ids.tolist()):
                     best[query_id] = packet.best(query_id, matrix[:, j], k, best.get(query_id, []))
         if best:

@@ -91,6 +91,31 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_in_many_blocks_and_beyond_32_bits(spark, monkeypatch):
+    """Several query blocks and packets a task, no broadcast, and finite values of any size."""
+    monkeypatch.setattr(topk, "PACKET", 7)
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.normal(size=9) * 10.0 ** r.choice([0, 0, 0, 7, 12, 60])]) for i in range(300)]
+    rows += [(i, [float(x) for x in r.normal(size=5)]) for i in range(300, 330)] + [(330, [1e308] * 9), (331, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows if np.isfinite(1024 * np.array(v)).all()}
+    expected = {}
+    for q, v in good.items():
+        if q % 10 == 0:
+            clamped = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+            best = sorted((-clamped(sum(a * b for a, b in zip(v, w))), i) for i, w in good.items() if i != q and len(w) == len(v))[:10]
+            expected.update({(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)})
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        out = topk.top_k(df, F.col("vec_id") % 10 == 0)
+        assert {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in out.collect()} == expected
+        plan = out._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert 330 not in good and max(abs(s) for _, s in expected.values()) >= 2**63 - 1
+
+
 def brute_best_fit(sizes, capacity):
     left = []
     for size in sorted(sizes, reverse=True):

@@ -61,6 +61,44 @@ def test_bpe_columns(spark, tokenizer):
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 
+def brute_notices(words):
+    """The best place of each notice, over all starts."""
+    found = {}
+    for template in licences.templates():
+        if template.base:
+            continue
+        places = [(template.coverage(words, start), -start) for start in range(-len(template.words), len(words))]
+        share, start = max(places, default=(0.0, 0))
+        if share >= licences.COVERAGE:
+            found[template.label] = (-start, share)
+    return found
+
+
+def test_no_notice_is_lost():
+    """Notices with words cut, changed or left out, whatever the words' frequencies are."""
+    r = random.Random(11)
+    notices = [t for t in licences.templates() if not t.base]
+    hits = 0
+    for round_ in range(400):
+        words = [r.choice([b"the", b"of", b"to", b"software", b"license", b"x"]) for _ in range(r.randint(0, 30))]
+        for template in r.sample(notices, 2):
+            part = list(template.words)
+            for _ in range(r.randint(0, len(part) * 2 // 5)):
+                part[r.randrange(len(part))] = r.choice([b"a", b"the", b"software", b"zz"])
+            part = part[r.choice([0, 0, 1, 3]) : len(part) - r.choice([0, 0, 1, 4])]
+            at = r.randint(0, len(words))
+            words[at:at] = part
+        frequencies = {w: r.choice([0, 1, 5, 1000]) for t in notices for w in t.words}
+        got = {label: (start, share) for label, base, start, share in licences.Index(frequencies).scan(words) if not base}
+        expected = brute_notices(words)
+        assert got == expected
+        hits += len(expected)
+    assert hits > 100
+    grant = next(t for t in notices if t.label == "mit-grant")
+    rare = {w: 9 for w in grant.words} | {b"documentation": 0, b"files": 0}
+    assert licences.Index(rare).scan(grant.words[:-2])[0][0] == "mit-grant"
+
+
 def test_licence_places(spark):
     r = random.Random(2)
     words = ["MIT", "License", "apache", "general", "public", "the", "gnu", "x"]
