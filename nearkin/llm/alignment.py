@@ -16,7 +16,6 @@ remembered by the worker. Where a vocabulary holds tokens that run on over a spa
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -283,15 +282,6 @@ class Aligner:
 
     def linked(self, texts: Sequence[str | None]) -> list[tuple]:
         """What ``learn`` says of a chunk, for whole texts, with the digest of the written groups; links are distinct."""
-        # The collector of cycles would walk through all that is remembered time and again; there are no cycles in it.
-        gc.disable()
-        try:
-            return self._linked(texts)
-        finally:
-            gc.freeze()
-            gc.enable()
-
-    def _linked(self, texts: Sequence[str | None]) -> list[tuple]:
         parts = [self.apart(text) if text else [] for text in texts]
         known, older = self.chunks, self.older
         found = [list(map(known.get, chunks)) for chunks in parts]
