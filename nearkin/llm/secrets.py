@@ -98,8 +98,16 @@ def candidates_of(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[in
     A run of hex digits may as well be part of a longer key, so what surrounds it is a candidate with it, too.
     """
     out = []
+    # Runs and fixed forms are gone through side by side: spans of a kind don't overlap, so few reach beyond a run.
+    ahead, at_hand = iter(sorted(taken)), []
+    following = next(ahead, None)
     for run in CANDIDATE.finditer(text):
-        met = sorted(s for s in taken if s[0] < run.end() and run.start() < s[1])
+        at_hand = [s for s in at_hand if s[1] > run.start()]
+        while following and following[0] < run.end():
+            if following[1] > run.start():
+                at_hand.append(following)
+            following = next(ahead, None)
+        met = at_hand
         hexes = {s[:2] for s in met if s[2] == "hex"}
         found = set()
         for without in (met, [s for s in met if s[2] != "hex"]) if hexes else (met,):
