@@ -3,7 +3,7 @@
 A gear hash rolls over the bytes of a text; where its upper bits are zero, a chunk ends. Cuts depend on the bytes just before
 them, so an insertion moves only the chunks around it. Two neighbouring chunks together are a unit with a
 64-bit digest. A unit is repeated when documents of two ids hold it; overlapping and adjoining repeated units of a document
-make a passage, reported from ``min_chars`` on. The document of the smallest id keeps a unit, the others lose it.
+make a passage, reported from ``min_chars`` or ``min_words`` on. The document of the smallest id keeps a unit, the others lose it.
 
 Digests are combined per id before their shuffle, so a unit that most documents hold is one row per task; units are joined
 back by digest, a join that Spark splits.
@@ -19,7 +19,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearkin.llm.words import byte_texts, map_batches
@@ -29,8 +29,12 @@ from nearkin.session import materialize
 WINDOW = 16
 CUT_BITS = 4
 MIN_CHUNK, MAX_CHUNK = 8, 48
-MIN_CHARS = 150
+# A passage loses up to some 44 characters at each edge, so it is found from here on where its words are short.
+MIN_CHARS, MIN_WORDS = 150, 30
+# A place in a text is one number: the code points before it, and in the low bits the words that start before it.
+WORD_BITS = 32
 
+SPACES = np.frombuffer(b"\t\n\v\f\r ", np.uint8)
 GEAR = (lambda r: np.array([r.getrandbits(32) for _ in range(256)], np.uint32))(random.Random(11))
 
 
@@ -68,12 +72,15 @@ def cuts(data: np.ndarray) -> list[int]:
 
 
 def units(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends in code points and digests of all pairs of neighbouring chunks."""
+    """Starts and ends as places and digests of all pairs of neighbouring chunks."""
     data = np.frombuffer(text or b"", np.uint8)
     edges = [0, *cuts(data)]
     if len(edges) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[edges]
+    spaces = np.isin(data, SPACES)
+    words = np.concatenate([[0], np.cumsum(~spaces & np.concatenate([[True], spaces[:-1]]))])[edges]
+    points = points << WORD_BITS | words
     digests = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(edges, edges[2:])]
     return points[:-2], points[2:], np.array(digests, np.uint64).view(np.int64)
 
@@ -92,22 +99,22 @@ def _unit_rows(df: DataFrame, id_col: str, text: str, places: bool) -> DataFrame
         if not places:
             lists = [_lists([np.unique(d) for _, _, d in found], np.int64)]
             return pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "digests"])
-        lists = [_lists([f[i] for f in found], kind) for i, kind in enumerate((np.int32, np.int32, np.int64))]
+        lists = [_lists([f[i] for f in found], kind) for i, kind in enumerate((np.int64, np.int64, np.int64))]
         return pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "starts", "ends", "digests"])
 
     if not places:
         rows = map_batches(columns, run, "id bigint, digests array<bigint>")
         return rows.select("id", F.explode("digests").alias("digest"))
-    rows = map_batches(columns, run, "id bigint, starts array<int>, ends array<int>, digests array<bigint>")
+    rows = map_batches(columns, run, "id bigint, starts array<bigint>, ends array<bigint>, digests array<bigint>")
     return rows.select("id", F.inline(F.arrays_zip("digests", "starts", "ends"))).toDF("id", "digest", "start", "end")
 
 
 def repeated_passages(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS
 ) -> DataFrame:
     """``(id, start, end, removed, first_id)``: passages that stand in other documents as well.
 
-    A passage is at least ``min_chars`` long. Where some of its units are kept and some are not, it comes in parts.
+    A passage has at least ``min_chars`` characters or touches at least ``min_words`` words. Where some of its units are kept and some are not, it comes in parts.
     ``removed`` tells whether documents of smaller ids hold the part, unit by unit; ``first_id`` is the smallest of them,
     or the id itself for the document that keeps it.
     """
@@ -125,15 +132,23 @@ def repeated_passages(
     hits = hits.withColumn("removed", F.col("first") < F.col("id"))
     passages = _runs(hits, ["id"], "passage")
     bounds = passages.groupBy("id", "passage").agg(F.min("start").alias("a"), F.max("end").alias("b"))
-    long = bounds.filter(F.col("b") - F.col("a") >= min_chars).select("id", "passage")
+    long = bounds.filter((_points("b") - _points("a") >= min_chars) | (_words("b") - _words("a") >= min_words)).select("id", "passage")
     parts = _runs(passages.join(long, ["id", "passage"]), ["id", "passage", "removed"], "part")
     return (
         parts.groupBy("id", "passage", "removed", "part")
-        .agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.min("first").alias("first_id"))
-        .select(F.col("id").alias(id_col), "start", "end", "removed", "first_id")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first_id"))
+        .select(F.col("id").alias(id_col), _points("start").alias("start"), _points("end").alias("end"), "removed", "first_id")
     )
 
 
+def _points(place: str) -> Column:
+    return F.shiftright(place, WORD_BITS)
+
+
+def _words(place: str) -> Column:
+    return F.col(place).bitwiseAND((1 << WORD_BITS) - 1)
+
+
 def _runs(hits: DataFrame, by: list[str], name: str) -> DataFrame:
     """``hits`` and the number of the run of overlapping or adjoining spans that each lies in; a text's spans are one task's."""
     ordered = Window.partitionBy(*by).orderBy("start", "end")
