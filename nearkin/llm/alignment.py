@@ -259,7 +259,7 @@ class Aligner:
         return Aligned(found.a, found.a_ends, a_stops, found.b, found.b_ends, b_stops, found.cuts, stops), np.ones(len(chunks), bool)
 
     def learn(self, chunks: Sequence[str]) -> dict[str, tuple | bool]:
-        """Of each chunk, the numbers of tokens of A and B, groups and links, the written groups, the links with their times.
+        """Of each chunk, the numbers of tokens of A and B, groups and links, the written groups, the links with their times as bytes.
 
         False for a chunk without tokens.
         """
@@ -270,14 +270,14 @@ class Aligner:
                 continue
             found, good = align(part)
             codes, times, n_codes = found.links()
-            stops, codes = np.cumsum(n_codes).tolist(), np.stack([codes, times])
+            stops, flat = np.cumsum(n_codes).tolist(), np.stack([codes, times], 1).tobytes()
             counts = zip(
                 np.diff(found.a_stops, prepend=0).tolist(), np.diff(found.b_stops, prepend=0).tolist(),
                 np.diff(found.groups, prepend=0).tolist(), segments(np.array(stops), times).tolist(),
             )
-            # A copy, as a slice would keep the links of all these chunks in memory.
+            # Bytes take less memory than arrays and are joined faster; a link and its times are 16.
             for chunk, count, text, i, j, fine in zip(part, counts, self.written(found), [0, *stops[:-1]], stops, good.tolist()):
-                out[chunk] = fine and (*count, text, codes[:, i:j].copy())
+                out[chunk] = fine and (*count, text, flat[16 * i : 16 * j])
         return out
 
     def linked(self, texts: Sequence[str | None]) -> list[tuple]:
@@ -297,7 +297,7 @@ class Aligner:
                 rows.append((0, 0, 0, 0, "", _EMPTY, _EMPTY))
                 continue
             n_a, n_b, n_groups, n_links, written, codes = zip(*had)
-            codes, times = np.concatenate(codes, 1)
+            codes, times = np.frombuffer(b"".join(codes), np.int64).reshape(-1, 2).T
             codes, where = np.unique(codes, return_inverse=True)
             times = np.bincount(where, times).astype(np.int64)
             digest = hashlib.sha256(b";".join(written)).hexdigest()
