@@ -39,7 +39,7 @@ B_BITS = 32
 APART = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 EDGED = re.compile("[!-~À-ɏ](?:.*[!-~À-ɏ])?", re.DOTALL).fullmatch
 # Remembered chunks of a worker in each of two generations, and the longest that is.
-MAX_CHUNKS = 200_000
+MAX_CHUNKS = 300_000
 MAX_CHUNK_CHARS = 64
 # Both files travel to every task.
 MAX_FILE_BYTES = 64 * 1024 * 1024
@@ -264,8 +264,10 @@ class Aligner:
         False for a chunk without tokens.
         """
         out = {}
-        edged = [c for c in chunks if EDGED(c)]
-        for part, align in ((edged, self.align_chunks), ([c for c in chunks if not EDGED(c)], self.align)):
+        parts: tuple[list[str], list[str]] = [], []
+        for chunk in chunks:
+            parts[EDGED(chunk) is None].append(chunk)
+        for part, align in zip(parts, (self.align_chunks, self.align)):
             if not part:
                 continue
             found, good = align(part)
@@ -285,15 +287,15 @@ class Aligner:
         parts = [self.apart(text) if text else [] for text in texts]
         known, older = self.chunks, self.older
         found = [list(map(known.get, chunks)) for chunks in parts]
-        missing = {c for chunks, had in zip(parts, found) if None in had for c, entry in zip(chunks, had) if entry is None}
+        missing = {c for chunks, had in zip(parts, found) if not all(had) for c, entry in zip(chunks, had) if entry is None}
         known.update({c: older[c] for c in missing if c in older})
         if fresh := [c for c in missing if c not in known]:
             known.update(self.learn(fresh))
         rows = []
         for chunks, had in zip(parts, found):
-            if None in had:
+            if not all(had):
                 had = [known[c] for c in chunks]
-            if not had or False in had:
+            if not had or not all(had):
                 rows.append((0, 0, 0, 0, "", _EMPTY, _EMPTY))
                 continue
             n_a, n_b, n_groups, n_links, written, codes = zip(*had)
