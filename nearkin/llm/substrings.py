@@ -29,8 +29,8 @@ from nearkin.session import materialize
 WINDOW = 16
 CUT_BITS = 4
 MIN_CHUNK, MAX_CHUNK = 8, 48
-# A passage loses up to some 44 characters at each edge, so it is found from here on where its words are short.
-MIN_CHARS, MIN_WORDS = 150, 30
+# A passage loses up to some 44 characters at its edges, over 20 short words; either limit is enough.
+MIN_CHARS, MIN_WORDS = 150, 24
 # A place in a text is one number: the code points before it, and in the low bits the words that start before it.
 WORD_BITS = 32
 

@@ -208,6 +208,28 @@ def test_gear_hash_rolls():
     assert cut[-1] == len(data) and all(c == len(data) or data[c] & 0xC0 != 0x80 for c in cut)
 
 
+@pytest.mark.parametrize(("least", "most", "share"), [(2, 4, 0.98), (3, 7, 0.99)])
+def test_repeated_passages_of_short_words(spark, least, most, share):
+    """Each two documents share 51 words between words of their own; the last ones share nothing."""
+    r = random.Random(least)
+
+    def words(n):
+        return ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(least, most))) for _ in range(n)]
+
+    texts = []
+    for _ in range(200):
+        passage = words(51)
+        texts += [" ".join(words(r.randint(0, 80)) + passage + words(r.randint(0, 80))) for _ in range(2)]
+    pairs = len(texts)
+    texts += [" ".join(words(150)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = substrings.repeated_passages(df).collect()
+    assert len({row["doc_id"] for row in rows}) >= share * pairs
+    assert all(row["doc_id"] < pairs and row["first_id"] // 2 == row["doc_id"] // 2 for row in rows)
+    # What is reported stands in the other document as it is.
+    assert all(texts[row["doc_id"]][row["start"] : row["end"]] in texts[row["doc_id"] ^ 1] for row in rows)
+
+
 def test_repeated_passages(spark):
     shared, other = prose(50, 60), prose(51, 60)
     rows = [(1, prose(1, 30) + " " + shared + " " + prose(2, 30)), (2, prose(3, 90)), (3, prose(4, 20) + " " + shared)]
