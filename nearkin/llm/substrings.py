@@ -130,7 +130,8 @@ def repeated_passages(
         F.min("first").alias("first")
     )
     hits = hits.withColumn("removed", F.col("first") < F.col("id"))
-    passages = _runs(hits, ["id"], "passage")
+    # Read twice below; written once, the join and its exchanges are not done again.
+    passages = materialize(_runs(hits, ["id"], "passage"), "passages")
     bounds = passages.groupBy("id", "passage").agg(F.min("start").alias("a"), F.max("end").alias("b"))
     long = bounds.filter((_points("b") - _points("a") >= min_chars) | (_words("b") - _words("a") >= min_words)).select("id", "passage")
     parts = _runs(passages.join(long, ["id", "passage"]), ["id", "passage", "removed"], "part")
