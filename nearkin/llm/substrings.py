@@ -34,7 +34,7 @@ MIN_CHARS, MIN_WORDS = 150, 24
 # A place in a text is one number: the code points before it, and in the low bits the words that start before it.
 WORD_BITS = 32
 
-SPACES = np.frombuffer(b"\t\n\v\f\r ", np.uint8)
+IS_SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 GEAR = (lambda r: np.array([r.getrandbits(32) for _ in range(256)], np.uint32))(random.Random(11))
 
 
@@ -78,7 +78,7 @@ def units(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(edges) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[edges]
-    spaces = np.isin(data, SPACES)
+    spaces = IS_SPACE[data]
     words = np.concatenate([[0], np.cumsum(~spaces & np.concatenate([[True], spaces[:-1]]))])[edges]
     points = points << WORD_BITS | words
     digests = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(edges, edges[2:])]
