@@ -29,8 +29,9 @@ from nearkin.session import materialize
 
 BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
-MANTISSA = 26
 REST = 64 - BUCKET_BITS
+# Six bits hold the leading zeros of a bucket's hash; a register is 16 bits.
+MANTISSA = 10
 # Chance that a pair right at the threshold shares no band.
 MISS = 1e-4
 # Documents and shingles of a block.
@@ -48,7 +49,7 @@ def bit_length(values: np.ndarray) -> np.ndarray:
 def registers(hashes: np.ndarray) -> np.ndarray:
     """HyperMinHash registers of sorted distinct hashes; 0 stands for an empty bucket."""
     if not len(hashes):
-        return np.zeros(REGISTERS, np.uint32)
+        return np.zeros(REGISTERS, np.uint16)
     starts = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(REST)
     first = np.searchsorted(hashes, starts)
     there = first < np.append(first[1:], len(hashes))
@@ -56,7 +57,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     zeros = REST - bit_length(low)
     after = (low << (zeros + 1).astype(np.uint64)) & np.uint64((1 << REST) - 1)
     value = ((zeros + 1).astype(np.uint64) << np.uint64(MANTISSA)) | (after >> np.uint64(REST - MANTISSA))
-    return np.where(there, value, 0).astype(np.uint32)
+    return np.where(there, value, 0).astype(np.uint16)
 
 
 def band_rows(threshold: float) -> int:
@@ -158,11 +159,13 @@ def links(df: DataFrame, reps: DataFrame, id_col: str, text: str, percent: int,
     pivots = pivots.filter("n > 1").select("key", F.col("pivot.digest").alias("pivot"))
     members = materialize(entries.join(pivots, "key").select("pivot", "digest", "n_shingles").distinct(), "members")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES)).cast("int")
-    groups = (
+    # A table of its own, so that Spark broadcasts it by its true size or splits the members of a large group.
+    groups = materialize(
         members.groupBy("pivot")
         .agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
         .filter("n > 1")
-        .select("pivot", blocks.alias("blocks"))
+        .select("pivot", blocks.alias("blocks")),
+        "groups",
     )
     placed = members.join(groups, "pivot").select(
         "pivot", "digest", "blocks", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block")
