@@ -9,26 +9,34 @@ from nearkin.functions import text as T
 from nearkin.session import materialize
 
 
+# Counters of a group; far more than its lines per text divided by the share, so that few rare lines pass by chance.
+COUNTERS = 1 << 16
+
+
 def boilerplate_lines(
-    df: DataFrame, text: str, group: str, min_share: float, min_docs: int = 2
+    df: DataFrame, text: str, group: str, min_share: float, min_docs: int = 2, counters: int = COUNTERS
 ) -> DataFrame:
     """``(group, lines)``: lines that stand in at least ``min_share`` of the texts of a group.
 
+    Lines are first counted by a hash, in ``counters`` numbers a group: no line is more frequent than its counter, so only
+    lines of counters that reach the share are counted themselves, and the many lines of one text are never shuffled.
     Counts are combined before the shuffle, so neither a large group nor a common line lands in one
     task. A list holds at most (mean lines per text) / ``min_share`` lines.
     """
     lines = df.select(
         group, F.explode(F.array_distinct(F.split(text, "\n"))).alias("line")
     ).filter(F.trim("line") != "")
-    per_line = lines.groupBy(group, "line").agg(F.count("*").alias("n"))
-    totals = df.groupBy(group).agg(F.count("*").alias("texts"))
-    return (
-        per_line.filter(F.col("n") >= min_docs)
-        .join(totals, group)
-        .filter(F.col("n") >= F.col("texts") * min_share)
-        .groupBy(group)
-        .agg(F.collect_list("line").alias("lines"))
-    )
+    lines = lines.withColumn("_counter", F.pmod(F.xxhash64("line"), F.lit(counters)))
+    totals = materialize(df.groupBy(group).agg(F.count("*").alias("texts")), "texts")
+    often = (F.col("n") >= min_docs) & (F.col("n") >= F.col("texts") * min_share)
+
+    def reached(counts: DataFrame) -> DataFrame:
+        return counts.join(totals, group).filter(often)
+
+    likely = reached(lines.groupBy(group, "_counter").agg(F.count("*").alias("n"))).select(group, "_counter")
+    lines = lines.join(materialize(likely, "likely"), [group, "_counter"], "left_semi")
+    per_line = reached(lines.groupBy(group, "line").agg(F.count("*").alias("n")))
+    return per_line.groupBy(group).agg(F.collect_list("line").alias("lines"))
 
 
 def drop_boilerplate(

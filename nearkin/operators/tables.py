@@ -17,6 +17,40 @@ CAST_CANDIDATES = {
     "timestamp_ntz": r"^\s*\d{4}-\d{1,2}-\d{1,2}",
 }
 
+# The types declared for a ticket table. Nested fields are kept as the text they came in.
+TICKET_SCHEMA = {
+    "__typename": "string",
+    "id": "string",
+    "createdAt": "string",
+    "updatedAt": "string",
+    "url": "string",
+    "repository": "string",
+    "body": "string",
+    "bodyHTML": "string",
+    "bodyText": "string",
+    "bodyUrl": "string",
+    "lastEditedAt": "string",
+    "publishedAt": "string",
+    "resourcePath": "string",
+    "state": "string",
+    "title": "string",
+    "titleHTML": "string",
+    "authorAssociation": "string",
+    "databaseId": "bigint",
+    "closed": "boolean",
+    "closedAt": "string",
+    "isPinned": "boolean",
+    "locked": "boolean",
+    "number": "bigint",
+    "author": "string",
+    "assignees": "string",
+    "participants": "string",
+    "reactions": "string",
+    "labels": "string",
+    "comments": "string",
+    "owner": "string",
+}
+
 
 def concat_rows(dfs: Sequence[DataFrame]) -> DataFrame:
     """Bag union by column name; a column missing on one side is null there."""
@@ -73,6 +107,40 @@ def infer_and_cast(df: DataFrame, schema: dict[str, str] | None = None) -> DataF
     return cast_columns(df, schema if schema is not None else infer_types(df))
 
 
+def _outcomes(df: DataFrame, schema: dict[str, str]) -> list[Column]:
+    """Per column that is there, the value that its type refuses, or null."""
+    return [
+        F.when(F.col(c).try_cast(t).isNull() & F.col(c).isNotNull(), F.struct(
+            F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(c).cast("string").alias("value")
+        ))
+        for c, t in schema.items()
+        if c in df.columns
+    ]
+
+
+def cast_rejects(df: DataFrame, schema: dict[str, str], keep: Sequence[str]) -> DataFrame:
+    """``(keep…, column, type, value)``: a row for each value that ``cast_columns`` turns into null.
+
+    ``keep`` names the columns that tell the rows apart; they come out as they are in ``df``, so none may be called
+    ``column``, ``type`` or ``value``. One pass over the columns of the schema; no shuffle. Columns that ``df`` lacks are
+    left out, as in ``conform``.
+    """
+    if clash := {"column", "type", "value"} & set(keep):
+        raise ValueError(f"columns of these names can't be kept: {sorted(clash)}")
+    outcomes = _outcomes(df, schema)
+    if not outcomes:
+        outcomes = [F.lit(None).cast("struct<column string, type string, value string>")]
+    bad = F.filter(F.array(*outcomes), lambda x: x.isNotNull())
+    return df.select(*keep, F.inline(bad))
+
+
+def conform(df: DataFrame, schema: dict[str, str] = TICKET_SCHEMA) -> DataFrame:
+    """Exactly the columns of ``schema``, in its order and types; a missing one is null, others are dropped."""
+    return df.select(
+        *[(F.col(c).try_cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in schema.items()]
+    )
+
+
 def drop_cols(df: DataFrame, *columns: str) -> DataFrame:
     return df.drop(*columns)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from nearkin.functions import text as T
 from nearkin.functions.wordlists import ENGLISH_STOP_WORDS, LEMMA_RULES, POS_ENDINGS
+from nearkin.operators.tables import TICKET_SCHEMA
 from nearkin.plans.queries import MIN_SHARE, N_BEST, NEAR
 
 
@@ -219,6 +220,16 @@ PARTIES = """SELECT c_custkey AS key, c_name AS name, c_nationkey AS nationkey,
     UNION ALL SELECT s_suppkey, s_name, s_nationkey, s_acctbal, NULL FROM supplier"""
 PREDICTED = f"{ranked()} SELECT query_id, rank, doc_id, score, source, lang FROM best JOIN documents USING (doc_id)"
 
+TICKETS = """WITH tickets AS (SELECT o_orderkey::VARCHAR AS id, 'order-' || o_custkey AS title, o_custkey::VARCHAR AS "databaseId",
+      CASE WHEN o_orderkey % 7 = 0 THEN '#' || o_orderkey ELSE o_orderkey::VARCHAR END AS number,
+      CASE o_orderstatus WHEN 'P' THEN 'partly' WHEN 'F' THEN 'true' ELSE 'false' END AS closed
+    FROM orders)"""
+PRESENT = {
+    "id": "id", "title": "title", "databaseId": '"databaseId"::BIGINT', "number": "TRY_CAST(number AS BIGINT)",
+    "closed": "CASE closed WHEN 'true' THEN true WHEN 'false' THEN false END",
+}
+TICKET_COLUMNS = ", ".join(f'{PRESENT.get(c, "NULL")}::{t.replace("string", "varchar")} AS "{c}"' for c, t in TICKET_SCHEMA.items())
+
 ORACLE: dict[str, str] = {
     # Sources and sinks
     "scan_dir": PARTIES,
@@ -238,6 +249,10 @@ ORACLE: dict[str, str] = {
     "corpus_labels": f"{ISSUES} SELECT body AS corpus, url, title FROM issues",
     "query_eq": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW'",
     "infer_and_cast": "SELECT * REPLACE (l_linenumber::BIGINT AS l_linenumber) FROM lineitem",
+    "conform": f"{TICKETS} SELECT {TICKET_COLUMNS} FROM tickets",
+    "cast_rejects": f"""{TICKETS}
+      SELECT id, 'number' AS "column", 'bigint' AS "type", number AS "value" FROM tickets WHERE number LIKE '#%'
+      UNION ALL SELECT id, 'closed', 'boolean', closed FROM tickets WHERE closed NOT IN ('true', 'false')""",
     "drop_cols": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer",
     "label_first": "SELECT p_retailprice, p_partkey, p_name, p_brand, p_type, p_size FROM part",
     "title_body": f"{ISSUES} SELECT doc_id, title || chr(10) || chr(10) || body AS title_body FROM issues",
@@ -374,4 +389,7 @@ ORACLE: dict[str, str] = {
     "feedback_counts": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS votes,
         round(sum(value), 2) AS total
       FROM events GROUP BY ALL""",
+    "feedback_late": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS votes,
+        round(sum(value), 2) AS total
+      FROM events GROUP BY ALL""",
 }

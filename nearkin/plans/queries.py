@@ -233,6 +233,31 @@ def infer_and_cast(spark, sf):
     return tables.infer_and_cast(text)
 
 
+def tickets(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a ticket table of texts, whose numbers and flags don't all fit their types."""
+    orders = table(spark, sf, "orders")
+    return orders.select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.concat_ws("-", F.lit("order"), "o_custkey").alias("title"),
+        F.col("o_custkey").cast("string").alias("databaseId"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("#"), "o_orderkey")).otherwise(F.col("o_orderkey").cast("string")).alias("number"),
+        F.when(F.col("o_orderstatus") == "P", "partly").otherwise(F.when(F.col("o_orderstatus") == "F", "true").otherwise("false")).alias("closed"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+
+
+@query
+def conform(spark, sf):
+    """The declared ticket columns, all thirty."""
+    return tables.conform(tickets(spark, sf))
+
+
+@query
+def cast_rejects(spark, sf):
+    """Each value of the ticket table that its declared type refuses, with its row."""
+    return tables.cast_rejects(tickets(spark, sf), tables.TICKET_SCHEMA, ["id"])
+
+
 @query
 def drop_cols(spark, sf):
     return tables.drop_cols(table(spark, sf, "customer"), "c_name", "c_mktsegment")
@@ -687,3 +712,17 @@ def feedback_counts(spark, sf):
     return found.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "votes", F.round("total", 2).alias("total")
     )
+
+
+@query
+def feedback_late(spark, sf):
+    """Votes by day from a stream of several batches, late ones counted apart and added again."""
+    events = table(spark, sf, "events")
+    parts = scratch_path(spark, "events")
+    events.repartition(4, "event_type", "ts").write.parquet(parts)
+    stream = serving.stream_files(spark, parts, events.schema, maxFilesPerTrigger=1)
+    out = scratch_path(spark, "votes")
+    serving.count_votes(stream, "ts", "event_type", F.col("value"), out, scratch_path(spark, "checkpoint")).awaitTermination()
+    return serving.votes(spark, out, "event_type").select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "votes", F.round("total", 2).alias("total")
+    )

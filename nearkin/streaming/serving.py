@@ -281,3 +281,59 @@ def latest_updates(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     values = [c for c in updates.columns if c not in (*keys, RUN, BATCH)]
     last = updates.groupBy(*keys, RUN).agg(F.max_by(F.struct(*values), BATCH).alias("_row"))
     return last.groupBy(*keys).agg(*(F.sum(f"_row.{c}").alias(c) for c in values))
+
+
+WINDOW = ["window_start", "window_end"]
+
+
+def count_votes(
+    events: DataFrame,
+    ts: str,
+    key: str,
+    value: Column,
+    out: str,
+    checkpoint: str,
+    window: str = "1 day",
+    late: str = "1 hour",
+    add: bool = False,
+    trigger: dict = AVAILABLE_NOW,
+) -> StreamingQuery:
+    """Count votes per window and key, those of closed windows apart instead of dropping them.
+
+    A window is closed once it ends ``late`` or more before the greatest time of the batches before. Each batch writes what it
+    adds, so no state is held and a retried batch replaces what it wrote: ``out`` gets the tables ``votes``, with the column
+    ``late``, and ``marks``, the greatest time of each batch. Rows without a time are left out. A query with a new checkpoint would count its
+    input again, so it ends in an error where ``out`` holds another query's votes, unless ``add`` says that it brings new ones.
+    """
+    seconds = F.expr(f"INTERVAL {late}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run_id = _run_id(spark, checkpoint)
+        marks = _stored(spark, f"{out}/marks", StructType().add("last", "timestamp"))
+        if not add and not marks.filter(F.col(RUN) != run_id).isEmpty():
+            raise ValueError(f"{out} holds the votes of another query")
+        before = marks.filter((F.col(RUN) == run_id) & (F.col(BATCH) < batch_id))
+        closed = before.agg((F.max("last") - seconds).alias("closed")).first()["closed"]
+        rows = batch.select(F.col(ts).cast("timestamp").alias("_ts"), key, value.alias("_value"))
+        counts = (
+            rows.groupBy(F.window("_ts", window), key)
+            .agg(F.count("*").alias("votes"), F.sum("_value").alias("total"), F.max("_ts").alias("last"))
+            .withColumn("late", F.lit(False) if closed is None else F.col("window.end") <= F.lit(closed))
+            .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), key, "late", "votes", "total", "last")
+        )
+        _write_batch(counts, f"{out}/votes", run_id, batch_id)
+        mine = spark.read.schema(counts.schema).parquet(f"{out}/votes/{RUN}={run_id}/{BATCH}={batch_id}")
+        # The mark comes last: a batch that has one is whole.
+        _write_batch(mine.agg(F.max("last").alias("last")).coalesce(1), f"{out}/marks", run_id, batch_id)
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def votes(spark: SparkSession, out: str, key: str, late: bool | None = None) -> DataFrame:
+    """``(window_start, window_end, key, votes, total)`` of the votes in time, of the late ones, or with None of both."""
+    parts = spark.read.option("basePath", f"{out}/votes").parquet(f"{out}/votes")
+    whole = spark.read.option("basePath", f"{out}/marks").parquet(f"{out}/marks").select(RUN, BATCH)
+    parts = parts.join(whole, [RUN, BATCH], "left_semi")
+    parts = parts if late is None else parts.filter(F.col("late") == late)
+    return parts.groupBy(*WINDOW, key).agg(F.sum("votes").alias("votes"), F.sum("total").alias("total"))

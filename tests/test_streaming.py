@@ -1,5 +1,7 @@
 import random
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from nearkin import fit
@@ -125,3 +127,36 @@ def test_vocab_from_changes_equals_full_rerun(spark, tmp_path):
             assert sorted(map(tuple, serving.refresh_vocab(spark, cat).collect())) == full()
     assert merges == [False, True] * 3
     assert len(serving.snapshots.current(spark, f"{cat}/freq_merged")["folders"]) == 1
+
+
+def test_late_votes_are_counted_apart(spark, tmp_path):
+    schema, out = "ts timestamp, vote string, v double", str(tmp_path / "out")
+    batches = [
+        [("2024-01-03 12:00:00", "up", 1.0), ("2024-01-01 09:00:00", "up", 2.0)],
+        [("2024-01-01 10:00:00", "up", 4.0), ("2024-01-03 08:00:00", "down", 8.0), (None, "up", 16.0)],
+        [("2024-01-02 23:30:00", "down", 32.0), ("2024-01-03 00:10:00", "up", 64.0)],
+    ]
+
+    def run(checkpoint, **options):
+        stream = serving.stream_files(spark, str(tmp_path / "in"), schema)
+        serving.count_votes(stream, "ts", "vote", F.col("v"), out, str(tmp_path / checkpoint), **options).awaitTermination()
+
+    def found(late):
+        rows = serving.votes(spark, out, "vote", late).collect()
+        return {(str(r["window_start"])[:10], r["vote"]): (r["votes"], r["total"]) for r in rows}
+
+    for rows in batches:
+        df = spark.createDataFrame([(r[0], *r[1:]) for r in rows], "t string, vote string, v double")
+        df.select(F.col("t").cast("timestamp").alias("ts"), "vote", "v").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run("cp")
+    run("cp")
+    assert found(True) == {("2024-01-01", "up"): (1, 4.0), ("2024-01-02", "down"): (1, 32.0)}
+    assert found(False) == {("2024-01-03", "up"): (2, 65.0), ("2024-01-01", "up"): (1, 2.0), ("2024-01-03", "down"): (1, 8.0)}
+    twin = serving.feedback_counts(spark.read.schema(schema).parquet(str(tmp_path / "in")), "ts", "vote", F.col("v")).collect()
+    assert found(None) == {(str(r["window_start"])[:10], r["vote"]): (r["votes"], r["total"]) for r in twin}
+    before = found(None)
+    with pytest.raises(StreamingQueryException):
+        run("other")
+    assert found(None) == before
+    run("third", add=True)
+    assert found(None) == {k: (2 * n, 2 * t) for k, (n, t) in before.items()}

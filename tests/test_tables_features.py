@@ -84,6 +84,26 @@ def test_infer_and_cast(spark):
     assert [r["e"] for r in bad] == [None, 1]
 
 
+def test_rejects_and_declared_schema(spark):
+    df = spark.createDataFrame(
+        [(1, "7", "x", "true"), (2, "n/a", None, "maybe"), (3, None, "y", "false"), (2, "n/a", None, "maybe"), (None, "", "z", "")],
+        "row bigint, number string, title string, closed string",
+    )
+    bad = tables.cast_rejects(df, tables.TICKET_SCHEMA, ["row"])
+    twice = [(2, "number", "bigint", "n/a"), (2, "closed", "boolean", "maybe")] * 2
+    rest = [(None, "number", "bigint", ""), (None, "closed", "boolean", "")]
+    assert sorted(map(str, map(tuple, bad.collect()))) == sorted(map(str, twice + rest))
+    out = tables.conform(df)
+    assert out.columns == list(tables.TICKET_SCHEMA) and len(out.columns) == 30
+    assert dict(out.dtypes) == tables.TICKET_SCHEMA
+    nulls = sum((r["number"] is None) + (r["closed"] is None) for r in out.collect())
+    assert nulls == bad.count() + df.filter("number IS NULL").count()
+    assert tables.cast_rejects(df, {"absent": "bigint"}, ["row"]).count() == 0
+    assert tables.cast_rejects(df.limit(0), tables.TICKET_SCHEMA, ["row"]).count() == 0
+    with pytest.raises(ValueError):
+        tables.cast_rejects(df.withColumn("value", F.lit(1)), tables.TICKET_SCHEMA, ["value"])
+
+
 def test_unions(spark):
     a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(1,), (1,)], "x int")
     assert tables.concat_rows([a, b]).count() == 3

@@ -1,4 +1,6 @@
+import random
 import time
+from collections import Counter
 
 from pyspark.ml.feature import StopWordsRemover, Tokenizer
 from pyspark.sql import functions as F
@@ -68,6 +70,20 @@ def test_boilerplate_by_group(spark):
     assert out[0] == "\nline 0" and out[9] == "Thanks!\nx"
 
 
+def test_boilerplate_counters_change_nothing(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice(["g", "h", None]), "\n".join(r.choices("abcdefgh", weights=range(1, 9), k=4) + [f"own {i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, g string, t string")
+    expected = {}
+    for group in ("g", "h"):
+        texts = [set(t.split("\n")) for _, g, t in rows if g == group]
+        counts = Counter(line for t in texts for line in t)
+        expected[group] = {line for line, n in counts.items() if n >= max(2, 0.3 * len(texts))}
+    for counters in (1, 3, cleaning.COUNTERS):
+        found = cleaning.boilerplate_lines(df, "t", "g", 0.3, counters=counters).collect()
+        assert {row["g"]: set(row["lines"]) for row in found} == expected
+
+
 def test_concat_comments_spans_chunks(spark):
     rows = [(1, i, f"c{i}") for i in range(700)] + [(2, 0, "only")]
     df = spark.createDataFrame(rows, "id int, turn int, text string").repartition(4)
