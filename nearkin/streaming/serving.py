@@ -26,6 +26,12 @@ def stream_files(
     return spark.readStream.schema(schema).options(**options).format(fmt).load(path)
 
 
+def stream_table(spark: SparkSession, folder: str, name: str, schema: StructType | str, **options) -> DataFrame:
+    """A stream of the Parquet table ``name.parquet`` in a folder, which may be one file or a folder of files."""
+    # A pattern: Spark takes a path without one for a folder. A file name filter finds no files within a folder of that name.
+    return stream_files(spark, f"{folder.rstrip('/')}/{{{name}.parquet}}", schema, **options)
+
+
 def parse_requests(df: DataFrame, body: str = "body", field: str = "data") -> DataFrame:
     """Add ``text``, the named field of a JSON body, and ``ok``. A malformed body gives null and not ok."""
     # from_json yields a struct of nulls for malformed input in its default mode.

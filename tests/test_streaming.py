@@ -27,6 +27,21 @@ def test_stream_score_equals_batch(spark, tmp_path):
     assert sorted(got) == sorted(model.predict(requests).collect())
 
 
+@pytest.mark.parametrize("files", [0, 3])
+def test_streamed_table_is_a_file_or_a_folder(spark, tmp_path, files):
+    docs = spark.createDataFrame([(i, f"fish number{i}") for i in range(9)], "doc_id bigint, text string")
+    docs.repartition(files or 1).write.parquet(str(tmp_path / "written"))
+    if files:
+        (tmp_path / "written").rename(tmp_path / "documents.parquet")
+    else:
+        next((tmp_path / "written").glob("part-*")).rename(tmp_path / "documents.parquet")
+    docs.write.parquet(str(tmp_path / "other.parquet"))
+    stream = serving.stream_table(spark, str(tmp_path), "documents", docs.schema)
+    serving.catalog_append(stream, str(tmp_path / "cat"), str(tmp_path / "cp")).awaitTermination()
+    freq = {r["term"]: r["df"] for r in serving.refresh_vocab(spark, str(tmp_path / "cat")).collect()}
+    assert freq["fish"] == 9 and freq["number3"] == 1 and len(freq) == 10
+
+
 def test_catalog_append_over_batches(spark, tmp_path):
     first = spark.createDataFrame([(1, "red fish"), (1, "red fish"), (2, "blue")], "doc_id bigint, text string")
     later = spark.createDataFrame([(2, "changed"), (3, "red tree")], "doc_id bigint, text string")
