@@ -19,6 +19,8 @@ from nearkin.session import materialize
 Tokenizer = Callable[[Column], Column]
 TOKENIZERS = {"none": T.tokens_word, "default": T.tokens_punct, "custom": T.tokens_alpha}
 MIN_TERM = 3
+# Bytes of text whose tokens a task counts. Left to the size of the compressed exchange, a task would take several times as much.
+TEXT_BYTES_PER_TASK = 16 * 1024 * 1024
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -33,17 +35,25 @@ def check_mode(mode: str) -> str:
     return mode
 
 
-def token_rows(docs: DataFrame, text: str, tokenizer: Tokenizer, id_col: str = "doc_id") -> DataFrame:
+def token_rows(docs: DataFrame, text: str, tokenizer: Tokenizer, id_col: str = "doc_id", small: bool = False) -> DataFrame:
     """``(id, token)``, one row per occurrence, partitioned by id.
 
     The exchange of the raw texts is the only one they go through: counts, document frequencies and norms all
-    start from it, and Spark reuses it within a plan.
+    start from it, and Spark reuses it within a plan. Its partitions follow from the bytes of the texts, which are summed up
+    where they lie, so a task's memory doesn't grow with the corpus; texts that are ``small`` aren't measured.
     """
-    return (
-        docs.select(id_col, text)
-        .repartition(id_col)
-        .select(id_col, F.explode(tokenizer(F.col(text))).alias("token"))
-    )
+    frame = docs.select(id_col, text)
+    parts = 1 if small else text_parts(frame, text)
+    frame = frame.repartition(parts, id_col) if parts > 1 else frame.repartition(id_col)
+    return frame.select(id_col, F.explode(tokenizer(F.col(text))).alias("token"))
+
+
+def text_parts(docs: DataFrame, text: str) -> int:
+    """Partitions for texts of this size: 1 where one task does, else one per core at least."""
+    if docs.isStreaming:
+        return 1
+    parts = -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // TEXT_BYTES_PER_TASK)
+    return max(parts, docs.sparkSession.sparkContext.defaultParallelism) if parts > 1 else 1
 
 
 def guess_pos(token: Column) -> Column:
@@ -155,6 +165,12 @@ def term_map(
     )
 
 
+def token_counts(docs: DataFrame, text: str, tokenizer: Tokenizer, id_col: str = "doc_id", small: bool = False) -> DataFrame:
+    """``(id, token, n)``, written: the occurrences of each token of a text."""
+    rows = token_rows(docs, text, tokenizer, id_col, small)
+    return materialize(rows.groupBy(id_col, "token").agg(F.count("*").alias("n")), "tokens")
+
+
 def analyze(
     docs: DataFrame,
     text: str = "text",
@@ -166,6 +182,7 @@ def analyze(
     tokenizer: Tokenizer | None = None,
     small: bool = False,
     buckets: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Raw term counts ``(id, term, tf)`` of each text.
 
@@ -173,15 +190,16 @@ def analyze(
     counts and the term of each token to scratch tables, unless ``small`` says the texts passed ``is_small``: the
     counts are read more than once, and a join of two tables lets Spark split a token most texts contain. Of small texts
     only the counts are written, and the lexicon, stored in ``buckets`` folders or not, is narrowed to their words first.
-    ``tokenizer``, a function from a string column to an array column, replaces the mode's own.
+    ``tokenizer``, a function from a string column to an array column, replaces the mode's own. Modes with lemmas don't
+    read the texts if their ``token_counts``, a table, are given as ``counts``.
     """
     mode = check_mode(mode)
-    rows = token_rows(docs, text, tokenizer or TOKENIZERS[mode], id_col)
     if mode == "none":
+        rows = token_rows(docs, text, tokenizer or TOKENIZERS[mode], id_col, small)
         kept = rows.withColumnRenamed("token", "term").filter(~F.col("term").isin(list(stop_words)))
         return kept.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    counts = rows.groupBy(id_col, "token").agg(F.count("*").alias("n"))
-    counts = materialize(counts, "tokens")
+    if counts is None:
+        counts = token_counts(docs, text, tokenizer or TOKENIZERS[mode], id_col, small)
     if lexicon is None:
         lexicon = lexicon_from(counts)
     elif small:

@@ -263,13 +263,14 @@ def fit(
         check_keys(docs, id_col)
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(corpus).alias("text"))
     label_table = docs.select(F.col(id_col).alias("doc_id"), *labels)
+    found = None
     if mode != "none" and lexicon is None:
-        lexicon = materialize(
-            tokens.lexicon_from(tokens.token_rows(frame, "text", tokens.TOKENIZERS[mode])), "lexicon"
-        )
+        # The texts are cut into tokens once, for the lexicon and for the counts.
+        found = tokens.token_counts(frame, "text", tokens.TOKENIZERS[mode])
+        lexicon = materialize(tokens.lexicon_from(found), "lexicon")
     elif lexicon is not None:
         lexicon = materialize(lexicon.groupBy("token").agg(F.min("pos").alias("pos")), "lexicon")
-    counts = tokens.analyze(frame, mode=mode, lexicon=lexicon, stop_words=stop_words, exceptions=exceptions)
+    counts = tokens.analyze(frame, mode=mode, lexicon=lexicon, stop_words=stop_words, exceptions=exceptions, counts=found)
     counts = materialize(counts, "counts")
     vocab = materialize(weights.idf(weights.doc_freq(counts), weights.corpus_size(frame)), "vocab")
     return SimilarityModel(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearkin import fit
-from nearkin.operators import flow, search, weights
+from nearkin.operators import flow, search, tokens, weights
 from nearkin.plans.model import load_model
 from nearkin.session import materialize
 
@@ -238,3 +238,14 @@ def test_failed_save_leaves_the_model(spark, tmp_path):
     assert new.save(path, mode="overwrite").vocab.count() == 4
     # A reader of the version before still has all its tables.
     assert old.vocab.count() == 3 and old.predict("alpha").count() == 1
+
+
+def test_fit_cuts_texts_into_tokens_once(spark, monkeypatch):
+    seen = []
+    real = tokens.token_rows
+    monkeypatch.setattr(tokens, "token_rows", lambda *a, **b: seen.append(1) or real(*a, **b))
+    docs = spark.createDataFrame([(1, "red fishes walk"), (2, "blue fish"), (3, None)], "id bigint, t string")
+    model = fit(docs, "t", ["t"], "id", mode="default")
+    assert len(seen) == 1
+    assert {r["term"]: r["df"] for r in model.vocab.collect()} == {"red": 1, "fish": 2, "walk": 1, "blue": 1}
+    assert {r["token"] for r in model.lexicon.collect()} == {"red", "fishes", "walk", "blue", "fish"}

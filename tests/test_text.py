@@ -159,3 +159,15 @@ def test_hosts_and_chains(spark):
     got = [r[0] for r in df.select(T.strip_urls(F.col("t"))).collect()]
     assert got == ["go to  now", "...", "v1.2.3-rc/4 isn't a-b--c", "x site . end", "a.b.c"]
     assert df.select(T.tokens_punct(F.col("t"))).collect()[2][0] == ["v1.2.3-rc/4", "is", "n't", "a-b", "c"]
+
+
+def test_tasks_of_long_texts_are_bounded(spark, monkeypatch):
+    """A task counts the tokens of a bounded amount of text, however well the exchange is compressed."""
+    docs = spark.createDataFrame([(i, "same words again and again " * 400) for i in range(200)], "doc_id bigint, text string")
+    monkeypatch.setattr(tokens, "TEXT_BYTES_PER_TASK", 100_000)
+    assert tokens.text_parts(docs, "text") == 22
+    rows = tokens.token_rows(docs, "text", T.tokens_word)
+    per_task = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("doc_id").alias("n")).collect()
+    assert max(r["n"] for r in per_task) < 40
+    assert {r["tf"] for r in tokens.analyze(docs).collect()} == {400}
+    assert tokens.text_parts(docs.limit(5), "text") == 1 and tokens.text_parts(docs.limit(0), "text") == 1
