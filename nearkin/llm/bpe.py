@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from nearkin.llm.words import held_by_worker, map_batches
 
 # Remembered pieces of a worker in each of two generations, and token pairs; when full, pairs are built anew.
-MAX_PIECES = 150_000
-MAX_PAIRS = 300_000
+MAX_PIECES = 50_000
+MAX_PAIRS = 100_000
 # The rank file travels to every task.
 MAX_RANK_BYTES = 64 * 1024 * 1024
 # Texts whose characters are ASCII or these letters are split by a pattern that names them instead of classes.

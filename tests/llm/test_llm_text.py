@@ -4,12 +4,13 @@ import base64
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from nearkin.llm import bpe, licences, secrets, substrings, toxicity
+from nearkin.llm import bpe, licences, secrets, substrings, toxicity, words
 from nearkin.llm.words import plain_words, space_words
 
 SYLLABLES = "ta re mo li su an ek dor vi pla gno zet".split()
@@ -284,3 +285,21 @@ def test_candidates_lose_nothing():
     assert cut(f"x_{key[:12]}/{key[12:]}/{other}")[0:1] and f"{key[:12]}/{key[12:]}/{other}" in cut(f"x_{key[:12]}/{key[12:]}/{other}")
     assert cut("0123456789abcdef" * 2) == [] and cut(f"{key}") == [key] and cut("=" * 30) == []
     assert set(cut(f"{key}Z0123456789abcdefZ{other}")) == {f"{key}Z", f"Z{other}", f"{key}Z0123456789abcdefZ{other}"}
+
+
+def test_workers_get_small_batches(spark):
+    """An Arrow batch holds a bounded number of rows, though the session allows more; a lower bound stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(2500, numPartitions=1)
+    try:
+        for bound, expect in (("10000", [1000, 1000, 500]), ("0", [1000, 1000, 500]), ("900", [900, 900, 700])):
+            spark.conf.set(name, bound)
+
+            def sizes(batch):
+                return pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+            got = words.map_batches(docs, sizes, "n long", rows=10**9)
+            assert [r["n"] for r in got.collect()] == expect
+    finally:
+        spark.conf.set(name, before)
