@@ -2,8 +2,8 @@
 
 A text is split by the tokenizer's pattern. Within a piece, bytes are mapped to Latin-1 characters; the trie of
 an Aho-Corasick automaton gives the longest token at a place, and the encoder walks from left to right with the longest.
-A token may follow another only if the merges keep the two apart; this is settled once per pair and remembered. Where
-they don't, a shorter token is taken, and where none is left the walk steps back. A place it left is never tried again
+A token may follow another only if the merges keep the two apart. Where they don't, a shorter token is taken, which is settled
+once per pair and remembered; where none is left the walk steps back. A place it left is never tried again
 and tokens are of bounded length, so the work is linear in the piece.
 The result is that of the merges in rank order.
 
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 
 from nearkin.llm.words import held_by_worker, map_batches
 
-# Remembered pieces of a worker in each of two generations, and token pairs; when full, pairs are built anew.
-MAX_PIECES = 50_000
-MAX_PAIRS = 100_000
+# Remembered pieces of a worker in each of two generations, and pairs of neighbours; when full, pairs are built anew.
+MAX_PIECES = 100_000
+MAX_PAIRS = 300_000
 # The rank file travels to every task.
 MAX_RANK_BYTES = 64 * 1024 * 1024
 # Texts whose characters are ASCII or these letters are split by a pattern that names them instead of classes.
@@ -79,8 +79,8 @@ def merge(ranks: dict[bytes, int], piece: bytes, parts: int = 1) -> list[int]:
     return [ranks[part] for part in kept]
 
 
-class Pairs(dict):
-    """Whether the merges leave two neighbouring tokens as they are, by their ranks; each pair is settled once.
+class Pairs:
+    """Whether the merges leave two neighbouring tokens as they are, by their ranks.
 
     The merges that made the two are undone, the latest first. Whenever the ends that then touch merge, and
     rank before the merges that took them away, the merges would have joined them.
@@ -98,12 +98,6 @@ class Pairs(dict):
             self.parts[rank] = (left, right)
         return self.parts[rank]
 
-    def __missing__(self, pair: tuple[int, int]) -> bool:
-        if len(self) >= MAX_PAIRS:
-            self.clear()
-        known = self[pair] = self.settle(*pair)
-        return known
-
     def settle(self, left: int, right: int) -> bool:
         tokens, ranks = self.tokens, self.ranks
         ends, starts = tokens[left], tokens[right]
@@ -123,6 +117,28 @@ class Pairs(dict):
                 return True
 
 
+class Fitting(dict):
+    """After one token, the longest that may follow among a token and its shorter ones, by rank; None where there is none.
+
+    Each is settled once. Without a token before, every one may follow.
+    """
+
+    def __init__(self, encoder: Encoder, left: int | None):
+        super().__init__({None: None})
+        self.encoder, self.left = encoder, left
+
+    def __missing__(self, rank: int) -> int | None:
+        encoder, fit = self.encoder, rank
+        while fit is not None and self.left is not None and not encoder.pairs.settle(self.left, fit):
+            fit = encoder.shorter[fit]
+        if encoder.n_fitting >= MAX_PAIRS:
+            encoder.fitting.clear()
+            encoder.n_fitting = 0
+        self[rank] = fit
+        encoder.n_fitting += 1
+        return fit
+
+
 class Encoder(dict):
     """Ids of pieces by the text of the piece; a missing one is encoded and kept.
 
@@ -133,7 +149,11 @@ class Encoder(dict):
         self.older: dict[str, tuple[int, ...]] = {}
         self.ranks = ranks = parse_ranks(data)
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.pairs = Pairs(ranks, self.tokens)
+        # What may follow each token, by its rank, and the number of entries in all.
+        self.fitting: dict[int | None, Fitting] = {}
+        self.n_fitting = 0
         self.trie = ahocorasick.Automaton()
         # The longest token at the start of each string that begins a token; of a token, the next shorter one.
         self.best: dict[str, int] = {}
@@ -158,43 +178,41 @@ class Encoder(dict):
         self[piece] = ids
         return ids
 
+    def after(self, left: int | None) -> Fitting:
+        if left not in self.fitting:
+            self.fitting[left] = Fitting(self, left)
+        return self.fitting[left]
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         rank = self.ranks.get(piece)
         if rank is not None:
             return (rank,)
-        reach, best, longest, pairs, shorter = self.trie.longest_prefix, self.best, self.longest, self.pairs, self.shorter
+        reach, best, longest, after = self.trie.longest_prefix, self.best, self.longest, self.after
+        shorter, sizes, known = self.shorter, self.sizes, self.fitting.get
         chars, end = piece.decode("latin-1"), len(piece)
         out: list[int] = []
         left_places: set[int] = set()
-        at, last, here = 0, None, chars
+        at, fits = 0, after(None)
         while at < end:
             here = chars[at : at + longest]
-            rank = best.get(here[: reach(here)])
-            while rank is not None and last is not None and not pairs[last, rank]:
-                rank = shorter[rank]
-            if left_places or rank is None:
-                rank, at = self._step_back(out, at, rank, left_places)
+            rank = fits[best.get(here[: reach(here)])]
+            while rank is None or at + sizes[rank] in left_places:
+                if rank is not None:
+                    rank = fits[shorter[rank]]
+                elif not out:
+                    raise ValueError("the ranks don't hold every byte")
+                else:
+                    # No token fits here, so the one before is a shorter one.
+                    left_places.add(at)
+                    gone = out.pop()
+                    at -= sizes[gone]
+                    fits = after(out[-1] if out else None)
+                    rank = fits[shorter[gone]]
             out.append(rank)
-            last = rank
-            at += len(self.tokens[rank])
+            at += sizes[rank]
+            fits = known(rank) or after(rank)
         return tuple(out)
 
-    def _step_back(self, out: list[int], at: int, rank: int | None, left_places: set[int]) -> tuple[int, int]:
-        """The next token to try and its place, once a place had no token that fits."""
-        while True:
-            while rank is not None and (
-                at + len(self.tokens[rank]) in left_places or (out and not self.pairs[out[-1], rank])
-            ):
-                rank = self.shorter[rank]
-            if rank is not None:
-                return rank, at
-            if not out:
-                raise ValueError("the ranks don't hold every byte")
-            left_places.add(at)
-            gone = out.pop()
-            at -= len(self.tokens[gone])
-            rank = self.shorter[gone]
-
 
 def encode(df: DataFrame, data: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Replace the column ``text`` by ``ids array<int>``; other columns stay, but for one that is named ``ids``.

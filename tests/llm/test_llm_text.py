@@ -1,6 +1,7 @@
 """Operators on texts against brute force on small fixtures, with nulls, empty texts, repeats and clashing columns."""
 
 import base64
+import itertools
 import random
 import re
 
@@ -45,6 +46,19 @@ def test_bpe_equals_merges(tokenizer):
         assert [i for piece in split(text) for i in encoder[piece]] == expected.encode_ordinary(text)
 
 
+def test_bpe_remembers_pieces_and_neighbours(tokenizer, monkeypatch):
+    data, _ = tokenizer
+    encoder, calls = bpe.Encoder(data), []
+    walk = encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda piece: calls.append(piece) or walk(piece))
+    pieces = ["".join(p) for p in itertools.islice(itertools.product("aeqxzjkvthnor", repeat=5), 90_000)]
+    first = [encoder[p] for p in pieces]
+    assert len(calls) == 90_000 and [encoder[p] for p in pieces] == first and len(calls) == 90_000
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 100)
+    few = bpe.Encoder(data)
+    assert [few[p] for p in pieces[::40]] == first[::40] and 0 < sum(len(f) - 1 for f in few.fitting.values()) <= 100
+
+
 def test_bpe_columns(spark, tokenizer):
     data, expected = tokenizer
     rows = [(1, "the house", "x"), (1, "the house", "x"), (2, None, None), (3, "", "y"), (None, "é 🎉", "z")]
