@@ -16,6 +16,7 @@ remembered by the worker. Where a vocabulary holds tokens that run on over a spa
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -37,9 +38,9 @@ from nearkin.session import materialize
 B_BITS = 32
 # Chunks part at a space with such signs on both sides; neither tokenizer joins over it.
 APART = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
-EDGED = re.compile("[!-~À-ɏ](?:.*[!-~À-ɏ])?", re.DOTALL).fullmatch
+SIGNS = frozenset(map(chr, [*range(ord("!"), ord("~") + 1), *range(ord("À"), ord("ɏ") + 1)]))
 # Remembered chunks of a worker in each of two generations, and the longest that is.
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 400_000
 MAX_CHUNK_CHARS = 64
 # Both files travel to every task.
 MAX_FILE_BYTES = 64 * 1024 * 1024
@@ -254,7 +255,7 @@ class Aligner:
         found, good = self.align([" ".join(chunks)])
         if not good.all():
             return self.align(chunks)
-        stops = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        stops = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), np.int64, len(chunks)) + 1)
         a_stops, b_stops = (np.searchsorted(ends, stops, "right") for ends in (found.a_ends, found.b_ends))
         return Aligned(found.a, found.a_ends, a_stops, found.b, found.b_ends, b_stops, found.cuts, stops), np.ones(len(chunks), bool)
 
@@ -266,7 +267,7 @@ class Aligner:
         out = {}
         parts: tuple[list[str], list[str]] = [], []
         for chunk in chunks:
-            parts[EDGED(chunk) is None].append(chunk)
+            parts[chunk[:1] not in SIGNS or chunk[-1:] not in SIGNS].append(chunk)
         for part, align in zip(parts, (self.align_chunks, self.align)):
             if not part:
                 continue
@@ -286,15 +287,20 @@ class Aligner:
         """What ``learn`` says of a chunk, for whole texts, with the digest of the written groups; links are distinct."""
         parts = [self.apart(text) if text else [] for text in texts]
         known, older = self.chunks, self.older
-        found = [list(map(known.get, chunks)) for chunks in parts]
-        missing = {c for chunks, had in zip(parts, found) if not all(had) for c, entry in zip(chunks, had) if entry is None}
+        missing = set(chain.from_iterable(parts)).difference(known)
         known.update({c: older[c] for c in missing if c in older})
         if fresh := [c for c in missing if c not in known]:
-            known.update(self.learn(fresh))
+            # Spans are many small tuples that go with the batch; a search for cycles among them finds none.
+            searches = gc.isenabled()
+            gc.disable()
+            try:
+                known.update(self.learn(fresh))
+            finally:
+                if searches:
+                    gc.enable()
         rows = []
-        for chunks, had in zip(parts, found):
-            if not all(had):
-                had = [known[c] for c in chunks]
+        for chunks in parts:
+            had = list(map(known.__getitem__, chunks))
             if not had or not all(had):
                 rows.append((0, 0, 0, 0, "", _EMPTY, _EMPTY))
                 continue

@@ -1,5 +1,6 @@
 """Mixing, spelling variants and token alignment against plain code."""
 
+import gc
 import hashlib
 import random
 import re
@@ -239,6 +240,20 @@ def odd_texts():
     return texts + [None, "", "don't WE'LL it's", texts[3], texts[3], "the house " * 3000]
 
 
+def test_aligner_learns_without_collecting(files, monkeypatch):
+    aligner, seen = alignment.Aligner(*files), []
+    learn = aligner.learn
+    monkeypatch.setattr(aligner, "learn", lambda chunks: seen.append((gc.isenabled(), sorted(chunks))) or learn(chunks))
+    first = aligner.linked(["one two, one", "\ntwo three ", None, ""])
+    assert seen == [(False, ["\ntwo", "one", "three ", "two,"])] and gc.isenabled()
+    again = aligner.linked(["one two, one", "\ntwo three ", None, ""])
+    assert len(seen) == 1 and [r[:5] for r in again] == [r[:5] for r in first] and [r[0] > 0 for r in first] == [True, True, False, False]
+    monkeypatch.setattr(aligner, "learn", lambda chunks: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        aligner.linked(["four"])
+    assert gc.isenabled()
+
+
 def test_alignment_equals_brute_force(spark, folder, files, monkeypatch):
     monkeypatch.setattr(alignment, "COMMON_LINKS", 40)
     docs = list(enumerate(odd_texts())) + [(None, "the house"), (4, "again 4")]
