@@ -168,27 +168,24 @@ class SimilarityModel:
         buckets = weights.bucket_count(postings)
         vectors = self.vectors if self.counts is None else materialize(self.vectors, "vectors")
         vectors = vectors.drop("block").join(search.doc_blocks(vectors), "doc_id")
-        # A term in many documents is spread over as many files of its folder as its postings fill.
-        salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / per_file).cast("int"))
+        # A term in many documents is spread over as many files of its folder as its postings fill, each block in one of them.
+        salt = F.pmod(F.xxhash64("block"), F.ceil(F.col("df") / per_file).cast("int"))
         hot = max(weights.files_per_bucket(postings, buckets), min(weights.MAX_FILES, -(-(size["most"] or 1) // per_file)))
         hot_part = F.when(F.col("df") > per_file, F.pmod(F.xxhash64("term", salt), F.lit(hot)))
         for name, table, columns, rows in (
             ("vocab", self.vocab, ["term", "df", "idf"], size["terms"]),
             ("vectors", vectors, ["doc_id", "term", "tf", "df", "w", "block"], postings),
-            ("blocks", None, ["term", "block", "most"], postings),
         ):
-            if table is None:
-                table = search.block_weights(self.spark.read.parquet(f"{base}/vectors"))
             part = F.pmod(F.xxhash64("term"), F.lit(weights.files_per_bucket(rows, buckets)))
-            (
+            laid = (
                 table.withColumn("_part", F.coalesce(hot_part, part) if name == "vectors" else part)
                 .select(*columns, "_part", weights.term_bucket(F.col("term"), buckets).alias("bucket"))
                 .repartition(max(buckets, -(-rows // per_file)), "bucket", "_part")
-                .drop("_part")
-                .sortWithinPartitions("bucket", "term")
-                .write.partitionBy("bucket")
-                .parquet(f"{base}/{name}")
             )
+            if name == "vectors":
+                # The blocks' weights lie beside the vectors: a table of their own would be moved twice more.
+                laid = search.block_weights(laid, ["bucket", "_part"], ["bucket", "term"])
+            laid.drop("_part").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{base}/{name}")
         if self.lexicon is not None:
             # As with the vocabulary, a search reads only the folders of its words and their base forms.
             bucket = weights.term_bucket(F.col("token"), buckets).alias("bucket")
@@ -201,7 +198,7 @@ class SimilarityModel:
             )
         params = (
             self.mode, self.n_best, list(self.label_names), list(self.stop_words), self.lexicon is not None,
-            self.exceptions is not None, buckets, True,
+            self.exceptions is not None, buckets, False,
         )
         self.spark.createDataFrame([params], PARAMS).coalesce(1).write.parquet(f"{base}/params")
         snapshots.publish(self.spark, path, [base])
@@ -215,9 +212,15 @@ def load_model(spark: SparkSession, path: str) -> SimilarityModel:
         raise FileNotFoundError(f"no model at {path}")
     base = found["folders"][0]
     params = spark.read.parquet(f"{base}/params").first()
+    vectors, blocks = spark.read.parquet(f"{base}/vectors"), None
+    if "most" in vectors.columns:
+        blocks = vectors.filter("most IS NOT NULL").select("term", "block", "most", "bucket")
+    elif "has_blocks" in params and params["has_blocks"]:
+        # Models of earlier versions hold a table of them.
+        blocks = spark.read.parquet(f"{base}/blocks")
     return SimilarityModel(
         vocab=spark.read.parquet(f"{base}/vocab"),
-        vectors=spark.read.parquet(f"{base}/vectors"),
+        vectors=vectors.drop("most"),
         labels=spark.read.parquet(f"{base}/labels"),
         mode=params["mode"],
         n_best=params["n_best"],
@@ -226,7 +229,7 @@ def load_model(spark: SparkSession, path: str) -> SimilarityModel:
         lexicon=spark.read.parquet(f"{base}/lexicon") if params["has_lexicon"] else None,
         exceptions=spark.read.parquet(f"{base}/exceptions") if params["has_exceptions"] else None,
         buckets=params["buckets"],
-        blocks=spark.read.parquet(f"{base}/blocks") if "has_blocks" in params and params["has_blocks"] else None,
+        blocks=blocks,
     )
 
 

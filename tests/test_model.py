@@ -11,6 +11,7 @@ from nearkin import fit
 from nearkin.operators import flow, search, tokens, weights
 from nearkin.plans.model import load_model
 from nearkin.session import materialize
+from nearkin.sources import snapshots
 
 SENTENCES = [
     (0, "Bees like to make honey", "a"),
@@ -222,6 +223,30 @@ def test_blocks_hold_each_document_once(spark, tmp_path):
         assert x["w"] <= most[x["term"], x["block"]]
 
 
+def test_block_weights_lie_beside_the_vectors(spark, tmp_path, monkeypatch):
+    """One row of each term and block holds the largest weight, common terms spread over files included."""
+    monkeypatch.setattr(weights, "POSTINGS_PER_FILE", 40)
+    docs = spark.createDataFrame([(i, f"alpha alpha{i % 2} beta{i % 9} gamma{i}" + " delta" * (i % 5)) for i in range(300)], "id long, body string")
+    model = fit(docs, "body", ["id"], id_col="id", mode="none").save(str(tmp_path / "model"))
+    assert not list(tmp_path.glob("model/*/blocks")) and "most" not in model.vectors.columns
+    best = {}
+    for x in model.vectors.collect():
+        best[x["term"], x["block"]] = max(x["w"], best.get((x["term"], x["block"]), 0))
+    rows = model.blocks.collect()
+    assert {(x["term"], x["block"]): x["most"] for x in rows} == best and len(rows) == len(best)
+    # Models of earlier versions keep a table of their own.
+    again = model.save(str(tmp_path / "again"))
+    base = str(next(tmp_path.glob("again/model-*")))
+    old, params = f"{tmp_path}/before/old", spark.read.parquet(f"{base}/params").withColumn("has_blocks", F.lit(True))
+    for name in ("vocab", "labels"):
+        spark.read.parquet(f"{base}/{name}").write.parquet(f"{old}/{name}")
+    again.vectors.write.partitionBy("bucket").parquet(f"{old}/vectors")
+    again.blocks.write.partitionBy("bucket").parquet(f"{old}/blocks")
+    params.write.parquet(f"{old}/params")
+    snapshots.publish(spark, f"{tmp_path}/before", [old])
+    assert load_model(spark, f"{tmp_path}/before").blocks.count() == len(again.blocks.collect())
+
+
 def test_failed_save_leaves_the_model(spark, tmp_path):
     path = str(tmp_path / "model")
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma")], "id long, body string")
