@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from nearkin.functions import text as T
 from nearkin.functions.wordlists import ENGLISH_STOP_WORDS, LEMMA_RULES, POS_ENDINGS
+from nearkin.operators.features import kth_smallest
 from nearkin.session import materialize
 
 Tokenizer = Callable[[Column], Column]
@@ -21,6 +22,8 @@ TOKENIZERS = {"none": T.tokens_word, "default": T.tokens_punct, "custom": T.toke
 MIN_TERM = 3
 # Bytes of text whose tokens a task counts. Left to the size of the compressed exchange, a task would take several times as much.
 TEXT_BYTES_PER_TASK = 16 * 1024 * 1024
+# A table of terms is broadcast up to so many rows.
+VOCAB_ROWS = 262_144
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -171,6 +174,40 @@ def token_counts(docs: DataFrame, text: str, tokenizer: Tokenizer, id_col: str =
     return materialize(rows.groupBy(id_col, "token").agg(F.count("*").alias("n")), "tokens")
 
 
+def common_terms(terms: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """A table of terms with their ``df`` in two: the most frequent ones, few enough to be broadcast, and the others, if any."""
+    beyond = terms.count() - VOCAB_ROWS
+    if beyond <= 0:
+        return terms, None
+    least = kth_smallest(terms, "df", beyond)
+    return terms.filter(F.col("df") > least), terms.filter(F.col("df") <= least)
+
+
+def join_terms(rows: DataFrame, terms: DataFrame, on: str) -> DataFrame:
+    """``rows`` joined to a written table of terms, which holds all of theirs with their ``df``.
+
+    The most frequent terms, which most rows hold, are broadcast; only the rows of the others are moved.
+    """
+    common, rest = common_terms(terms)
+    known = rows.join(F.broadcast(common), on)
+    if rest is None:
+        return known
+    others = rows.join(F.broadcast(common.select(on)), on, "left_anti").join(rest, on)
+    return known.unionByName(others)
+
+
+def pack(counts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id, terms, tfs)``: counts ``(id, term, tf)`` as one row a text."""
+    bags = counts.groupBy(id_col).agg(F.collect_list(F.struct("term", "tf")).alias("bag"))
+    return bags.select(id_col, F.col("bag.term").alias("terms"), F.col("bag.tf").alias("tfs"))
+
+
+def unpack(bags: DataFrame, *columns: str) -> DataFrame:
+    """``(columns…, term, tf)``: a row for each term of ``(columns…, terms, tfs)``."""
+    rows = bags.select(*columns, F.inline(F.arrays_zip("terms", "tfs")))
+    return rows.withColumnsRenamed({"terms": "term", "tfs": "tf"})
+
+
 def analyze(
     docs: DataFrame,
     text: str = "text",
@@ -204,7 +241,12 @@ def analyze(
         lexicon = lexicon_from(counts)
     elif small:
         lexicon = narrow_lexicon(lexicon, counts, buckets)
-    mapping = term_map(counts, mode, lexicon, stop_words, exceptions)
-    if not small:
-        mapping = materialize(mapping, "terms")
-    return counts.join(mapping, "token").groupBy(id_col, "term").agg(F.sum("n").alias("tf"))
+    if small:
+        mapping = term_map(counts, mode, lexicon, stop_words, exceptions)
+        return counts.join(mapping, "token").groupBy(id_col, "term").agg(F.sum("n").alias("tf"))
+    words = materialize(counts.groupBy("token").agg(F.count("*").alias("df")), "words")
+    mapping = words.join(term_map(words, mode, lexicon, stop_words, exceptions), "token", "left")
+    mapping = materialize(mapping.select("token", "df", "term"), "terms")
+    # Tokens that are left out have no term. All terms of a text are brought together, so that its vector needs no further exchange.
+    found = join_terms(counts, mapping, "token").filter(F.col("term").isNotNull())
+    return found.select(id_col, "term", "n").repartition(id_col).groupBy(id_col, "term").agg(F.sum("n").alias("tf"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from nearkin.functions.wordlists import ENGLISH_STOP_WORDS
 from nearkin.operators import inspect, search, tokens, weights
-from nearkin.session import materialize
+from nearkin.session import free_shuffles, materialize, passing
 from nearkin.sources import snapshots
 
 Texts = DataFrame | str | Sequence[str]
@@ -26,7 +26,7 @@ class SimilarityModel:
 
     Modes with lemmas also keep the lexicon ``(token, pos)`` they were fitted with, each token once, and irregular forms
     ``(token, pos, lemma)`` if there are any. A model that was just
-    fitted knows its raw counts ``(doc_id, term, tf)`` and weighs them on demand; one that was loaded knows in how
+    fitted knows its raw counts, ``bags(doc_id, terms, tfs)`` or as rows ``(doc_id, term, tf)``, and weighs them on demand; one that was loaded knows in how
     many term buckets its vocabulary and vectors are stored, and the largest weight of each term in each block of
     documents, ``blocks(term, block, most)``.
     """
@@ -41,6 +41,7 @@ class SimilarityModel:
     lexicon: DataFrame | None = None
     exceptions: DataFrame | None = None
     counts: DataFrame | None = None
+    bags: DataFrame | None = None
     buckets: int | None = None
     blocks: DataFrame | None = None
 
@@ -164,28 +165,9 @@ class SimilarityModel:
         if self.exceptions is not None:
             self.exceptions.write.parquet(f"{base}/exceptions")
         size = self.vocab.agg(F.sum("df").alias("postings"), F.count("*").alias("terms"), F.max("df").alias("most")).first()
-        postings, per_file = size["postings"] or 0, weights.POSTINGS_PER_FILE
-        buckets = weights.bucket_count(postings)
-        vectors = self.vectors if self.counts is None else materialize(self.vectors, "vectors")
-        vectors = vectors.drop("block").join(search.doc_blocks(vectors), "doc_id")
-        # A term in many documents is spread over as many files of its folder as its postings fill, each block in one of them.
-        salt = F.pmod(F.xxhash64("block"), F.ceil(F.col("df") / per_file).cast("int"))
-        hot = max(weights.files_per_bucket(postings, buckets), min(weights.MAX_FILES, -(-(size["most"] or 1) // per_file)))
-        hot_part = F.when(F.col("df") > per_file, F.pmod(F.xxhash64("term", salt), F.lit(hot)))
-        for name, table, columns, rows in (
-            ("vocab", self.vocab, ["term", "df", "idf"], size["terms"]),
-            ("vectors", vectors, ["doc_id", "term", "tf", "df", "w", "block"], postings),
-        ):
-            part = F.pmod(F.xxhash64("term"), F.lit(weights.files_per_bucket(rows, buckets)))
-            laid = (
-                table.withColumn("_part", F.coalesce(hot_part, part) if name == "vectors" else part)
-                .select(*columns, "_part", weights.term_bucket(F.col("term"), buckets).alias("bucket"))
-                .repartition(max(buckets, -(-rows // per_file)), "bucket", "_part")
-            )
-            if name == "vectors":
-                # The blocks' weights lie beside the vectors: a table of their own would be moved twice more.
-                laid = search.block_weights(laid, ["bucket", "_part"], ["bucket", "term"])
-            laid.drop("_part").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{base}/{name}")
+        buckets = weights.bucket_count(size["postings"] or 0)
+        with passing(self.spark):
+            self._lay_out(base, size, buckets)
         if self.lexicon is not None:
             # As with the vocabulary, a search reads only the folders of its words and their base forms.
             bucket = weights.term_bucket(F.col("token"), buckets).alias("bucket")
@@ -204,6 +186,42 @@ class SimilarityModel:
         snapshots.publish(self.spark, path, [base])
         return load_model(self.spark, path)
 
+    def _lay_out(self, base: str, size: Row, buckets: int) -> None:
+        """Write vocabulary and vectors, in rounds of some of the buckets where there are many postings.
+
+        The exchange of a round is of no use once it is written, so the disk it needs doesn't grow with the model.
+        """
+        postings, per_file = size["postings"] or 0, weights.POSTINGS_PER_FILE
+        if self.bags is not None or self.counts is not None:
+            bags = self.bags if self.bags is not None else materialize(tokens.pack(self.counts), "bags")
+            vectors = search.block_vectors(bags, self.vocab)
+        else:
+            vectors = self.vectors.drop("block").join(search.doc_blocks(self.vectors), "doc_id")
+        # A term in many documents is spread over as many files of its folder as its postings fill, each block in one of them.
+        salt = F.pmod(F.xxhash64("block"), F.ceil(F.col("df") / per_file).cast("int"))
+        hot = max(weights.files_per_bucket(postings, buckets), min(weights.MAX_FILES, -(-(size["most"] or 1) // per_file)))
+        hot_part = F.when(F.col("df") > per_file, F.pmod(F.xxhash64("term", salt), F.lit(hot)))
+        for name, table, columns, rows in (
+            ("vocab", self.vocab, ["term", "df", "idf"], size["terms"]),
+            ("vectors", vectors, ["doc_id", "term", "tf", "df", "w", "block"], postings),
+        ):
+            part = F.pmod(F.xxhash64("term"), F.lit(weights.files_per_bucket(rows, buckets)))
+            rounds = min(buckets, max(1, -(-rows // weights.POSTINGS_PER_ROUND)))
+            for i in range(rounds):
+                laid = (
+                    table.withColumn("_part", F.coalesce(hot_part, part) if name == "vectors" else part)
+                    .select(*columns, "_part", weights.term_bucket(F.col("term"), buckets).alias("bucket"))
+                    .filter(F.col("bucket") % rounds == i)
+                    .repartition(max(buckets, -(-rows // per_file)) // rounds + 1, "bucket", "_part")
+                )
+                if name == "vectors":
+                    # The blocks' weights lie beside the vectors: a table of their own would be moved twice more.
+                    laid = search.block_weights(laid, ["bucket", "_part"], ["bucket", "term"])
+                laid = laid.drop("_part").sortWithinPartitions("bucket", "term")
+                laid.write.partitionBy("bucket").option("compression", "zstd").mode("append").parquet(f"{base}/{name}")
+                if rounds > 1:
+                    free_shuffles(self.spark)
+
 
 def load_model(spark: SparkSession, path: str) -> SimilarityModel:
     """The last model that was saved to its end at ``path``; all its tables are of one save."""
@@ -213,14 +231,17 @@ def load_model(spark: SparkSession, path: str) -> SimilarityModel:
     base = found["folders"][0]
     params = spark.read.parquet(f"{base}/params").first()
     vectors, blocks = spark.read.parquet(f"{base}/vectors"), None
-    if "most" in vectors.columns:
+    if "top" in vectors.columns:
+        blocks = vectors.filter("top").select("term", "block", F.col("w").alias("most"), "bucket")
+    elif "most" in vectors.columns:
+        # As this one, models of earlier versions hold the weights themselves, or
         blocks = vectors.filter("most IS NOT NULL").select("term", "block", "most", "bucket")
     elif "has_blocks" in params and params["has_blocks"]:
-        # Models of earlier versions hold a table of them.
+        # a table of them.
         blocks = spark.read.parquet(f"{base}/blocks")
     return SimilarityModel(
         vocab=spark.read.parquet(f"{base}/vocab"),
-        vectors=vectors.drop("most"),
+        vectors=vectors.drop("top", "most"),
         labels=spark.read.parquet(f"{base}/labels"),
         mode=params["mode"],
         n_best=params["n_best"],
@@ -266,16 +287,18 @@ def fit(
         check_keys(docs, id_col)
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(corpus).alias("text"))
     label_table = docs.select(F.col(id_col).alias("doc_id"), *labels)
-    found = None
-    if mode != "none" and lexicon is None:
-        # The texts are cut into tokens once, for the lexicon and for the counts.
-        found = tokens.token_counts(frame, "text", tokens.TOKENIZERS[mode])
-        lexicon = materialize(tokens.lexicon_from(found), "lexicon")
-    elif lexicon is not None:
-        lexicon = materialize(lexicon.groupBy("token").agg(F.min("pos").alias("pos")), "lexicon")
-    counts = tokens.analyze(frame, mode=mode, lexicon=lexicon, stop_words=stop_words, exceptions=exceptions, counts=found)
-    counts = materialize(counts, "counts")
-    vocab = materialize(weights.idf(weights.doc_freq(counts), weights.corpus_size(frame)), "vocab")
+    with passing(docs.sparkSession) as keep:
+        found = None
+        if mode != "none" and lexicon is None:
+            # The texts are cut into tokens once, for the lexicon and for the counts.
+            found = tokens.token_counts(frame, "text", tokens.TOKENIZERS[mode])
+            lexicon = keep(materialize(tokens.lexicon_from(found), "lexicon"))
+        elif lexicon is not None:
+            lexicon = keep(materialize(lexicon.groupBy("token").agg(F.min("pos").alias("pos")), "lexicon"))
+        counts = tokens.analyze(frame, mode=mode, lexicon=lexicon, stop_words=stop_words, exceptions=exceptions, counts=found)
+        bags = keep(materialize(tokens.pack(counts), "bags"))
+        counts = tokens.unpack(bags, "doc_id")
+        vocab = keep(materialize(weights.idf(weights.doc_freq(counts), weights.corpus_size(frame)), "vocab"))
     return SimilarityModel(
         vocab=vocab,
         vectors=weights.weigh(counts, vocab),
@@ -287,4 +310,5 @@ def fit(
         lexicon=lexicon,
         exceptions=exceptions,
         counts=counts,
+        bags=bags,
     )

@@ -2,12 +2,13 @@ import dataclasses
 import json
 import math
 import random
+import uuid
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from nearkin import fit
+from nearkin import fit, session
 from nearkin.operators import flow, search, tokens, weights
 from nearkin.plans.model import load_model
 from nearkin.session import materialize
@@ -274,3 +275,46 @@ def test_fit_cuts_texts_into_tokens_once(spark, monkeypatch):
     assert len(seen) == 1
     assert {r["term"]: r["df"] for r in model.vocab.collect()} == {"red": 1, "fish": 2, "walk": 1, "blue": 1}
     assert {r["token"] for r in model.lexicon.collect()} == {"red", "fishes", "walk", "blue", "fish"}
+
+
+@pytest.mark.parametrize("mode", ["none", "default"])
+def test_save_in_rounds_with_rare_terms(spark, tmp_path, monkeypatch, mode):
+    """Terms beyond those broadcast and buckets laid out one after the other give the vectors of the fitted model."""
+    r = random.Random(6)
+    words = [f"{x}{y}ing" for x in "bcdfghklmnprst" for y in ("al", "en", "ir", "od")]
+    texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(len(words))], k=r.randint(1, 20))) for _ in range(120)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    plain = fit(docs, "body", ["id"], id_col="id", mode=mode)
+    monkeypatch.setattr(tokens, "VOCAB_ROWS", 12)
+    monkeypatch.setattr(weights, "POSTINGS_PER_BUCKET", 60)
+    monkeypatch.setattr(weights, "POSTINGS_PER_FILE", 25)
+    monkeypatch.setattr(weights, "POSTINGS_PER_ROUND", 200)
+    scratch = tmp_path / "scratch"
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: f"{scratch}/{name}-{uuid.uuid4().hex}")
+    few = fit(docs, "body", ["id"], id_col="id", mode=mode)
+    freed = []
+    monkeypatch.setattr("nearkin.plans.model.free_shuffles", lambda spark: freed.append(1))
+    stored = few.save(str(tmp_path / "model"))
+    assert len(freed) > 2 and stored.buckets > 4
+    left = ["bags", "vocab"] if mode == "none" else ["bags", "lexicon", "vocab"]
+    assert sorted(p.name.split("-")[0] for p in scratch.iterdir()) == left
+    key = lambda df: sorted((x["doc_id"], x["term"], x["tf"], x["df"], round(x["w"], 9)) for x in df.collect())
+    assert key(stored.vectors) == key(plain.vectors) == key(few.vectors)
+    sizes = stored.vectors.select("doc_id", "block").distinct().groupBy("block").count().collect()
+    assert sum(x["count"] for x in sizes) == few.bags.count() and max(x["count"] for x in sizes) <= search.BLOCK_DOCS
+    best = {}
+    for x in stored.vectors.collect():
+        best[x["term"], x["block"]] = max(x["w"], best.get((x["term"], x["block"]), 0))
+    rows = stored.blocks.collect()
+    assert {(x["term"], x["block"]): x["most"] for x in rows} == best and len(rows) == len(best)
+
+
+def test_only_rare_terms_are_moved_to_be_joined(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "VOCAB_ROWS", 3)
+    terms = materialize(spark.createDataFrame([(f"t{i}", 100 if i < 3 else i % 3 + 1) for i in range(50)], "term string, df long"), "terms")
+    common, rest = tokens.common_terms(terms)
+    assert {x["term"] for x in common.collect()} == {"t0", "t1", "t2"} and rest.count() == 47
+    rows = spark.createDataFrame([(i, f"t{i % 50}") for i in range(300)], "id long, term string")
+    got = sorted((x["id"], x["term"], x["df"]) for x in tokens.join_terms(rows, terms, "term").collect())
+    assert got == [(i, f"t{i % 50}", 100 if i % 50 < 3 else i % 50 % 3 + 1) for i in range(300)]
+    assert tokens.common_terms(common) == (common, None)
